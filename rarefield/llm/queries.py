@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rarefield.llm import pieces, token_counts
+from rarefield.llm import language, minhash, pieces, quality, token_counts
+from rarefield.shipping import ensure_shipped
 
 PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.json"
 
@@ -19,9 +21,14 @@ def tokenizer(name: str) -> str:
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ensure_shipped(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip_digests(_read(spark, sf_dir, "documents"), tokenizer(PIECES))
 
@@ -30,10 +37,27 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"), tokenizer(BYTES))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    model = quality.fit(*quality.sample(docs, labels.where(~language.held_out(labels, folds=3, fold=1)), "quality"))
+    scored = quality.score(docs, model)
+    held = F.coalesce(language.held_out(scored, folds=3, fold=1), F.lit(True))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    found = language.identify(docs, language.learn_profiles(docs.where(~language.held_out(docs))))
+    return found.select("doc_id", F.coalesce(language.held_out(found), F.lit(True)).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash": op1_minhash,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_token_counts": op3_token_counts,
+        "op5_quality": op5_quality,
+        "op10_language": op10_language,
     }
 
 
