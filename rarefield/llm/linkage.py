@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rarefield.scratch import Scratch
@@ -53,70 +53,63 @@ def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: st
     )
 
 
-def _apart(pairs: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Pairs whose ends are not known to be in one component."""
-    if comps is None:
-        return pairs
-    ca = comps.select(F.col("node").alias("a"), F.col("component").alias("_ca"))
-    cb = comps.select(F.col("node").alias("b"), F.col("component").alias("_cb"))
-    return (
-        pairs.join(ca, "a", "left")
-        .join(cb, "b", "left")
-        .where(F.coalesce("_ca", "a") != F.coalesce("_cb", "b"))
-        .select("a", "b")
-    )
-
-
-def link_buckets(buckets: DataFrame, prepare: Callable[[DataFrame], Verify], scratch: Scratch) -> DataFrame:
+def link_buckets(buckets: DataFrame, prepare: Callable[[DataFrame], Verify], scratch: Scratch, near: Callable[[Column], Column] | None = None) -> DataFrame:
     """(node, component) of the members that a verified link joins to another.
 
     ``buckets`` has the long columns ``key`` and ``id``.  ``prepare`` gets the
     distinct ``id`` of all members that share a bucket, once, and returns the
     verifier, which takes distinct pairs (a, b) with a < b and returns the links.
+    With ``near``, ``buckets`` also has a long ``sketch``, the same in all rows of
+    an id; only pairs whose sketches' exclusive or passes ``near`` are verified.
     """
-    sized = buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    sized = scratch.save(sized, "sized")
-    two = sized.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    big = scratch.save(buckets.join(sized.where("n > 2").select("key", "n"), "key").select("key", "id", "n"), "members")
-    shared = two.select(F.col("a").alias("id")).union(two.select("b")).union(big.select("id")).distinct()
-    verify = prepare(shared)
+    if near is None:
+        near, buckets = (lambda difference: F.lit(True)), buckets.withColumn("sketch", F.lit(0).cast("long"))
+    rows = buckets.select("key", "id", "sketch")
+    sized = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"), F.bit_xor("sketch").alias("x"))
+    sized = scratch.save(sized.where("lo < hi"), "sized")
+    two = sized.where("n = 2").where(near(F.col("x"))).select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    crowded = scratch.save(sized.where("n > 2").select("key", "n"), "crowded")
+    big = scratch.save(rows.join(crowded, "key").select("key", "id", "sketch", "n"), "members")
     central = big.groupBy("id").agg(F.sum("n").alias("c"))
-    ranked = big.join(central, "id").select("key", "id", F.struct(F.col("c"), (-F.col("id")).alias("m")).alias("rank"))
-    ranked = scratch.save(ranked, "ranked")
-
-    def stars(members: DataFrame) -> DataFrame:
-        hub = members.groupBy("key").agg((-F.max("rank")["m"]).alias("hub"))
-        star = members.join(hub, "key").where("id != hub")
-        return star.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-
-    tried = scratch.save(two.union(stars(ranked)).distinct(), "pairs")
+    rank = F.struct(F.col("c"), (-F.col("id")).alias("m"), F.col("sketch").alias("s"))
+    ranked = scratch.save(big.join(central, "id").select("key", "id", "sketch", rank.alias("rank")), "ranked")
+    ordered = [F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")]
+    near_hub = near(F.col("sketch").bitwiseXOR(F.col("hs")))
+
+    hub = ranked.groupBy("key").agg(F.max("rank").alias("h")).select("key", (-F.col("h.m")).alias("hub"), F.col("h.s").alias("hs"))
+    star = ranked.join(hub, "key").where("id != hub").where(near_hub).select(*ordered)
+    tried = scratch.save(two.union(star).distinct(), "pairs")
+    shared = tried.select(F.col("a").alias("id")).union(tried.select("b")).union(big.select("id")).distinct()
+    verify = prepare(scratch.save(shared, "shared"))
     links = scratch.save(verify(tried), "links")
-    comps = scratch.save(connected_components(links, scratch), "components")
+    comps = connected_components(links, scratch)
 
     def open_members() -> DataFrame:
         """Members of buckets that still hold several components, with their component."""
         own = comps.select(F.col("node").alias("id"), "component")
-        known = ranked.join(own, "id", "left").select("key", "id", "rank", F.coalesce("component", "id").alias("comp"))
+        known = ranked.join(own, "id", "left").select("key", "id", "sketch", "rank", F.coalesce("component", "id").alias("comp"))
         many = known.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
-        return known.join(many, "key", "left_semi")
-
-    # a second star from the most central member outside the first hub's component
-    members = scratch.save(open_members(), "open")
-    if not members.isEmpty():
-        first = members.groupBy("key").agg(F.max(F.struct("rank", "comp")).alias("h")).select("key", F.col("h.comp").alias("hc"))
-        outside = members.join(first, "key").where("comp != hc").select("key", "id", "rank", "comp")
-        second = outside.groupBy("key").agg(F.max(F.struct("rank", "comp")).alias("h")).select("key", (-F.col("h.rank.m")).alias("hub"), F.col("h.comp").alias("hc"))
-        star = members.join(second, "key").where("comp != hc").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-        fresh = scratch.save(star.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = scratch.save(links.union(verify(fresh)), "links")
-        comps = scratch.save(connected_components(links, scratch), "components")
-        tried = tried.union(fresh)
-        # the rest: every pair of different components within a bucket
-        members = scratch.save(open_members().select("key", "id", "comp"), "open")
-        if not members.isEmpty():
-            other = members.select("key", F.col("id").alias("id2"), F.col("comp").alias("comp2"))
-            cross = members.join(other, "key").where("comp < comp2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
-            fresh = scratch.save(cross.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-            links = scratch.save(links.union(verify(fresh)), "links")
-            comps = scratch.save(connected_components(links, scratch), "components")
-    return comps
+        return scratch.save(known.join(many, "key", "left_semi"), "open")
+
+    # a second star, from the most central member outside the first hub's component
+    members = open_members()
+    if members.isEmpty():
+        return comps
+    top = F.max(F.struct("rank", "comp")).alias("h")
+    first = members.groupBy("key").agg(top).select("key", F.col("h.comp").alias("hc"))
+    outside = members.join(first, "key").where("comp != hc")
+    second = outside.groupBy("key").agg(top).select("key", (-F.col("h.rank.m")).alias("hub"), F.col("h.rank.s").alias("hs"), F.col("h.comp").alias("hc"))
+    star = members.join(second, "key").where("comp != hc").where(near_hub).select(*ordered)
+    fresh = scratch.save(star.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    links = scratch.save(links.union(verify(fresh)), "links")
+    comps = connected_components(links, scratch)
+    tried = tried.union(fresh)
+    # the rest: every pair of different components within a bucket
+    members = open_members()
+    if members.isEmpty():
+        return comps
+    other = members.select("key", F.col("id").alias("hub"), F.col("sketch").alias("hs"), F.col("comp").alias("hc"))
+    cross = members.join(other, "key").where("comp < hc").where(near_hub).select(*ordered)
+    fresh = scratch.save(cross.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    links = scratch.save(links.union(verify(fresh)), "links")
+    return connected_components(links, scratch)
