@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rarefield.llm import language, lines, minhash, pieces, quality, secrets, token_counts
+from rarefield.llm import decontaminate, language, lines, minhash, pieces, quality, secrets, token_counts
 from rarefield.shipping import ensure_shipped
 
 PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.json"
@@ -45,6 +45,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(_read(spark, sf_dir, "documents"), secrets.train(secrets.labelled_samples(spark)))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sentencepiece": op2_sentencepiece,
         "op3_token_counts": op3_token_counts,
         "op5_quality": op5_quality,
+        "op6_decontamination": op6_decontamination,
         "op8_secrets": op8_secrets,
         "op9_line_dedup": op9_line_dedup,
         "op10_language": op10_language,

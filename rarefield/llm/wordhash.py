@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK = 1 << 20
+_ALL = (1 << 64) - 1
 _RNG = np.random.default_rng(20240229)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -102,11 +103,11 @@ def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
     if not k:
         return hashes
     width = min(n, k)
-    total = np.full(k - width + 1, np.uint64(width) * np.uint64(0xA24BAED4963EE407), np.uint64)
-    weight = _ODD
+    total = np.full(k - width + 1, width * 0xA24BAED4963EE407 & _ALL, np.uint64)
+    weight = int(_ODD)
     for i in range(width):
-        total += (hashes[i : k - width + 1 + i] ^ weight) * (weight | np.uint64(1))
-        weight = weight * np.uint64(0xD1342543DE82EF95) + np.uint64(0x632BE59BD9B4E019) if i + 1 < width else weight
+        total += (hashes[i : k - width + 1 + i] ^ np.uint64(weight)) * np.uint64(weight | 1)
+        weight = (weight * 0xD1342543DE82EF95 + 0x632BE59BD9B4E019) & _ALL
     return mix(total)
 
 
