@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rarefield.llm import chat, decontaminate, language, lines, minhash, pieces, quality, secrets, token_counts
+from rarefield.llm import chat, decontaminate, embeddings, language, lines, minhash, pieces, quality, secrets, token_counts
 from rarefield.shipping import ensure_shipped
 
 PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.json"
@@ -37,6 +37,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"), tokenizer(BYTES))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     model = quality.fit(*quality.sample(docs, labels.where(~language.held_out(labels, folds=3, fold=1)), "quality"))
@@ -76,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_minhash": op1_minhash,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_token_counts": op3_token_counts,
+        "op4_embedding_dedup": op4_embedding_dedup,
         "op5_quality": op5_quality,
         "op6_decontamination": op6_decontamination,
         "op7_chat_format": op7_chat_format,
