@@ -158,6 +158,19 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that have a language, all columns as they are; texts stay in their partition."""
+    sent = docs.sparkSession.sparkContext.broadcast(profiles)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = Profiles(sent.value)
+        for batch in batches:
+            yield batch.filter(pa.array([p.identify(t.as_py())[0] != UNKNOWN for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(docs: DataFrame, id_col: str = "doc_id", folds: int = 5, fold: int = 0):
     """Whether a row is kept from training: crc32 of the id as text, modulo ``folds``, is ``fold``."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold
