@@ -1,15 +1,546 @@
-"""Queries over the shared test tables, one per operator family."""
+"""Queries over the shared test tables, one or more for each operator family, with DuckDB equivalents."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from rarefield.adapters import FIELD_SQL, GRAINS_SQL, STEPS_SQL, field_points, grains, region_clouds, steps
+from rarefield.functions import boxes, orientation, regions, similarity, tensors
+from rarefield.operators import assignment, clusters, community, density, graph, lattice, neighbors, tracking, voxels
+from rarefield.plans import rare_regions, reconstruct, region_comparison, results, stitching
+from rarefield.shipping import ensure_shipped
+from rarefield.sources.tables import read_table
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ensure_shipped(spark)
+            return f(spark, sf_dir)
+
+        _QUERIES[f.__name__] = run
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _r(c: str | Column, name: str | None = None, places: int = 6):
+    col = F.col(c) if isinstance(c, str) else c
+    return F.round(col, places).alias(name or c)
+
+
+# -- comparison of two regions
+
+_CLOUDS = f"""
+field AS ({FIELD_SQL}),
+f1 AS (SELECT x, y, z, (floor(x / 5) * 4 + floor(y / 5))::BIGINT AS c FROM field WHERE qty > 26 * n),
+f2 AS (SELECT x, y, z, (floor(x / 5) * 4 + floor(y / 5))::BIGINT AS c FROM field WHERE tax100 > 4 * n),
+j AS (SELECT coalesce(f1.x, f2.x) AS x, coalesce(f1.y, f2.y) AS y, coalesce(f1.z, f2.z) AS z, coalesce(f1.c, -1) AS c1, coalesce(f2.c, -1) AS c2,
+  CASE WHEN f2.c IS NULL THEN 1 WHEN f1.c IS NULL THEN 2 ELSE 3 END AS member
+  FROM f1 FULL OUTER JOIN f2 ON f1.x = f2.x AND f1.y = f2.y AND f1.z = f2.z)"""
+
+
+def _comparison(spark: SparkSession, sf_dir: str, **options) -> region_comparison.RegionComparison:
+    a, b = region_clouds(spark, sf_dir)
+    return region_comparison.RegionComparison(a, b, spacing_1=(1.0, 1.0, 1.0), spacing_2=(1.0, 1.0, 1.0), **options)
+
+
+@_query(f"""WITH {_CLOUDS}, m AS (SELECT count(*) FILTER (member IN (1, 3)) AS n1, count(*) FILTER (member IN (2, 3)) AS n2, count(*) FILTER (member = 3) AS ni, count(*) AS nu FROM j)
+SELECT n1, n2, ni AS n_intersection, nu AS n_union, round(ni::DOUBLE / nu, 9) AS iou, round(2.0::DOUBLE * ni / (n1 + n2), 9) AS dice, round(ni::DOUBLE / n1, 9) AS containment_1, round(ni::DOUBLE / n2, 9) AS containment_2 FROM m""")
+def region_overlap_metrics(spark, sf_dir):
+    m = region_comparison.overlap_metrics(_comparison(spark, sf_dir).membership())
+    return m.select("n1", "n2", "n_intersection", "n_union", *[_r(c, places=9) for c in ("iou", "dice", "containment_1", "containment_2")])
+
+
+@_query(f"WITH {_CLOUDS} SELECT c1, c2, member, count(*) AS n FROM j GROUP BY ALL")
+def region_membership(spark, sf_dir):
+    return _comparison(spark, sf_dir).membership().groupBy("c1", "c2", "member").agg(F.count("*").alias("n"))
+
+
+@_query(f"""WITH {_CLOUDS}, o AS (SELECT c1, c2, count(*) AS n FROM j WHERE member = 3 GROUP BY ALL),
+s1 AS (SELECT c1, count(*) AS s FROM j WHERE member IN (1, 3) GROUP BY 1), s2 AS (SELECT c2, count(*) AS s FROM j WHERE member IN (2, 3) GROUP BY 1)
+SELECT (SELECT count(*) FROM s1) AS n_clusters_1, (SELECT count(*) FROM s2) AS n_clusters_2,
+(SELECT count(*) FROM (SELECT c1 FROM o JOIN s1 USING (c1) WHERE n >= 0.1 * greatest(1, s) GROUP BY c1 HAVING count(*) > 1)) AS n_splits,
+(SELECT count(*) FROM (SELECT c2 FROM o JOIN s2 USING (c2) WHERE n >= 0.1 * greatest(1, s) GROUP BY c2 HAVING count(*) > 1)) AS n_merges""")
+def region_split_merge(spark, sf_dir):
+    return region_comparison.split_merge(_comparison(spark, sf_dir).membership(), 0.1)
+
+
+@_query()
+def region_cluster_matches(spark, sf_dir):
+    return _comparison(spark, sf_dir).matches()
+
+
+@_query(f"""WITH field AS ({FIELD_SQL}), c AS (SELECT x::BIGINT AS ix, y::BIGINT AS iy, z::BIGINT AS iz, id FROM field WHERE qty > 26 * n),
+f AS (SELECT c.*, unnest(range(-3, 4)) AS d FROM c), g AS (SELECT f.*, unnest(range(-3, 4)) AS e FROM f)
+SELECT ix * 2 + d AS fx, iy * 2 + e AS fy, iz AS fz, id FROM g WHERE round_even((ix * 2 + d) / 2.0::DOUBLE, 0) = ix AND round_even((iy * 2 + e) / 2.0::DOUBLE, 0) = iy""")
+def region_rasterise(spark, sf_dir):
+    p = field_points(spark, sf_dir).where("qty > 26 * n")
+    cells = p.select(*[F.col(a).cast("long").alias(f"i{a}") for a in "xyz"], "id")
+    return lattice.rasterise(cells, (2.0, 2.0, 1.0), 1.0, "id")
+
+
+@_query("""SELECT round_even(l_extendedprice / 1000, 0)::BIGINT AS ix, round_even(l_quantity / 2, 0)::BIGINT AS iy, min(l_orderkey) AS first_order FROM lineitem GROUP BY ALL""")
+def first_point_per_cell(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem", ["l_extendedprice", "l_quantity", "l_orderkey"])
+    cells = li.select(lattice.voxel_index("l_extendedprice", 0.0, 1000.0).alias("ix"), lattice.voxel_index("l_quantity", 0.0, 2.0).alias("iy"), F.col("l_orderkey").alias("first_order"))
+    return lattice.first_per_cell(cells, ("ix", "iy"), "first_order", "first_order")
+
+
+# -- lattice and graph
+
+
+def _edge_sql(radius: int) -> str:
+    pairs = ", ".join(f"({a}, {b}, {c})" for a, b, c in lattice.offsets(radius, True))
+    return f"""field AS ({FIELD_SQL}), o(a, b, c) AS (VALUES {pairs}),
+e AS (SELECT least(p.id, q.id) AS src, greatest(p.id, q.id) AS dst FROM field p CROSS JOIN o JOIN field q ON q.x = p.x + a AND q.y = p.y + b AND q.z = p.z + c)"""
+
+
+_DIST = """d AS (SELECT src, dst, sqrt((p.qty - q.qty)::DOUBLE * (p.qty - q.qty) + (p.disc100 - q.disc100)::DOUBLE * (p.disc100 - q.disc100)) AS distance
+FROM e JOIN field p ON p.id = src JOIN field q ON q.id = dst)"""
+
+
+def _edges(spark, sf_dir, radius: int) -> tuple[DataFrame, DataFrame]:
+    p = field_points(spark, sf_dir)
+    indexed = lattice.with_index(p, steps=(1.0, 1.0, 1.0), origin=(0.0, 0.0, 0.0))
+    return p, lattice.grid_edges(indexed, radius)
+
+
+def _distances(spark, sf_dir, radius: int = 1) -> tuple[DataFrame, DataFrame]:
+    p, e = _edges(spark, sf_dir, radius)
+    return p, graph.edge_distances(e, p, similarity.tensor_norm_metric(("qty", "disc100")))
+
+
+@_query(f"WITH {_edge_sql(1)} SELECT src, dst FROM e")
+def lattice_edges(spark, sf_dir):
+    return _edges(spark, sf_dir, 1)[1]
+
+
+@_query(f"WITH {_edge_sql(3)} SELECT src, count(*) AS n, max(dst) AS last FROM e GROUP BY src")
+def lattice_edges_wide(spark, sf_dir):
+    return _edges(spark, sf_dir, 3)[1].groupBy("src").agg(F.count("*").alias("n"), F.max("dst").alias("last"))
+
+
+@_query(f"WITH {_edge_sql(1)}, {_DIST} SELECT src, dst, round(distance, 6) AS distance, round(1.0::DOUBLE / (distance + 1e-12), 6) AS weight FROM d WHERE distance <= 40 AND distance > 0")
+def edge_weights(spark, sf_dir):
+    _, d = _distances(spark, sf_dir)
+    return graph.weigh(graph.within(d, 40.0).where("distance > 0"), "inverse").select("src", "dst", _r("distance"), _r("weight"))
+
+
+@_query(f"WITH {_edge_sql(1)}, {_DIST} SELECT round(quantile_cont(distance, 0.5), 6) AS sigma FROM d")
+def edge_sigma(spark, sf_dir):
+    _, d = _distances(spark, sf_dir)
+    return spark.createDataFrame([(round(graph.auto_sigma(d, 0.5), 6),)], "sigma double")
+
+
+@_query(f"""WITH {_edge_sql(1)}, {_DIST}, h AS (SELECT src, dst, distance, src AS node FROM d UNION ALL SELECT src, dst, distance, dst FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY -distance DESC, src, dst) AS k FROM h) SELECT DISTINCT src, dst FROM r WHERE k <= 3""")
+def topk_edges(spark, sf_dir):
+    _, d = _distances(spark, sf_dir)
+    return graph.topk_prune(d.withColumn("weight", -F.col("distance")), 3).select("src", "dst")
+
+
+@_query(f"""WITH {_edge_sql(1)}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+m AS (SELECT b.src AS id, sum(abs(q.qty - p.qty))::DOUBLE AS m FROM b JOIN field p ON p.id = b.src JOIN field q ON q.id = b.dst GROUP BY 1)
+SELECT field.id, qty + coalesce(m, 0) AS f FROM field LEFT JOIN m USING (id)""")
+def message_round(spark, sf_dir):
+    p, e = _edges(spark, sf_dir, 1)
+    nodes = p.select("id", F.col("qty").cast("double").alias("f"))
+    return graph.message_passing(nodes, e, 1, lambda a, b, k: F.abs(b - a))
+
+
+@_query("""WITH h AS (SELECT l_orderkey AS face, min(l_suppkey) AS src, max(l_suppkey) AS dst, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1) SELECT DISTINCT src, dst FROM h WHERE n = 2""")
+def shared_faces(spark, sf_dir):
+    return graph.shared_face_edges(read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_suppkey"]), "l_orderkey", "l_suppkey")
+
+
+@_query("""WITH h AS (SELECT l_orderkey, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1)
+SELECT count(*) FILTER (n = 2) AS internal, count(*) FILTER (n = 1) AS boundary, count(*) FILTER (n > 2) AS non_manifold FROM h""")
+def face_topology(spark, sf_dir):
+    return graph.face_topology(read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_suppkey"]), "l_orderkey", "l_suppkey")
+
+
+@_query(f"""WITH field AS ({FIELD_SQL}), v AS (SELECT DISTINCT x AS value FROM field), s AS (SELECT value, lead(value) OVER (ORDER BY value) - value AS d FROM v)
+SELECT count(*) AS n_levels, min(value) AS low, median(d) AS step, greatest(max(d) - median(d), median(d) - min(d)) AS deviation FROM s""")
+def axis_spacing(spark, sf_dir):
+    return lattice.spacing(field_points(spark, sf_dir), "x")
+
+
+# -- neighbours
+
+_NEAR = f"""g AS ({GRAINS_SQL}), p AS (SELECT a.id AS query, b.id AS target, sqrt((a.X - b.X) ** 2 + (a.Y - b.Y) ** 2 + (a.Z - b.Z) ** 2) AS distance FROM g a, g b WHERE a.id != b.id),
+k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, target) AS rank FROM p)"""
+
+
+@_query(f"WITH {_NEAR} SELECT query, target, round(distance, 6) AS distance, rank::INT AS rank FROM k WHERE rank <= 5")
+def nearest_neighbours(spark, sf_dir):
+    g = grains(spark, sf_dir)
+    return neighbors.knn(g, g, 5, ("X", "Y", "Z"), exclude_self=True).select("query", "target", _r("distance"), "rank")
+
+
+@_query(f"WITH {_NEAR} SELECT a.query AS src, a.target AS dst FROM k a JOIN k b ON a.query = b.target AND a.target = b.query WHERE a.rank <= 6 AND b.rank <= 6 AND a.query < a.target")
+def mutual_neighbours(spark, sf_dir):
+    return neighbors.mutual_knn_edges(grains(spark, sf_dir), 6, ("X", "Y", "Z"))
+
+
+@_query(f"""WITH g AS ({GRAINS_SQL}), t AS (SELECT * FROM g WHERE id % 7 = 0), q AS (SELECT * FROM g WHERE id % 7 = 3),
+p AS (SELECT q.id, t.id AS tid, t.GrainRadius AS r, sqrt((q.X - t.X) ** 2 + (q.Y - t.Y) ** 2 + (q.Z - t.Z) ** 2) AS d FROM q, t),
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, tid) AS n FROM p) SELECT id, r AS GrainRadius, round(d, 6) AS nearest_distance FROM k WHERE n = 1""")
+def nearest_attribute(spark, sf_dir):
+    g = grains(spark, sf_dir)
+    found = neighbors.nearest_attributes(g.where("id % 7 = 3").select("id", "X", "Y", "Z"), g.where("id % 7 = 0"), ["GrainRadius"], ("X", "Y", "Z"))
+    return found.select("id", "GrainRadius", _r("nearest_distance"))
+
+
+@_query("""WITH q AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0), t AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+p AS (SELECT q.vec_id AS query, t.vec_id AS target, list_sum([(s[1] - s[2]) * (s[1] - s[2]) for s in list_zip(q.v, t.v)]) AS d FROM q, t),
+k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, target) AS rank FROM p) SELECT query, target, round(d, 6) AS distance2, rank::INT AS rank FROM k WHERE rank <= 5""")
+def feature_topk(spark, sf_dir):
+    e = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    found = neighbors.feature_topk(e.where("vec_id % 20 = 0"), e, 5, "embedding", "vec_id")
+    return found.select("query", "target", _r("distance2"), "rank")
+
+
+@_query(f"""WITH s AS (SELECT DISTINCT step, time FROM ({STEPS_SQL})), q AS (SELECT event_id, (epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 86400.0 AS t FROM events WHERE event_id % 50 = 0),
+k AS (SELECT event_id, step, row_number() OVER (PARTITION BY event_id ORDER BY abs(t - time), step) AS n FROM q, s) SELECT event_id, step::BIGINT AS nearest_step FROM k WHERE n = 1""")
+def nearest_step(spark, sf_dir):
+    s = steps(spark, sf_dir).select("step", "time").distinct()
+    e = read_table(spark, sf_dir, "events", ["event_id", "ts"]).where("event_id % 50 = 0")
+    t = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp"))) / 86400.0
+    return neighbors.nearest_times(e.withColumn("t", t), s, "t").select("event_id", "nearest_step")
+
+
+# -- cluster tables
+
+_LABELLED = f"""f AS (SELECT *, (x::BIGINT % 5) * 5 + y::BIGINT % 5 AS label FROM ({FIELD_SQL}))"""
+
+
+def _labelled(spark, sf_dir) -> DataFrame:
+    return field_points(spark, sf_dir).withColumn("label", (F.col("x").cast("long") % 5) * 5 + F.col("y").cast("long") % 5)
+
+
+@_query(f"WITH {_LABELLED} SELECT label, count(*) AS n, round(avg(x), 6) AS x, round(avg(qty), 6) AS qty_mean, round(avg(disc100), 6) AS disc100_mean FROM f GROUP BY label")
+def cluster_means(spark, sf_dir):
+    m = clusters.cluster_means(_labelled(spark, sf_dir), "label", ["x"], ["qty", "disc100"])
+    return m.select("label", "n", _r("x"), _r("qty_mean"), _r("disc100_mean"))
+
+
+_SUMMARY = f"{_LABELLED}, c AS (SELECT label AS cluster_label, count(*) - (label % 3) AS n, sum(qty)::DOUBLE AS qty_sum, sum(qty::DOUBLE * qty) AS qty_sumsq, avg(qty) AS qty_mean, avg(disc100) AS disc100_mean FROM f GROUP BY label)"
+
+
+def _summary(spark, sf_dir) -> DataFrame:
+    p = _labelled(spark, sf_dir).withColumns({"qty": F.col("qty").cast("double"), "disc100": F.col("disc100").cast("double")})
+    s = clusters.cluster_summary(p, "label", ["x"], ["qty", "disc100"]).withColumnRenamed("label", "cluster_label")
+    return s.withColumn("n", F.col("n") - F.col("cluster_label") % 3)
+
+
+@_query(f"WITH {_LABELLED} SELECT label, count(*) AS n, min(x) AS x_min, max(x) AS x_max, sum(x) AS x_sum, sum(x * x) AS x_sumsq, round(avg(x), 6) AS x_mean, sum(qty)::BIGINT AS qty_sum, sum(qty * qty)::BIGINT AS qty_sumsq, round(avg(qty), 6) AS qty_mean FROM f GROUP BY label")
+def cluster_summary(spark, sf_dir):
+    s = clusters.cluster_summary(_labelled(spark, sf_dir), "label", ["x"], ["qty"])
+    return s.withColumns({"x_mean": F.round("x_mean", 6), "qty_mean": F.round("qty_mean", 6)})
+
+
+@_query(f"WITH {_SUMMARY} SELECT cluster_label, round(qty_sum / n, 4) AS qty_mean, round(greatest(qty_sumsq / n - (qty_sum / n) * (qty_sum / n), 0), 2) AS qty_var FROM c")
+def rarity_stats(spark, sf_dir):
+    return clusters.rarity_stats(_summary(spark, sf_dir), ["qty"]).select("cluster_label", _r("qty_mean", places=4), _r("qty_var", places=2))
+
+
+@_query(f"WITH {_SUMMARY}, q AS (SELECT quantile_cont(n, 0.2) AS t FROM c) SELECT cluster_label, n, row_number() OVER (ORDER BY n, cluster_label)::INT AS position FROM c, q WHERE n <= t")
+def rare_by_size(spark, sf_dir):
+    return clusters.default_rare(0.2)(_summary(spark, sf_dir)).select("cluster_label", "n", "position")
+
+
+@_query(f"WITH {_SUMMARY} SELECT cluster_label, n, row_number() OVER (ORDER BY n, cluster_label)::INT AS position FROM c WHERE n >= 5 ORDER BY n, cluster_label LIMIT 5")
+def smallest_clusters(spark, sf_dir):
+    return clusters.smallest(5, 5)(_summary(spark, sf_dir)).select("cluster_label", "n", "position")
+
+
+@_query(f"WITH {_SUMMARY} SELECT cluster_label, round(qty_mean, 6) AS qty_mean, row_number() OVER (ORDER BY qty_mean DESC, cluster_label)::INT AS position FROM c ORDER BY qty_mean DESC, cluster_label LIMIT 4")
+def highest_clusters(spark, sf_dir):
+    return clusters.highest("qty_mean", 4)(_summary(spark, sf_dir)).select("cluster_label", _r("qty_mean"), "position")
+
+
+@_query(f"""WITH {_SUMMARY}, s AS (SELECT *, row_number() OVER (ORDER BY n, cluster_label) AS position FROM c ORDER BY n, cluster_label LIMIT 6),
+b AS (SELECT cluster_label, row_number() OVER (ORDER BY n, position) + 1 AS block_id FROM s) SELECT coalesce(block_id, 1) AS block_id, count(*) AS n FROM f LEFT JOIN b ON label = cluster_label GROUP BY 1""")
+def rare_blocks(spark, sf_dir):
+    blocks = clusters.block_numbers(clusters.smallest(6)(_summary(spark, sf_dir)))
+    points = _labelled(spark, sf_dir).withColumnRenamed("label", "cluster_label")
+    return clusters.apply_blocks(points, blocks).groupBy("block_id").agg(F.count("*").alias("n"))
+
+
+@_query(f"WITH {_LABELLED}, s AS (SELECT label, count(*) AS n FROM f WHERE qty > 24 * n GROUP BY label) SELECT row_number() OVER (ORDER BY n DESC, label)::INT AS rank, label, n FROM s")
+def cluster_size_ranks(spark, sf_dir):
+    return clusters.size_ranks(_labelled(spark, sf_dir).where("qty > 24 * n"), "label")
+
+
+@_query("WITH d AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_partkey % 3 = 0), t AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS number FROM d) SELECT number, count(*) AS n FROM lineitem JOIN t ON l_partkey = k GROUP BY 1")
+def relabelled(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem", ["l_partkey"]).where("l_partkey % 3 = 0")
+    return clusters.relabel(li, "l_partkey", "number").groupBy("number").agg(F.count("*").alias("n"))
+
+
+@_query("""WITH e AS (SELECT min(o_totalprice) AS lo, (max(o_totalprice) - min(o_totalprice)) / 20 AS w FROM orders), b AS (SELECT least(floor((o_totalprice - lo) / w), 19)::INT AS bin, count(*) AS c FROM orders, e GROUP BY 1)
+SELECT i::INT AS bin, round(lo + i * w, 4) AS low, round(lo + (i + 1) * w, 4) AS high, coalesce(c, 0)::DOUBLE AS value FROM range(20) r(i) CROSS JOIN e LEFT JOIN b ON bin = i""")
+def price_histogram(spark, sf_dir):
+    h = clusters.histogram(read_table(spark, sf_dir, "orders", ["o_totalprice"]), "o_totalprice", 20)
+    return h.select("bin", _r("low", places=4), _r("high", places=4), "value")
+
+
+@_query("SELECT count(DISTINCT CASE WHEN l_suppkey % 10 != 0 THEN l_suppkey END) AS n_clusters, count(*) FILTER (l_suppkey % 10 = 0) AS n_noise FROM lineitem")
+def cluster_counts(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem", ["l_suppkey"]).select(F.when(F.col("l_suppkey") % 10 == 0, -1).otherwise(F.col("l_suppkey")).alias("label"))
+    return clusters.counts(li)
+
+
+# -- joins and set operations of the shared tables' own keys
+
+
+@_query("SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_discount > 0.08)")
+def unmatched_anti(spark, sf_dir):
+    claimed = read_table(spark, sf_dir, "lineitem").where("l_quantity > 49 and l_discount > 0.08").select(F.col("l_suppkey").alias("target"), F.lit(True).alias("valid"))
+    return stitching.unmatched_targets(claimed, read_table(spark, sf_dir, "supplier", ["s_suppkey"]), "s_suppkey")
+
+
+@_query("SELECT l_suppkey AS target, list_sort(list(DISTINCT l_orderkey)) AS sources FROM lineitem WHERE l_quantity > 49 GROUP BY 1 HAVING count(DISTINCT l_orderkey) > 1")
+def split_sources(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("target"), F.col("l_orderkey").alias("source")).distinct()
+    return stitching.splits(li.withColumn("valid", F.lit(True)))
+
+
+@_query(f"WITH g AS ({GRAINS_SQL}) SELECT ScanID::INT AS ScanID, count(*) AS n, sum(GrainRadius) AS radius FROM (SELECT 0 AS ScanID, * FROM g WHERE Z < 500 UNION ALL SELECT 1, * FROM g WHERE Z >= 400) GROUP BY 1")
+def naive_union(spark, sf_dir):
+    g = grains(spark, sf_dir)
+    return stitching.naive_stitch([g.where("Z < 500"), g.where("Z >= 400")]).groupBy("ScanID").agg(F.count("*").alias("n"), F.sum("GrainRadius").alias("radius"))
+
+
+# -- windows, regions and rules
+
+_REGION = """CASE WHEN zh <= 400 THEN 3 WHEN zl >= 500 THEN 2 WHEN zl < 400 AND zh > 500 THEN 6 WHEN zl < 400 AND zh > 400 THEN 5 WHEN zl < 500 AND zh > 500 THEN 4 ELSE 1 END"""
+
+
+@_query(f"WITH g AS ({GRAINS_SQL}), e AS (SELECT Z - GrainRadius * 1.001::DOUBLE AS zl, Z + GrainRadius * 1.001::DOUBLE AS zh FROM g) SELECT {_REGION} AS region, count(*) AS n FROM e GROUP BY 1")
+def overlap_regions(spark, sf_dir):
+    low, high = regions.z_extent()
+    return grains(spark, sf_dir).select(regions.region(low, high, 400.0, 500.0).alias("region")).groupBy("region").agg(F.count("*").alias("n"))
+
+
+_RULE_ROWS = ", ".join(f"({i + 1}, {j + 1}, '{a}')" for i, line in enumerate(regions.MATCH_RULES.strip().split("\n")) for j, a in enumerate(line.split()))
+
+
+@_query(f"""WITH g AS ({GRAINS_SQL}), e AS (SELECT id, Z - GrainRadius * 1.001::DOUBLE AS zl, Z + GrainRadius * 1.001::DOUBLE AS zh FROM g), r AS (SELECT id, {_REGION} AS region FROM e), t(ra, rb, action) AS (VALUES {_RULE_ROWS})
+SELECT action, count(*) AS n FROM r a JOIN r b ON b.id = a.id + 1 JOIN t ON ra = a.region AND rb = b.region GROUP BY 1""")
+def match_actions(spark, sf_dir):
+    low, high = regions.z_extent()
+    r = grains(spark, sf_dir).select("id", regions.region(low, high, 400.0, 500.0).alias("ra"))
+    b = r.select((F.col("id") - 1).alias("id"), F.col("ra").alias("rb"))
+    return r.join(b, "id").join(F.broadcast(regions.match_rules(spark)), ["ra", "rb"]).groupBy("action").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT i::INT AS scan, round(i * (1000 / (5 - 4 * 0.2)) * 0.8, 6) AS z0, round(i * (1000 / (5 - 4 * 0.2)) * 0.8 + 1000 / (5 - 4 * 0.2), 6) AS z1 FROM range(5) r(i)")
+def scan_windows(spark, sf_dir):
+    return regions.scan_windows(spark, 0.0, 1000.0, 5, 0.2).select("scan", _r("z0"), _r("z1"))
+
+
+@_query(f"WITH g AS ({GRAINS_SQL}) SELECT id, row_number() OVER (ORDER BY id)::INT - 1 AS row FROM g WHERE X BETWEEN 100 + 40 AND 900 - 40 AND Y BETWEEN 100 + 40 AND 900 - 40 AND Z BETWEEN 100 + 40 AND 900 - 40")
+def box_filter(spark, sf_dir):
+    return boxes.shrink_filter(grains(spark, sf_dir), [(100.0, 900.0)] * 3, 5.0).select("id", "row")
+
+
+# -- steps
+
+
+@_query(f"WITH s AS ({STEPS_SQL}) SELECT step, time, round(sum(value * volume)::DOUBLE / sum(volume), 6) AS value FROM s WHERE step > (SELECT min(step) FROM s) GROUP BY ALL")
+def macro_curve(spark, sf_dir):
+    return results.macro_curve(steps(spark, sf_dir), ["value"]).select("step", "time", _r("value"))
+
+
+@_query(f"WITH s AS ({STEPS_SQL}), m AS (SELECT step, avg(value) AS m FROM s GROUP BY 1) SELECT step, round(m - first_value(m) OVER (ORDER BY step), 6) AS strain FROM m")
+def axial_strain(spark, sf_dir):
+    return results.axial_strain(steps(spark, sf_dir), "value").select("step", _r("strain"))
+
+
+@_query(f"WITH s AS ({STEPS_SQL}) SELECT (dense_rank() OVER (ORDER BY time))::INT - 1 AS step, time, grain, value::DOUBLE AS value FROM s")
+def unpivot_blocks(spark, sf_dir):
+    wide = steps(spark, sf_dir).groupBy("time").pivot("grain", list(range(16))).agg(F.first("value"))
+    wide = wide.toDF("time", *[f"value_{g}" for g in range(16)])
+    return results.long_blocks(wide, ["value"]).where("value is not null")
+
+
+@_query(f"WITH s AS ({STEPS_SQL}) SELECT s.step, [coalesce(v.value::DOUBLE, 'nan'::DOUBLE)] AS value FROM (SELECT DISTINCT step FROM s) s LEFT JOIN (SELECT step, value FROM s WHERE grain = 3) v USING (step)")
+def tensor_over_time(spark, sf_dir):
+    return results.tensor_block(steps(spark, sf_dir), "value", 0, "time", 3)
+
+
+@_query(f"""WITH s AS ({STEPS_SQL}), c AS (SELECT time, sum(value)::DOUBLE AS total, lead(time) OVER (ORDER BY time) AS t1, lead(sum(value)::DOUBLE) OVER (ORDER BY time) AS v1 FROM s GROUP BY time),
+q AS (SELECT i * 0.75::DOUBLE AS q FROM range(40) r(i)) SELECT q, round(CASE WHEN t1 IS NULL THEN total ELSE total + (q - time) / (t1 - time) * (v1 - total) END, 4) AS total FROM q LEFT JOIN c ON q >= time AND (q < t1 OR (t1 IS NULL AND q = time))""")
+def resampled_curve(spark, sf_dir):
+    curve = steps(spark, sf_dir).groupBy("time").agg(F.sum("value").cast("double").alias("total"))
+    at = spark.range(40).select((F.col("id") * 0.75).alias("q"))
+    return tensors.resample(curve, at, "time", "total", "q").select("q", _r("total", places=4))
+
+
+@_query(f"WITH s AS ({STEPS_SQL}), c AS (SELECT time, sum(value)::DOUBLE AS total FROM s GROUP BY time) SELECT round(regr_slope(total, time), 4) AS slope FROM c WHERE time BETWEEN 2 AND 12")
+def curve_slope(spark, sf_dir):
+    curve = steps(spark, sf_dir).groupBy("time").agg(F.sum("value").cast("double").alias("total"))
+    return spark.createDataFrame([(round(tensors.slope(curve, "time", "total", 2.0, 12.0), 4),)], "slope double")
+
+
+@_query(f"WITH g AS ({GRAINS_SQL}) SELECT id, round(GrainRadius ** 3 / (SELECT sum(GrainRadius ** 3) FROM g), 9) AS weight FROM g")
+def volume_weights(spark, sf_dir):
+    return tensors.volume_weights(grains(spark, sf_dir)).select("id", _r("weight", places=9))
+
+
+# -- orientations
+
+
+def _matrix_sql(prefix: str) -> str:
+    a, b, c = (f"radians({prefix}Eul{k})" for k in range(3))
+    c1, s1, cb, sb, c2, s2 = f"cos({a})", f"sin({a})", f"cos({b})", f"sin({b})", f"cos({c})", f"sin({c})"
+    return f"""[{c1}*{c2}-{s1}*{s2}*{cb}, {s1}*{c2}+{c1}*{s2}*{cb}, {s2}*{sb}, -{c1}*{s2}-{s1}*{c2}*{cb}, -{s1}*{s2}+{c1}*{c2}*{cb}, {c2}*{sb}, {s1}*{sb}, -{c1}*{sb}, {cb}]"""
+
+
+@_query(f"WITH g AS ({GRAINS_SQL}), m AS (SELECT id, {_matrix_sql('')} AS m FROM g) SELECT id, [round(v, 9) + 0.0 for v in m] AS m FROM m")
+def orientation_matrices(spark, sf_dir):
+    m = orientation.euler_to_matrix("Eul0", "Eul1", "Eul2", "bunge")
+    return grains(spark, sf_dir).select("id", F.transform(m, lambda v: F.round(v, 9) + 0.0).alias("m"))
+
+
+def _misorientation_sql() -> str:
+    best = []
+    for o in orientation.symmetry_operators("432"):
+        best.append(" + ".join(f"({v})*d[{3 * k + i + 1}]" for i in range(3) for k in range(3) if (v := o[3 * i + k])))
+    product = ", ".join(" + ".join(f"m1[{3 * i + k + 1}]*m2[{3 * j + k + 1}]" for k in range(3)) for i in range(3) for j in range(3))
+    return f"""WITH g AS ({GRAINS_SQL}), m AS (SELECT id, {_matrix_sql('')} AS m FROM g), p AS (SELECT a.id, a.m AS m1, b.m AS m2 FROM m a JOIN m b ON b.id = a.id + 1),
+q AS (SELECT id, [{product}] AS d FROM p) SELECT id, round(degrees(acos(least(1, greatest(-1, (greatest({', '.join(best)}) - 1) / 2)))), 4) AS angle FROM q"""
+
+
+@_query(_misorientation_sql())
+def misorientations(spark, sf_dir):
+    g = grains(spark, sf_dir).select("id", orientation.euler_to_matrix("Eul0", "Eul1", "Eul2", "bunge").alias("m1"))
+    b = g.select((F.col("id") - 1).alias("id"), F.col("m1").alias("m2"))
+    return g.join(b, "id").select("id", _r(orientation.misorientation("m1", "m2"), "angle", 4))
+
+
+# -- operators that SQL does not express
+
+
+def _lattice_field(spark, sf_dir) -> DataFrame:
+    p = field_points(spark, sf_dir)
+    return p.select("id", *[F.col(a).cast("long").alias(f"i{a}") for a in "xyz"], F.when(F.col("qty") > 24 * F.col("n"), 1).otherwise(0).alias("phase"), orientation.euler_to_matrix(F.col("qty") % 4, F.lit(0.0), F.lit(0.0), "bunge").alias("matrix"))
+
+
+@_query()
+def flood_segments(spark, sf_dir):
+    return voxels.flood(_lattice_field(spark, sf_dir), 2.5, 3)
+
+
+@_query()
+def small_segments_removed(spark, sf_dir):
+    f = _lattice_field(spark, sf_dir)
+    s = voxels.flood(f, 2.5, 1)
+    own = f.join(s, "id")
+    return voxels.remove_small(own, 4).select("id", "segment")
+
+
+@_query()
+def infilled(spark, sf_dir):
+    f = _lattice_field(spark, sf_dir)
+    return voxels.infill(f.join(voxels.flood(f, 2.5, 4), "id")).select("id", "segment")
+
+
+@_query()
+def smoothed_field(spark, sf_dir):
+    f = _lattice_field(spark, sf_dir)
+    return voxels.smooth(f.withColumn("q", orientation.matrix_to_quaternion(orientation.transpose("matrix"))))
+
+
+@_query()
+def reconstructed_cells(spark, sf_dir):
+    p = field_points(spark, sf_dir).select("id", "x", "y", "z", F.when(F.col("qty") > 24 * F.col("n"), 1).otherwise(0).alias("phase"), (F.col("qty") % 4).cast("double").alias("Eul0"), F.lit(0.0).alias("Eul1"), F.lit(0.0).alias("Eul2"))
+    return reconstruct.reconstruct(p, tolerance=2.5, min_size=3)
+
+
+def _weighted(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    p, d = _distances(spark, sf_dir)
+    return p, graph.weigh(graph.within(d, 60.0), "exp", sigma=20.0)
+
+
+@_query()
+def communities_label_propagation(spark, sf_dir):
+    return community.segment(*_weighted(spark, sf_dir), "plp")
+
+
+@_query()
+def communities_leiden(spark, sf_dir):
+    return community.segment(*_weighted(spark, sf_dir), "leiden")
+
+
+@_query()
+def density_clusters(spark, sf_dir):
+    return density.dbscan(grains(spark, sf_dir), 60.0, 3, ("X", "Y", "Z"))
+
+
+@_query()
+def hierarchical_clusters(spark, sf_dir):
+    return density.hierarchical(_summary(spark, sf_dir), ["qty_mean", "disc100_mean"], "cluster_label", "average", "maxclust", 4)
+
+
+@_query()
+def reachability_order(spark, sf_dir):
+    return density.optics_labels(_summary(spark, sf_dir), ["qty_mean", "disc100_mean"], 3, "cluster_label", eps=5.0)
+
+
+@_query()
+def optimal_assignment(spark, sf_dir):
+    g = grains(spark, sf_dir)
+    near = neighbors.knn(g.where("id % 2 = 0"), g.where("id % 2 = 1"), 4, ("X", "Y", "Z"))
+    return assignment.assign(near.select(F.col("query").alias("a"), F.col("target").alias("b"), (F.col("distance") / 100).alias("cost")), 1.0)
+
+
+@_query()
+def stitched_scans(spark, sf_dir):
+    g = grains(spark, sf_dir)
+    moved = g.select("id", (F.col("X") + 1).alias("X"), "Y", "Z", "GrainRadius", "Eul0", "Eul1", "Eul2")
+    out, _ = stitching.stitch([g.where("Z < 560"), moved.where("Z > 440")], 0.0, 1000.0, 120 / 560)
+    return out
+
+
+@_query()
+def compared_scans(spark, sf_dir):
+    g = grains(spark, sf_dir)
+    moved = g.where("id % 5 != 0").select((F.col("id") + 1_000_000).alias("id"), (F.col("X") + 1).alias("X"), "Y", "Z", "GrainRadius", "Eul0", "Eul1", "Eul2")
+    return stitching.compare_scans(g, moved)
+
+
+@_query()
+def tracked_grains(spark, sf_dir):
+    g = grains(spark, sf_dir)
+    e = neighbors.mutual_knn_edges(g, 6, ("X", "Y", "Z"))
+    f = tracking.orientation_features(g.withColumns({f"Eul{k}": F.col(f"Eul{k}") / 360 for k in range(3)}), e, 3)
+    return tracking.select_neighbours(f.where("id % 20 = 0"), f, e, e, 5, iterations=2)
+
+
+@_query()
+def rare_region_points(spark, sf_dir):
+    p = field_points(spark, sf_dir)
+    spec = rare_regions.GraphSpec(similarity.tensor_norm_metric(("qty", "disc100")), mode="grid", max_distance=60.0, weight="exp", sigma=20.0, topk=4, segmenter="plp")
+    merge = rare_regions.MergeSpec("hierarchical", ["qty_mean", "disc100_mean"], {"criterion": "maxclust", "threshold": 8})
+    found = rare_regions.find_rare_regions(p, spec, ["qty", "disc100"], merge, clusters.smallest(3))
+    return found.points.select("id", "segment", "cluster_label", "block_id")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)

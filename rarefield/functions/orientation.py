@@ -16,6 +16,11 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def to_bunge(a, b, c, convention: str) -> tuple[Column, Column, Column]:
     """Angles in radians of a convention as Bunge angles."""
     a, b, c = _c(a), _c(b), _c(c)
@@ -128,7 +133,7 @@ def fundamental_zone(m, symmetry: str = "432") -> Column:
     ops = symmetry_operators(symmetry)
     best = F.array_max(F.array(*[F.struct(t.alias("t"), F.lit(-k).alias("k")) for k, t in enumerate(_op_traces(m, symmetry))]))["k"]
     table = F.array(*[F.array(*[F.lit(float(x)) for x in o]) for o in ops])
-    return multiply(F.get(table, -best), m)
+    return let(F.get(table, -best), lambda o: multiply(o, m))
 
 
 def quaternion_to_matrix(q) -> Column:
@@ -171,19 +176,19 @@ def mrp_to_quaternion(p) -> Column:
 
 
 def mrp_to_matrix(p) -> Column:
-    return quaternion_to_matrix(mrp_to_quaternion(p))
+    return let(mrp_to_quaternion(p), quaternion_to_matrix)
 
 
 def matrix_to_mrp(m) -> Column:
-    return quaternion_to_mrp(matrix_to_quaternion(m))
+    return let(matrix_to_quaternion(m), quaternion_to_mrp)
 
 
 def euler_to_mrp(e0, e1, e2, convention: str = "kocks", degrees_in: bool = True) -> Column:
-    return matrix_to_mrp(transpose(euler_to_matrix(e0, e1, e2, convention, degrees_in)))
+    return let(transpose(euler_to_matrix(e0, e1, e2, convention, degrees_in)), matrix_to_mrp)
 
 
 def mrp_to_euler(p, convention: str = "kocks", degrees_out: bool = True) -> Column:
-    return matrix_to_euler(transpose(mrp_to_matrix(p)), convention, degrees_out)
+    return let(transpose(mrp_to_matrix(p)), lambda m: matrix_to_euler(m, convention, degrees_out))
 
 
 def descriptor_to_mrp(descriptor: str, values) -> Column:
@@ -191,10 +196,10 @@ def descriptor_to_mrp(descriptor: str, values) -> Column:
     v = _c(values)
     three = [F.get(v, F.lit(i)) for i in range(3)]
     if descriptor == "rotmat":
-        return matrix_to_mrp(transpose(v))
+        return let(transpose(v), matrix_to_mrp)
     if descriptor == "rodrigues":
         w = 1 / F.sqrt(1 + three[0] * three[0] + three[1] * three[1] + three[2] * three[2])
-        return quaternion_to_mrp(F.array(w, *[w * t for t in three]))
+        return let(F.array(w, *[w * t for t in three]), quaternion_to_mrp)
     if descriptor.startswith("euler-"):
         return euler_to_mrp(*three, convention=descriptor.split("-", 1)[1])
     if descriptor == "quaternion":
@@ -217,10 +222,8 @@ def perturb(m, sigma: float, seed: int = 0) -> Column:
     if sigma <= 0:
         return _c(m)
     g = [F.randn(seed + k) for k in range(3)]
-    axis = F.array(*g)
-    length = F.sqrt(F.aggregate(axis, F.lit(0.0), lambda acc, x: acc + x * x))
-    unit = F.transform(axis, lambda x: x / length)
-    return multiply(rotate_about_axis(unit, F.randn(seed + 3) * sigma), m)
+    unit = let(F.array(*g), lambda axis: F.transform(axis, lambda x: x / F.sqrt(F.aggregate(axis, F.lit(0.0), lambda acc, y: acc + y * y))))
+    return let(F.struct(unit.alias("u"), (F.randn(seed + 3) * sigma).alias("t")), lambda s: let(rotate_about_axis(s["u"], s["t"]), lambda r: multiply(r, m)))
 
 
 def ipf_direction(m, sample: tuple[float, float, float] = (0.0, 0.0, 1.0), symmetry: str = "432") -> Column:
@@ -244,3 +247,18 @@ def ipf_color(direction) -> Column:
         dot = sum((F.get(d, F.lit(i)) * c[i] for i in range(3)), F.lit(0.0))
         out.append(F.greatest(F.least((dot - least) / (1 - least), F.lit(1.0)), F.lit(0.0)))
     return F.array(*out)
+
+
+def weighted_means(first: np.ndarray, second: np.ndarray, share: np.ndarray, symmetry: str = "432") -> np.ndarray:
+    """The weighted means of pairs of orientations (n, 3, 3): the lighter one is brought next to the heavier, the matrices are averaged, and the nearest rotation is taken."""
+    ops = np.array(symmetry_operators(symmetry)).reshape(-1, 3, 3)
+    swap = share < 0.5
+    heavy = np.where(swap[:, None, None], second, first)
+    light = np.where(swap[:, None, None], first, second)
+    traces = np.einsum("oij,njk,nik->no", ops, light, heavy)
+    near = np.einsum("nij,njk->nik", ops[traces.argmax(axis=1)], light)
+    w = np.maximum(share, 1 - share)[:, None, None]
+    u, _, vt = np.linalg.svd(w * heavy + (1 - w) * near)
+    turn = np.sign(np.linalg.det(u @ vt))
+    u[:, :, 2] *= turn[:, None]
+    return u @ vt

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,33 +75,27 @@ def candidates(a: DataFrame, b: DataFrame, spec: MatchSpec, pos_scale: float | N
 def merge_rows(pairs: DataFrame, a: DataFrame, b: DataFrame, spec: MatchSpec, id_col: str = "_gid") -> DataFrame:
     """One row per pair (a, b): volume-weighted position, the radius of the mean volume, the mean orientation, all else from ``a``."""
     va, vb = F.col("_ra") ** 3, F.col("_rb") ** 3
+    ma = a.withColumn("_ma", matrix(spec)).withColumn("_ra", F.col("GrainRadius"))
     mb = b.select(F.col(id_col).alias("b"), *[F.col(x).alias(f"_b{x}") for x in XYZ], F.col("GrainRadius").alias("_rb"), matrix(spec).alias("_mb"))
-    joined = pairs.select("a", "b").join(a.withColumn("_ma", matrix(spec)).withColumn("_ra", F.col("GrainRadius")), F.col("a") == F.col(id_col)).join(mb, "b")
+    joined = pairs.select("a", "b").join(ma, F.col("a") == F.col(id_col)).join(mb, "b")
     out = joined.withColumns({x: (F.col(x) * va + F.col(f"_b{x}") * vb) / (va + vb) for x in XYZ}).withColumn("GrainRadius", F.cbrt((va + vb) / 2))
-    out = out.withColumn("_e", rot.matrix_to_euler(mean_of_two("_ma", "_mb", va / (va + vb), spec.symmetry), spec.convention, spec.degrees_in))
-    for k, e in enumerate(ANGLES):
-        out = out.withColumn(e, F.get("_e", F.lit(k)))
+    mean = mean_orientations(out.select("a", "_ma", "_mb", (va / (va + vb)).alias("share")), spec.symmetry)
+    out = out.join(mean, "a").withColumn("_e", rot.matrix_to_euler("_mean", spec.convention, spec.degrees_in))
+    out = out.withColumns({e: F.get("_e", F.lit(k)) for k, e in enumerate(ANGLES)})
     return out.withColumn("Matched_when_merged", F.lit(True)).select(*a.columns, "Matched_when_merged")
 
 
-def mean_of_two(m1, m2, share1: Column, symmetry: str = "432") -> Column:
-    """The weighted mean of two orientations: the lighter one is brought next to the heavier, then the rotation between them is divided.
+def mean_orientations(pairs: DataFrame, symmetry: str = "432") -> DataFrame:
+    """(a, _mean) of rows (a, two matrices, share of the first)."""
 
-    For two rotations the nearest rotation to their weighted matrix mean turns
-    about the common axis, by atan2 of the weighted sines and cosines.
-    """
-    m1, m2 = (F.col(m) if isinstance(m, str) else m for m in (m1, m2))
-    heavy = F.when(share1 >= 0.5, m1).otherwise(m2)
-    light = F.when(share1 >= 0.5, m2).otherwise(m1)
-    w = F.greatest(share1, 1 - share1)
-    near = rot.multiply(rot.fundamental_zone(rot.multiply(light, rot.transpose(heavy)), symmetry), heavy)
-    turn = rot.matrix_to_quaternion(rot.multiply(near, rot.transpose(heavy)))
-    half = F.acos(F.least(F.get(turn, F.lit(0)), F.lit(1.0)))
-    angle = 2 * half
-    part = F.atan2((1 - w) * F.sin(angle), w + (1 - w) * F.cos(angle))
-    scale = F.when(F.sin(half) > 1e-12, F.sin(part / 2) / F.sin(half)).otherwise(F.lit(0.0))
-    q = F.array(F.cos(part / 2), *[F.get(turn, F.lit(k)) * scale for k in (1, 2, 3)])
-    return rot.multiply(rot.quaternion_to_matrix(q), heavy)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                m = [batch.column(k).flatten().to_numpy().reshape(-1, 3, 3) for k in (1, 2)]
+                mean = rot.weighted_means(*m, batch.column(3).to_numpy(), symmetry).reshape(-1, 9)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(mean), pa.list_(pa.float64()))], ["a", "_mean"])
+
+    return pairs.mapInArrow(run, "a long, _mean array<double>")
 
 
 def _with_region(df: DataFrame, zol: float, zoh: float) -> DataFrame:
