@@ -1,13 +1,11 @@
 """Links and groups from candidate buckets, without forming all pairs of a bucket.
 
-``connected_components`` alternates the large-star and small-star steps of
-Kiveris et al., "Connected Components in MapReduce and Beyond" (2014).
-
 ``link_buckets`` finds the components of the link graph that a verifier decides.
 A bucket of members needs no more than a spanning set of verified links, so it
 tries stars first: every member against the most central member of its bucket.
 Only members that remain in different components are compared with each other,
-all of them, so no link between different texts is lost whatever a bucket's size.
+all that an exact index leaves possible, so no link between different texts is
+lost whatever a bucket's size.
 
 All joins are plain equi-joins on their own exchange, so adaptive execution can
 split a hot bucket, and every aggregation combines before it shuffles.
@@ -20,40 +18,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rarefield.operators.components import connected_components
 from rarefield.scratch import Scratch
 
 Verify = Callable[[DataFrame], DataFrame]
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) of every node of an edge list of longs; component is the smallest node reachable."""
-    now = scratch.save(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), "edges"
-    )
-    mark = None
-    while True:
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small_min = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(small_min, "u")
-            .select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-            .distinct()
-        )
-        then = scratch.save(small, "edges")
-        r = then.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        scratch.drop(now)
-        now = then
-        if (r[0], r[1]) == mark:
-            break
-        mark = (r[0], r[1])
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-        now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
-
-
-def link_buckets(buckets: DataFrame, prepare: Callable[[DataFrame], Verify], scratch: Scratch, near: Callable[[Column], Column] | None = None) -> DataFrame:
+def link_buckets(buckets: DataFrame, prepare: Callable[[DataFrame], Verify], scratch: Scratch, near: Callable[[Column], Column] | None = None, index: Callable[[DataFrame], DataFrame] | None = None, possible: Column | None = None) -> DataFrame:
     """(node, component) of the members that a verified link joins to another.
 
     ``buckets`` has the long columns ``key`` and ``id``.  ``prepare`` gets the
@@ -61,6 +32,11 @@ def link_buckets(buckets: DataFrame, prepare: Callable[[DataFrame], Verify], scr
     verifier, which takes distinct pairs (a, b) with a < b and returns the links.
     With ``near``, ``buckets`` also has a long ``sketch``, the same in all rows of
     an id; only pairs whose sketches' exclusive or passes ``near`` are verified.
+    With ``index``, members still apart after the stars are not compared by their
+    buckets.  It gets the pairs (hub, id) of a bucket's hub and member, and returns
+    sharper rows (key, id, sketch, more columns c): two members that were compared
+    with one hub, and could be linked, share a key of it at which ``possible``, a
+    condition over sketch, c of the one and hs, h_c of the other, holds.
     """
     if near is None:
         near, buckets = (lambda difference: F.lit(True)), buckets.withColumn("sketch", F.lit(0).cast("long"))
@@ -77,6 +53,7 @@ def link_buckets(buckets: DataFrame, prepare: Callable[[DataFrame], Verify], scr
     near_hub = near(F.col("sketch").bitwiseXOR(F.col("hs")))
 
     hub = ranked.groupBy("key").agg(F.max("rank").alias("h")).select("key", (-F.col("h.m")).alias("hub"), F.col("h.s").alias("hs"))
+    hub = scratch.save(hub, "hubs")
     star = ranked.join(hub, "key").where("id != hub").where(near_hub).select(*ordered)
     tried = scratch.save(two.union(star).distinct(), "pairs")
     shared = tried.select(F.col("a").alias("id")).union(tried.select("b")).union(big.select("id")).distinct()
@@ -104,12 +81,27 @@ def link_buckets(buckets: DataFrame, prepare: Callable[[DataFrame], Verify], scr
     links = scratch.save(links.union(verify(fresh)), "links")
     comps = connected_components(links, scratch)
     tried = tried.union(fresh)
-    # the rest: every pair of different components within a bucket
+    # the rest: pairs of different components that share a key
     members = open_members()
     if members.isEmpty():
         return comps
-    other = members.select("key", F.col("id").alias("hub"), F.col("sketch").alias("hs"), F.col("comp").alias("hc"))
-    cross = members.join(other, "key").where("comp < hc").where(near_hub).select(*ordered)
+    fits = near_hub
+    if index is not None:
+        compared = members.join(hub, "key").where("id != hub").select("hub", "id").distinct()
+        own = members.select("id", "comp").distinct()
+        members = scratch.save(index(scratch.save(compared, "compared")).join(own, "id"), "indexed")
+        held = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
+        per_key = held.groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("most"), F.count("*").alias("comps")).where("comps > 1")
+        fits = possible
+    else:
+        held = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
+        per_key = held.groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("most"))
+    # members outside a key's largest component meet all others of the key; the largest component never meets itself
+    lone = members.join(per_key.select("key", "most"), "key").where("comp != most")
+    told = [c for c in members.columns if c not in ("key", "id", "comp", "sketch", "rank")]
+    other = members.select("key", F.col("id").alias("hub"), F.col("sketch").alias("hs"), F.col("comp").alias("hc"), *[F.col(c).alias(f"h_{c}") for c in told])
+    once = (F.col("comp") < F.col("hc")) | ((F.col("hc") == F.col("most")) & (F.col("comp") != F.col("hc")))
+    cross = lone.join(other, (lone["key"] == other["key"]) & once & fits).select(*ordered)
     fresh = scratch.save(cross.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
     links = scratch.save(links.union(verify(fresh)), "links")
     return connected_components(links, scratch)

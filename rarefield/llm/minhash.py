@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rarefield.llm import linkage, wordhash
@@ -57,7 +57,7 @@ def band_keys(signatures: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> n
     """One 64-bit key for each band; the band's number is part of it."""
     keys = np.empty((len(signatures), bands), np.uint64)
     for b in range(bands):
-        k = np.full(len(signatures), np.uint64(b + 1) * np.uint64(0x9E3779B97F4A7C15), np.uint64)
+        k = np.full(len(signatures), (b + 1) * 0x9E3779B97F4A7C15 % (1 << 64), np.uint64)
         for r in range(rows):
             k = wordhash.mix(k ^ signatures[:, b * rows + r])
         keys[:, b] = k
@@ -129,6 +129,78 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
     return pairs.join(ta, "a").join(tb, "b").select("a", "b", "_ta", "_tb").mapInArrow(run, "a long, b long")
 
 
+SLOTS = 1 << 18
+_PARITY = [f"p{k}" for k in range(8)]
+
+
+def slot_counts(texts: DataFrame, shingle: int) -> np.ndarray:
+    """How many of ``texts`` have a shingle in each of ``SLOTS`` slots; a table of a fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for _, sets in shingle_sets(batch.column(1), shingle):
+                n += np.bincount((np.concatenate(sets) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["slot", "n"])
+
+    out = np.zeros(SLOTS, np.int64)
+    for r in texts.select("doc_id", "text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        out[r["slot"]] = r["n"]
+    return out
+
+
+def difference_keys(pairs: DataFrame, texts: DataFrame, counts: np.ndarray, shingle: int, percent: int) -> DataFrame:
+    """(key, id, sketch, size): an exact index of the sets that were compared with one hub.
+
+    Let D(x) be the symmetric difference of x and the hub, and t the greatest
+    difference that the similarity allows two sets.  If x is not linked to the hub
+    but to y, |D(x)| + |D(y)| exceeds t, so D(x) and D(y) share more than
+    (|D(x)| + |D(y)| - t) / 2 elements, at least one.  What copies of one text have
+    in common cancels out: copies with edits of their own share nothing, however
+    many there are.  D is ordered by rarity and cut to the prefix in which a first
+    shared element must lie; the sketch holds how many elements of D begin there,
+    and how many D has.  ``p0`` to ``p7`` are the parities of D's elements in 512
+    slots: no two sets differ by less than these do.
+    """
+    sent = pairs.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hubs, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            sides = [[s for _, sets in shingle_sets(batch.column(k), shingle) for s in sets] for k in (2, 3)]
+            keys, owner, sketch, size, parity = [], [], [], [], []
+            for h, i, a, b in zip(hubs, ids, *sides, strict=True):
+                d = np.setxor1d(a, b, assume_unique=True)
+                if not len(d) or not len(b):
+                    continue
+                d = d[np.lexsort((d, sent.value[(d % np.uint64(SLOTS)).astype(np.int64)]))]
+                largest = 100 * len(b) // percent
+                prefix = min(len(d), (100 - percent) * (len(b) + largest) // (100 + percent) + 1)
+                keys.append(wordhash.mix(d[:prefix] ^ np.uint64(h * 0x9E3779B97F4A7C15 % (1 << 64))))
+                owner.append(np.full(prefix, i, np.int64))
+                sketch.append((len(d) - np.arange(prefix, dtype=np.int64)) << 32 | len(d))
+                size.append(np.full(prefix, len(b), np.int64))
+                odd = np.bincount((d >> np.uint64(20) & np.uint64(511)).astype(np.int64), minlength=512) & 1
+                parity.append(np.broadcast_to(np.packbits(odd.astype(bool)).view(np.int64), (prefix, 8)))
+            if keys:
+                columns = [np.concatenate(keys).view(np.int64), *(np.concatenate(x) for x in (owner, sketch, size)), *np.ascontiguousarray(np.concatenate(parity).T)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "id", "sketch", "size", *_PARITY])
+
+    th = texts.select(F.col("doc_id").alias("hub"), F.col("text").alias("_th"))
+    tx = texts.select(F.col("doc_id").alias("id"), F.col("text").alias("_tx"))
+    return pairs.join(th, "hub").join(tx, "id").select("hub", "id", "_th", "_tx").mapInArrow(run, "key long, id long, sketch long, size long" + "".join(f", {p} long" for p in _PARITY))
+
+
+def _possible(percent: int) -> Column:
+    """Whether two sets can be linked if the key's element is the first that their differences share."""
+    rest = F.least(F.shiftright("sketch", 32), F.shiftright("hs", 32))
+    low = F.lit((1 << 32) - 1)
+    both = F.col("sketch").bitwiseAND(low) + F.col("hs").bitwiseAND(low)
+    apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"h_{p}"))) for p in _PARITY), F.lit(0))
+    return F.greatest(both - 2 * rest, apart) * (100 + percent) <= (F.col("size") + F.col("h_size")) * (100 - percent)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
     spark = docs.sparkSession
@@ -140,12 +212,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     reps = usable.join(classes.select("rep"), usable["doc_id"] == classes["rep"], "left_semi")
     buckets = reps.select("doc_id", F.explode("bands").alias("key")).select("key", F.col("doc_id").alias("id"))
 
+    prepared: list[DataFrame] = []
+
     def prepare(ids: DataFrame) -> linkage.Verify:
         asked = ids.hint("shuffle_hash")
         texts = scratch.save(own.join(asked, own["doc_id"] == asked["id"], "left_semi").dropDuplicates(["doc_id"]), "texts")
+        prepared.append(texts)
         return lambda pairs: confirm(pairs, texts, shingle, percent)
 
-    comps = linkage.link_buckets(buckets, prepare, scratch)
+    def index(pairs: DataFrame) -> DataFrame:
+        counts = slot_counts(prepared[0], shingle)
+        return difference_keys(pairs, prepared[0], counts, shingle, percent)
+
+    comps = linkage.link_buckets(buckets, prepare, scratch, index=index, possible=_possible(percent))
     named = classes.join(comps, classes["rep"] == comps["node"], "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
     joined = signed.join(named, ["h1", "h2"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
