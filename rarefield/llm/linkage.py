@@ -45,7 +45,7 @@ def link_buckets(buckets: DataFrame, prepare: Callable[[DataFrame], Verify], scr
     sized = scratch.save(sized.where("lo < hi"), "sized")
     two = sized.where("n = 2").where(near(F.col("x"))).select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     crowded = scratch.save(sized.where("n > 2").select("key", "n"), "crowded")
-    big = scratch.save(rows.join(crowded, "key").select("key", "id", "sketch", "n"), "members")
+    big = scratch.save(rows.join(crowded.hint("shuffle_hash"), "key").select("key", "id", "sketch", "n"), "members")
     central = big.groupBy("id").agg(F.sum("n").alias("c"))
     rank = F.struct(F.col("c"), (-F.col("id")).alias("m"), F.col("sketch").alias("s"))
     ranked = scratch.save(big.join(central, "id").select("key", "id", "sketch", rank.alias("rank")), "ranked")
