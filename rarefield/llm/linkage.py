@@ -24,14 +24,14 @@ from rarefield.scratch import Scratch
 Verify = Callable[[DataFrame], DataFrame]
 
 
-def link_buckets(buckets: DataFrame, prepare: Callable[[DataFrame], Verify], scratch: Scratch, near: Callable[[Column], Column] | None = None, index: Callable[[DataFrame], DataFrame] | None = None, possible: Column | None = None) -> DataFrame:
+def link_buckets(buckets: DataFrame, prepare: Callable[[DataFrame], Verify], scratch: Scratch, near: Callable[[Column, Column], Column] | None = None, index: Callable[[DataFrame], DataFrame] | None = None, possible: Column | None = None) -> DataFrame:
     """(node, component) of the members that a verified link joins to another.
 
     ``buckets`` has the long columns ``key`` and ``id``.  ``prepare`` gets the
     distinct ``id`` of all members that share a bucket, once, and returns the
     verifier, which takes distinct pairs (a, b) with a < b and returns the links.
-    With ``near``, ``buckets`` also has a long ``sketch``, the same in all rows of
-    an id; only pairs whose sketches' exclusive or passes ``near`` are verified.
+    With ``near``, ``buckets`` also has a ``sketch``, the same in all rows of
+    an id; only pairs whose sketches pass ``near``, in either order, are verified.
     With ``index``, members still apart after the stars are not compared by their
     buckets.  It gets the pairs (hub, id) of a bucket's hub and member, and returns
     sharper rows (key, id, sketch, more columns c): two members that were compared
@@ -39,25 +39,27 @@ def link_buckets(buckets: DataFrame, prepare: Callable[[DataFrame], Verify], scr
     condition over sketch, c of the one and hs, h_c of the other, holds.
     """
     if near is None:
-        near, buckets = (lambda difference: F.lit(True)), buckets.withColumn("sketch", F.lit(0).cast("long"))
+        near, buckets = (lambda one, other: F.lit(True)), buckets.withColumn("sketch", F.lit(0).cast("long"))
     rows = buckets.select("key", "id", "sketch")
-    sized = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"), F.bit_xor("sketch").alias("x"))
+    sized = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"), F.min("sketch").alias("x"), F.max("sketch").alias("y"))
     sized = scratch.save(sized.where("lo < hi"), "sized")
-    two = sized.where("n = 2").where(near(F.col("x"))).select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    two = sized.where("n = 2").where(near(F.col("x"), F.col("y"))).select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     crowded = scratch.save(sized.where("n > 2").select("key", "n"), "crowded")
     big = scratch.save(rows.join(crowded.hint("shuffle_hash"), "key").select("key", "id", "sketch", "n"), "members")
     central = big.groupBy("id").agg(F.sum("n").alias("c"))
     rank = F.struct(F.col("c"), (-F.col("id")).alias("m"), F.col("sketch").alias("s"))
     ranked = scratch.save(big.join(central, "id").select("key", "id", "sketch", rank.alias("rank")), "ranked")
     ordered = [F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")]
-    near_hub = near(F.col("sketch").bitwiseXOR(F.col("hs")))
+    near_hub = near(F.col("sketch"), F.col("hs"))
 
     hub = ranked.groupBy("key").agg(F.max("rank").alias("h")).select("key", (-F.col("h.m")).alias("hub"), F.col("h.s").alias("hs"))
     hub = scratch.save(hub, "hubs")
     star = ranked.join(hub, "key").where("id != hub").where(near_hub).select(*ordered)
     tried = scratch.save(two.union(star).distinct(), "pairs")
+    scratch.drop(sized, crowded)
     shared = tried.select(F.col("a").alias("id")).union(tried.select("b")).union(big.select("id")).distinct()
     verify = prepare(scratch.save(shared, "shared"))
+    scratch.drop(big)
     links = scratch.save(verify(tried), "links")
     comps = connected_components(links, scratch)
 

@@ -163,3 +163,74 @@ def test_quality_prefers_good_texts():
     s = quality.Scorer(quality.fit(good + bad, [1] * 60 + [0] * 60))
     assert s.score(good[0]) > 0.5 > s.score(bad[0]) and 0 <= s.score("") <= 1
     assert 0 <= quality.Scorer(quality.fit([], [])).score("x") <= 1
+
+
+def word_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def dropped_by_brute_force(texts):
+    """Positions of the lines to drop in each text: all but the first line of each group of lines within a fifth of their words."""
+    lines_of, first = {}, {}
+    for i, t in enumerate(texts):
+        for p, line in enumerate((t or "").split("\n")):
+            norm = line.strip(" \t\r").lower()
+            if len(norm) >= 10:
+                lines_of[i, p] = norm
+                first.setdefault(norm, norm)
+    norms = list(first)
+    split = {n: re.sub(r"([぀-ヿ一-鿿])", r" \1 ", n).split(" ") for n in norms}
+    split = {n: [w for w in ws if w] for n, ws in split.items()}
+
+    def find(v):
+        while first[v] != v:
+            v = first[v]
+        return v
+
+    for k, a in enumerate(norms):
+        for b in norms[:k]:
+            if word_distance(split[a], split[b]) * 5 <= max(len(split[a]), len(split[b])):
+                first[find(a)] = find(b)
+    seen, lost = set(), {}
+    for at in sorted(lines_of):
+        g = find(lines_of[at])
+        if g in seen:
+            lost.setdefault(at[0], []).append(at[1])
+        seen.add(g)
+    return lost
+
+
+def edited_lines(seed=8):
+    rnd = random.Random(seed)
+    vocabulary = [f"{c}{k}" for c in ("w", "of", "longer") for k in range(70)]
+    made = []
+    for n in [3, 4, 5, 6, 9, 10, 12, 20, 40, 80] * 3:
+        base = [rnd.choice(vocabulary) for _ in range(n)]
+        for _ in range(5):
+            w = list(base)
+            for _ in range(rnd.randint(0, n // 4 + 1)):
+                k = rnd.randrange(len(w)) if w else 0
+                w[k : k + rnd.randint(0, 1)] = [rnd.choice(vocabulary)] * rnd.randint(0, 1)
+            made.append(" ".join(w))
+    kana = [chr(0x3042 + k) for k in range(70)]
+    for _ in range(4):
+        base = [rnd.choice(kana) for _ in range(20)]
+        for edits in (0, 2, 4, 6):
+            made.append("".join(rnd.choice(kana) if k < edits else c for k, c in enumerate(base)))
+    hub = [f"h{k}" for k in range(25)]
+    made += [" ".join(f"x{rnd.randrange(900)}" if rnd.random() < 0.15 else w for w in hub) for _ in range(60)]
+    rnd.shuffle(made)
+    return ["\n".join(made[k : k + 4]) for k in range(0, len(made), 4)]
+
+
+def test_fuzzy_lines_against_brute_force(spark):
+    texts = [*edited_lines(), None, ""]
+    got = {r["doc_id"]: r["dropped_lines"] or [] for r in lines.dedup_lines(docs(spark, texts)).collect()}
+    want = dropped_by_brute_force(texts)
+    assert sum(map(len, want.values())) > 100
+    assert got == {i: want.get(i, []) for i in range(len(texts))}
