@@ -234,3 +234,10 @@ def test_fuzzy_lines_against_brute_force(spark):
     want = dropped_by_brute_force(texts)
     assert sum(map(len, want.values())) > 100
     assert got == {i: want.get(i, []) for i in range(len(texts))}
+
+
+def test_short_and_unspaced_lines(spark):
+    pairs = [("a bc de fg", "a bc de xy fg"), ("i am at an inn", "i am at an elm"), (" ".join(["of", "to", "in", "on", "at", "by"] * 6), " ".join(["of", "to", "in", "on", "at", "by"] * 5 + ["of", "to", "in", "on", "at", "up"])), ("山川草木花鳥風月春夏秋冬", "山川草木花鳥風月春夏秋雪")]
+    apart = ["one two three", "one two four", "ab cd ef gh ij", "ab cd xx gh yy"]
+    got = {r["doc_id"]: r["dropped_lines"] for r in lines.dedup_lines(docs(spark, [x for p in pairs for x in p] + apart)).collect()}
+    assert got == {i: [0] if i % 2 and i < 2 * len(pairs) else None for i in range(2 * len(pairs) + len(apart))}
