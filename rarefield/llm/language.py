@@ -6,7 +6,8 @@ profile by the out-of-place distance: the sum of rank differences, with the
 profile's length for an n-gram that it lacks.
 
 Profiles are learned from a bounded number of labelled documents per language
-(``TRAIN_DOCS``, chosen by a hash of their id and text), whose n-gram counts are
+(about ``TRAIN_DOCS``, one at least, chosen by a hash of their id and text; equal
+rows count once), whose n-gram counts are
 summed by Spark, so the driver receives only the ranked profiles.
 
 Defined cases: a null text or one without letters is ``und`` with score 0; equal
@@ -89,23 +90,22 @@ def _counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "lang string, gram long, n long")
 
 
-def learn_profiles(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", train_docs: int = TRAIN_DOCS, size: int = PROFILE) -> dict[str, list[int]]:
-    """Each language's ``size`` most frequent n-grams in up to ``train_docs`` of its documents.
+def learn_profiles(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", train_docs: int = TRAIN_DOCS, size: int = PROFILE, id_col: str = "doc_id") -> dict[str, list[int]]:
+    """Each language's ``size`` most frequent n-grams in about ``train_docs`` of its documents, one at least.
 
     The number of languages bounds what reaches the driver: ``size`` numbers each.
     """
     from pyspark.sql import Window
 
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
     spark = labelled.sparkSession
-    known = rows.groupBy("lang").count()
+    slot = F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000))
+    known = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(slot).alias("least"))
     taken = None
-    counted = known.collect()
-    fractions = {r["lang"]: min(1.0, train_docs / r["count"]) for r in counted}
-    for lang, share in sorted(fractions.items()):
-        part = rows.where(F.col("lang") == lang)
-        if share < 1:
-            part = part.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
+    # the least slot of a language is always below its bound, so that each one has a text
+    bounds = {r["lang"]: max(int(min(1.0, train_docs / r["n"]) * 1_000_000), r["least"] + 1) for r in known.collect()}
+    for lang, bound in sorted(bounds.items()):
+        part = rows.where((F.col("lang") == lang) & (slot < bound)).dropDuplicates(["id", "text"]).select("lang", "text")
         taken = part if taken is None else taken.union(part)
     if taken is None:
         return {}

@@ -241,3 +241,11 @@ def test_short_and_unspaced_lines(spark):
     apart = ["one two three", "one two four", "ab cd ef gh ij", "ab cd xx gh yy"]
     got = {r["doc_id"]: r["dropped_lines"] for r in lines.dedup_lines(docs(spark, [x for p in pairs for x in p] + apart)).collect()}
     assert got == {i: [0] if i % 2 and i < 2 * len(pairs) else None for i in range(2 * len(pairs) + len(apart))}
+
+
+def test_profiles_of_copied_texts(spark):
+    rows = [(i, text, lang) for k, (text, lang) in enumerate([("aba abab baba", "aa"), ("xyx yxy xyxy", "xx")]) for i in range(k * 1000, k * 1000 + 400)]
+    profiles = language.learn_profiles(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train_docs=4)
+    assert sorted(profiles) == ["aa", "xx"]
+    same = spark.createDataFrame([(1, "aba", "aa")] * 50 + [(2 + k, "bcb", "aa") for k in range(3)], "doc_id long, text string, lang string")
+    assert language.gram_codes("bcb").view(np.int64)[0] in language.learn_profiles(same)["aa"][:2]
