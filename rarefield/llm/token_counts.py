@@ -139,13 +139,18 @@ def counter(tokenizer_file: str) -> TokenCounter:
     return _COUNTERS[tokenizer_file]
 
 
-def frequent_lengths(docs: DataFrame, tokenizer_file: str, text_col: str = "text", rows: int = TABLE_SAMPLE_ROWS, entries: int = TABLE_ENTRIES) -> tuple[str, bytes]:
-    """The most frequent pre-tokens of up to ``rows`` texts, joined by NUL, and their token counts, a byte each."""
+def frequent_lengths(docs: DataFrame, tokenizer_file: str, text_col: str = "text", rows: int = TABLE_SAMPLE_ROWS, entries: int = TABLE_ENTRIES, id_col: str = "doc_id") -> tuple[str, bytes]:
+    """The most frequent pre-tokens of about ``rows`` whole texts, chosen by a hash, joined by NUL, and their token counts, a byte each."""
     c = counter(tokenizer_file)
     if not c.chunked:
         return "", b""
-    split = F.explode(F.split(F.substring(text_col, 1, 20_000), "[ \n]"))  # only the table's choice of entries; counts use whole texts
-    words = docs.where(F.col(text_col).isNotNull()).select(text_col).limit(rows).select(split.alias("w")).groupBy("w").count()
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    slot = F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000))
+    known = texts.agg(F.count("*").alias("n"), F.min(slot).alias("least")).first()
+    if not known["n"]:
+        return "", b""
+    bound = max(int(min(1.0, rows / known["n"]) * 1_000_000), known["least"] + 1)
+    words = texts.where(slot < bound).select(F.explode(F.split("text", "[ \n]")).alias("w")).groupBy("w").count()
     common = [(r["w"], r["count"]) for r in words.orderBy(F.desc("count"), "w").limit(entries).collect()]
     seen: Counter[str] = Counter()
     for word, n in common:
@@ -158,7 +163,7 @@ def frequent_lengths(docs: DataFrame, tokenizer_file: str, text_col: str = "text
 
 def count_tokens(docs: DataFrame, tokenizer_file: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row of ``docs``."""
-    table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, tokenizer_file, text_col))
+    table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, tokenizer_file, text_col, id_col=id_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(tokenizer_file)

@@ -249,3 +249,9 @@ def test_profiles_of_copied_texts(spark):
     assert sorted(profiles) == ["aa", "xx"]
     same = spark.createDataFrame([(1, "aba", "aa")] * 50 + [(2 + k, "bcb", "aa") for k in range(3)], "doc_id long, text string, lang string")
     assert language.gram_codes("bcb").view(np.int64)[0] in language.learn_profiles(same)["aa"][:2]
+
+
+def test_frequent_pre_tokens_of_a_sorted_table(spark):
+    texts = ["first words only " * 3] * 200 + [f"{'a ' * 11_000}later"] * 200
+    table, lengths = token_counts.frequent_lengths(docs(spark, texts), tokenizer(BYTES), rows=100)
+    assert {" first", " later"} <= set(table.split("\0")) and len(lengths) == len(table.split("\0"))
