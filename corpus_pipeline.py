@@ -72,7 +72,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("encode", encode),
 ]
 
-#: SQL expresses neither the fitted profiles nor the tokenizer; the tests hold run() against a brute-force version.
+#: SQL expresses neither the fitted profiles nor the tokenizer; no test holds run() as a whole against brute force, only its line stage.
 ORACLE_SQL = None
 
 

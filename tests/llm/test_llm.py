@@ -255,3 +255,15 @@ def test_frequent_pre_tokens_of_a_sorted_table(spark):
     texts = ["first words only " * 3] * 200 + [f"{'a ' * 11_000}later"] * 200
     table, lengths = token_counts.frequent_lengths(docs(spark, texts), tokenizer(BYTES), rows=100)
     assert {" first", " later"} <= set(table.split("\0")) and len(lengths) == len(table.split("\0"))
+
+
+def test_line_stage_of_the_pipeline_against_brute_force(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    texts = edited_lines(9)
+    lost = dropped_by_brute_force(texts)
+    want = {}
+    for i, t in enumerate(texts):
+        kept = [line for p, line in enumerate(t.split("\n")) if p not in lost.get(i, [])]
+        if kept:
+            want[i] = "\n".join(kept)
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs(spark, texts), "").collect()} == want
