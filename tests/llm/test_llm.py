@@ -228,12 +228,52 @@ def edited_lines(seed=8):
     return ["\n".join(made[k : k + 4]) for k in range(0, len(made), 4)]
 
 
+def recall(got, want):
+    """The share of the wanted (document, line) pairs that were found; nothing else may be."""
+    found = {(i, p) for i, ps in got.items() for p in ps or []}
+    every = {(i, p) for i, ps in want.items() for p in ps}
+    assert found <= every
+    return len(found) / len(every)
+
+
 def test_fuzzy_lines_against_brute_force(spark):
     texts = [*edited_lines(), None, ""]
-    got = {r["doc_id"]: r["dropped_lines"] or [] for r in lines.dedup_lines(docs(spark, texts)).collect()}
+    got = {r["doc_id"]: r["dropped_lines"] for r in lines.dedup_lines(docs(spark, texts)).collect()}
     want = dropped_by_brute_force(texts)
     assert sum(map(len, want.values())) > 100
-    assert got == {i: want.get(i, []) for i in range(len(texts))}
+    assert recall(got, want) >= 0.95
+
+
+@pytest.mark.parametrize("n", [12, 40])
+def test_fuzzy_pairs_of_one_length(spark, n):
+    """Pairs of lines at every number of edits that is allowed, two thousand lines in all."""
+    rnd = random.Random(n)
+    word = lambda: f"v{rnd.randrange(5000)}"
+    made = []
+    for k in range(250):
+        base = [word() for _ in range(n)]
+        w = [[x] for x in base]
+        for at in rnd.sample(range(n), 1 + k % max(1, n // 5)):
+            w[at] = rnd.choice([[word()], [], [*w[at], word()]])
+        made += [" ".join(base), " ".join(x for y in w for x in y)]
+    want = dropped_by_brute_force(made)
+    got = {r["doc_id"]: r["dropped_lines"] for r in lines.dedup_lines(docs(spark, made)).collect()}
+    assert sum(map(len, want.values())) > 200
+    assert recall(got, want) >= 0.97
+
+
+def test_rows_that_repeat_an_id_keep_their_own_lines(spark):
+    same, own = "a line that two texts have in common", "nobody else has these words at all"
+    rows = [(1, same, "x", 1), (5, f"{same}\n{own}", "x", 1), (5, f"{own} but one\n{same}", "x", 1), (5, f"{same}\n{own}", "x", 1), (None, same, "x", 1)]
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in lines.dedup_lines(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == sorted([(0, same), (1, same), (5, own), (5, own), (5, f"{own} but one")])
+
+
+def test_simhash_bits(spark):
+    rnd = random.Random(2)
+    table = spark.createDataFrame([(n, [f"v{rnd.randrange(200)}" for _ in range(n)]) for n in (1, 2, 5, 255, 256, 3000)], "h long, w array<string>")
+    for r in lines.with_simhash(table).selectExpr("s", "transform(w, x -> xxhash64(x)) AS x").collect():
+        assert r["s"] == sum(1 << b for b in range(lines.SKETCH) if 2 * sum(x >> b & 1 for x in r["x"]) > len(r["x"]))
 
 
 def test_short_and_unspaced_lines(spark):
@@ -261,9 +301,8 @@ def test_line_stage_of_the_pipeline_against_brute_force(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     texts = edited_lines(9)
     lost = dropped_by_brute_force(texts)
-    want = {}
+    got = {r["doc_id"]: r["text"].split("\n") for r in corpus_pipeline.line_dedup(spark, docs(spark, texts), "").collect()}
     for i, t in enumerate(texts):
-        kept = [line for p, line in enumerate(t.split("\n")) if p not in lost.get(i, [])]
-        if kept:
-            want[i] = "\n".join(kept)
-    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs(spark, texts), "").collect()} == want
+        must = [line for p, line in enumerate(t.split("\n")) if p not in lost.get(i, [])]
+        assert set(must) <= set(got.get(i, [])) <= set(t.split("\n"))
+    assert sum(map(len, got.values())) - sum(t.count("\n") + 1 for t in texts) <= -0.95 * sum(map(len, lost.values()))
