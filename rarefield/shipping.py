@@ -9,8 +9,17 @@ import zipfile
 from pyspark.sql import SparkSession
 
 
+BATCH_BYTES = 8 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ensure_shipped(spark: SparkSession) -> None:
-    """Adds the package to the session's Python files, once for each Spark context."""
+    """Adds the package to the session's Python files, once for each Spark context, and bounds the bytes of an Arrow batch.
+
+    The default bound is 64 MB, of which a Python worker holds several with what it
+    derives from them; rows of long texts would fill an executor.
+    """
+    spark.conf.set(_LIMIT, str(BATCH_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_rarefield_shipped", False):
         return
