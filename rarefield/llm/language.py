@@ -12,7 +12,9 @@ summed by Spark, so the driver receives only the ranked profiles.
 
 Defined cases: a null text or one without letters is ``und`` with score 0; equal
 distances go to the alphabetically first language; with no profile every
-document is ``und``; texts are read whole; other columns are ignored.
+document is ``und``, and an empty table gives no profile; texts are read whole,
+piece by piece; rows that repeat an id are rows of their own; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -21,12 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TRAIN_DOCS = 1500  # per language
 PROFILE = 400
 ORDERS = 3  # n-grams of 1 to 3 characters
+PIECE = 1 << 18
 UNKNOWN = "und"
 
 _LETTER = None
@@ -69,7 +72,10 @@ def gram_codes(text: str) -> np.ndarray:
 
 def ranked(codes: np.ndarray, most: int) -> np.ndarray:
     """The ``most`` frequent codes, most frequent first, ties by code."""
-    values, counts = np.unique(codes, return_counts=True)
+    return most_frequent(*np.unique(codes, return_counts=True), most)
+
+
+def most_frequent(values: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
     if len(values) > most:
         cut = np.partition(counts, len(counts) - most)[len(counts) - most]
         keep = counts >= cut
@@ -77,38 +83,54 @@ def ranked(codes: np.ndarray, most: int) -> np.ndarray:
     return values[np.lexsort((values, -counts))][:most]
 
 
+def pieces_of(text: str) -> Iterator[str]:
+    """A text in pieces of about ``PIECE`` characters that end between words, so that their n-grams are the text's."""
+    at = 0
+    while at < len(text):
+        to = at + PIECE
+        while to < len(text) and text[to].isalpha():
+            to += 1
+        yield text[at:to]
+        at = to
+
+
+def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, counts) of a text's n-grams, sorted by code; memory is bounded by a piece and by the different n-grams."""
+    values, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for piece in pieces_of(text):
+        v, n = np.unique(gram_codes(piece), return_counts=True)
+        values, back = np.unique(np.concatenate([values, v]), return_inverse=True) if len(values) else (v, np.arange(len(v)))
+        counts = np.bincount(back, np.concatenate([counts, n]), len(values)).astype(np.int64)
+    return values, counts
+
+
 def _counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                by.setdefault(lang, []).append(gram_codes(text.as_py()))
-            for lang, codes in by.items():
-                values, counts = np.unique(np.concatenate(codes), return_counts=True)
+                values, counts = gram_counts(text.as_py())
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array(values.view(np.int64)), pa.array(counts)], ["lang", "gram", "n"])
 
     return docs.mapInArrow(run, "lang string, gram long, n long")
 
 
+def slot_bound(wanted: int, n: int, least: int) -> int:
+    """The largest 64-bit hash of a row that is taken, so that of ``n`` rows about ``wanted`` are, the least always."""
+    share = min((wanted << 64) // max(n, 1), 1 << 64)
+    return max(share - (1 << 63) - 1, least)
+
+
 def learn_profiles(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", train_docs: int = TRAIN_DOCS, size: int = PROFILE, id_col: str = "doc_id") -> dict[str, list[int]]:
     """Each language's ``size`` most frequent n-grams in about ``train_docs`` of its documents, one at least.
 
     The number of languages bounds what reaches the driver: ``size`` numbers each.
     """
-    from pyspark.sql import Window
-
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
-    spark = labelled.sparkSession
-    slot = F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000))
-    known = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(slot).alias("least"))
-    taken = None
-    # the least slot of a language is always below its bound, so that each one has a text
-    bounds = {r["lang"]: max(int(min(1.0, train_docs / r["n"]) * 1_000_000), r["least"] + 1) for r in known.collect()}
-    for lang, bound in sorted(bounds.items()):
-        part = rows.where((F.col("lang") == lang) & (slot < bound)).dropDuplicates(["id", "text"]).select("lang", "text")
-        taken = part if taken is None else taken.union(part)
-    if taken is None:
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("slot"))
+    known = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("slot").alias("least")).collect()  # a row for each language
+    if not known:
         return {}
+    bound = F.create_map(*[F.lit(x) for r in known for x in (r["lang"], slot_bound(train_docs, r["n"], r["least"]))])
+    taken = rows.where(F.col("slot") <= F.element_at(bound, F.col("lang"))).dropDuplicates(["lang", "slot"]).select("lang", "text")
     totals = _counts(taken).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = totals.withColumn("r", F.row_number().over(order)).where(F.col("r") <= size).select("lang", "gram", "r")
@@ -133,10 +155,10 @@ class Profiles:
 
     def identify(self, text: str | None) -> tuple[str, float]:
         """(language, score): the score is 1 for a perfect match and 0 for one with nothing in common."""
-        codes = gram_codes(text) if text else np.zeros(0, np.uint64)
-        if not len(codes) or not self.langs:
+        values, counts = gram_counts(text) if text else (np.zeros(0, np.uint64),) * 2
+        if not len(values) or not self.langs:
             return UNKNOWN, 0.0
-        own = ranked(codes, self.size)
+        own = most_frequent(values, counts, self.size)
         at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
         theirs = np.where((self.grams[at] == own)[:, None], self.rank[at], -1)
         away = np.where(theirs >= 0, np.abs(theirs - np.arange(len(own))[:, None]), self.size)

@@ -13,8 +13,10 @@ similarity 0.85 is missed with probability 4e-7.
 
 Defined cases: a null or blank text has no shingles and is linked with nothing;
 a text of fewer words than a shingle is one shingle; a row with a null id keeps
-its shingle count, has a null component and is never a duplicate; rows that
-repeat an id are one document; other columns are ignored.
+its shingle count, has a null component and is never a duplicate; each row is a
+document, also where an id repeats, and its component is the smallest id among
+the rows it is linked with; an empty table gives an empty table; texts are read
+whole, in batches of bounded size; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -77,11 +79,11 @@ def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, list[np.ndarra
         yield row, sets
 
 
-_SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"
+_SIGNED = "doc_id long, t long, n_shingles long, h1 long, h2 long, bands array<long>"
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, bands): h1 and h2 name the set, bands is null for an empty one."""
+    """(doc_id, t, n_shingles, h1, h2, bands) of (doc_id, text, t): h1 and h2 name the set, bands is empty for an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,23 +101,29 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                 ends = np.cumsum((size > 0) * BANDS)
                 offsets = np.concatenate(([0], ends)).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1).view(np.int64)))
-                ids = batch.column(0).slice(row, len(sets))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(size), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), bands], ["doc_id", "n_shingles", "h1", "h2", "bands"])
+                own = [batch.column(k).slice(row, len(sets)) for k in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(size), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), bands], ["doc_id", "t", "n_shingles", "h1", "h2", "bands"])
 
     return docs.mapInArrow(run, _SIGNED)
 
 
+def _one_by_one(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
+    """The shingle set of each row; a text that repeats the one before, as hubs do, is not read again."""
+    before, kept = None, None
+    for _, sets in shingle_sets(column.dictionary_encode().dictionary, shingle):
+        before = sets if before is None else before + sets
+    for k in column.dictionary_encode().indices.to_pylist():
+        kept = before[k] if k is not None else np.zeros(0, np.uint64)
+        yield kept
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs with 100 * intersection >= percent * union of the full shingle sets of ``texts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = [], []
-            for k, out in ((2, left), (3, right)):
-                for _, sets in shingle_sets(batch.column(k), shingle):
-                    out.extend(sets)
             keep = []
-            for x, y in zip(left, right, strict=True):
+            for x, y in zip(*(_one_by_one(batch.column(k), shingle) for k in (2, 3)), strict=True):
                 short, long = (x, y) if len(x) < len(y) else (y, x)
                 both = 0
                 if 100 * len(short) >= percent * len(long) and len(short):
@@ -124,8 +132,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
                 keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("_ta"))
-    tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("_tb"))
+    ta = texts.select(F.col("id").alias("a"), F.col("text").alias("_ta"))
+    tb = texts.select(F.col("id").alias("b"), F.col("text").alias("_tb"))
     return pairs.join(ta, "a").join(tb, "b").select("a", "b", "_ta", "_tb").mapInArrow(run, "a long, b long")
 
 
@@ -145,8 +153,8 @@ def slot_counts(texts: DataFrame, shingle: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["slot", "n"])
 
     out = np.zeros(SLOTS, np.int64)
-    for r in texts.select("doc_id", "text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
-        out[r["slot"]] = r["n"]
+    got = texts.select("id", "text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out[got["slot"].to_numpy()] = got["n"].to_numpy()
     return out
 
 
@@ -168,7 +176,7 @@ def difference_keys(pairs: DataFrame, texts: DataFrame, counts: np.ndarray, shin
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hubs, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            sides = [[s for _, sets in shingle_sets(batch.column(k), shingle) for s in sets] for k in (2, 3)]
+            sides = [_one_by_one(batch.column(k), shingle) for k in (2, 3)]
             keys, owner, sketch, size, parity = [], [], [], [], []
             for h, i, a, b in zip(hubs, ids, *sides, strict=True):
                 d = np.setxor1d(a, b, assume_unique=True)
@@ -187,8 +195,8 @@ def difference_keys(pairs: DataFrame, texts: DataFrame, counts: np.ndarray, shin
                 columns = [np.concatenate(keys).view(np.int64), *(np.concatenate(x) for x in (owner, sketch, size)), *np.ascontiguousarray(np.concatenate(parity).T)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "id", "sketch", "size", *_PARITY])
 
-    th = texts.select(F.col("doc_id").alias("hub"), F.col("text").alias("_th"))
-    tx = texts.select(F.col("doc_id").alias("id"), F.col("text").alias("_tx"))
+    th = texts.select(F.col("id").alias("hub"), F.col("text").alias("_th"))
+    tx = texts.select("id", F.col("text").alias("_tx"))
     return pairs.join(th, "hub").join(tx, "id").select("hub", "id", "_th", "_tx").mapInArrow(run, "key long, id long, sketch long, size long" + "".join(f", {p} long" for p in _PARITY))
 
 
@@ -205,18 +213,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
     signed = scratch.save(signatures(own, shingle), "signed")
     usable = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = scratch.save(usable.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "classes")
-    reps = usable.join(classes.select("rep"), usable["doc_id"] == classes["rep"], "left_semi")
-    buckets = reps.select("doc_id", F.explode("bands").alias("key")).select("key", F.col("doc_id").alias("id"))
+    grouped = usable.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min_by("t", "doc_id").alias("rep_t"))
+    # the written table fixes each class's number
+    classes = scratch.save(grouped.withColumn("id", F.monotonically_increasing_id()), "classes")
+    named = classes.select("id", F.col("rep").alias("doc_id"), F.col("rep_t").alias("t"))
+    banded = usable.select("doc_id", "t", "bands").join(named, ["doc_id", "t"]).dropDuplicates(["id"])
+    buckets = banded.select("id", F.explode("bands").alias("key"))
 
     prepared: list[DataFrame] = []
 
     def prepare(ids: DataFrame) -> linkage.Verify:
-        asked = ids.hint("shuffle_hash")
-        texts = scratch.save(own.join(asked, own["doc_id"] == asked["id"], "left_semi").dropDuplicates(["doc_id"]), "texts")
+        asked = named.join(ids, "id", "left_semi")
+        texts = scratch.save(own.join(asked, ["doc_id", "t"]).select("id", "text").dropDuplicates(["id"]), "texts")
         prepared.append(texts)
         return lambda pairs: confirm(pairs, texts, shingle, percent)
 
@@ -225,7 +236,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         return difference_keys(pairs, prepared[0], counts, shingle, percent)
 
     comps = linkage.link_buckets(buckets, prepare, scratch, index=index, possible=_possible(percent))
-    named = classes.join(comps, classes["rep"] == comps["node"], "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
-    joined = signed.join(named, ["h1", "h2"], "left")
+    placed = classes.join(comps, classes["id"] == comps["node"], "left").select("h1", "h2", "rep", F.coalesce("component", "id").alias("c"))
+    least = placed.groupBy("c").agg(F.min("rep").alias("component_id"))
+    joined = signed.join(scratch.save(placed.join(least, "c").select("h1", "h2", "component_id"), "placed"), ["h1", "h2"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

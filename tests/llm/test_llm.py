@@ -306,3 +306,67 @@ def test_line_stage_of_the_pipeline_against_brute_force(spark):
         must = [line for p, line in enumerate(t.split("\n")) if p not in lost.get(i, [])]
         assert set(must) <= set(got.get(i, [])) <= set(t.split("\n"))
     assert sum(map(len, got.values())) - sum(t.count("\n") + 1 for t in texts) <= -0.95 * sum(map(len, lost.values()))
+
+
+def test_rows_that_repeat_an_id_are_linked(spark):
+    w = [f"u{k}" for k in range(60)]
+    rows = [(5, "nothing like the other one at all here", "x", 1), (5, " ".join(w), "x", 1), (7, " ".join([*w[:-1], "zz"]), "x", 1), (5, " ".join(w), "x", 1), (9, " ".join(f"v{k}" for k in range(200_000)), "x", 1)]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, DOCS), 3, 85).collect())
+    assert got == [(5, 6, 5), (5, 58, 5), (5, 58, 5), (7, 58, 5), (9, 199_998, 9)]
+    assert minhash.near_duplicates(docs(spark, []), 3, 85).count() == 0
+
+
+def test_training_share_of_a_large_language():
+    assert language.slot_bound(1500, 10**11, -(1 << 63)) + (1 << 63) == pytest.approx(1500 / 10**11 * 2**64, rel=1e-6)
+    assert language.slot_bound(1500, 10, 5) == (1 << 63) - 1 and language.slot_bound(1, 10**30, 5) == 5
+
+
+def test_grams_of_long_texts_are_those_of_the_whole(monkeypatch):
+    text = " ".join(random.Random(1).choice(["abc", "déf", "x1y", "ß", "..."]) for _ in range(400))
+    whole = np.unique(language.gram_codes(text), return_counts=True)
+    monkeypatch.setattr(language, "PIECE", 7)
+    for a, b in zip(language.gram_counts(text), whole, strict=True):
+        assert a.tolist() == b.tolist()
+
+
+def profile_by_hand(texts, size):
+    """Cavnar and Trenkle's profile in plain Python: n-grams of 1 to 3 letters by frequency, then by code."""
+    from collections import Counter
+
+    counts = Counter()
+    for t in texts:
+        spaced = "".join(c.lower() if c.isalpha() else " " for c in t)
+        for word in spaced.split():
+            padded = f" {word} "
+            counts.update(word)
+            counts.update(padded[k : k + 2] for k in range(len(padded) - 1))
+            counts.update(padded[k : k + 3] for k in range(len(padded) - 2))
+    code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - k) for k, c in enumerate(g))
+    ranked = sorted(counts, key=lambda g: (-counts[g], code(g)))[:size]
+    return [code(g) for g in ranked]
+
+
+def test_languages_against_brute_force(spark):
+    rnd = random.Random(12)
+    spoken = {"aa": "the of and to in is".split(), "bb": "der und die das ist von".split(), "cc": "le la et les des une".split()}
+    rows = []
+    for i in range(90):
+        lang = sorted(spoken)[i % 3]
+        rows.append((i, " ".join(rnd.choice(spoken[lang]) for _ in range(40)), lang))
+    rows += [(100, None, "aa"), (101, "12 34", "aa"), (102, "", None), (7, "the of", "bb")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = table.where("doc_id % 4 != 0")
+    profiles = language.learn_profiles(learned, size=60)
+    own = {lang: profile_by_hand([t for i, t, x in rows if x == lang and t and i % 4], 60) for lang in spoken}
+    assert profiles == {k: [int(np.array([c], np.uint64).view(np.int64)[0]) for c in v] for k, v in own.items()}
+    got = sorted((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in language.identify(table, profiles).collect())
+    want = []
+    for i, t, _ in rows:
+        mine = profile_by_hand([t or ""], 60)
+        if not mine:
+            want.append((i, "und", 0.0))
+            continue
+        away = {k: sum(abs(p.index(g) - r) if g in p else 60 for r, g in enumerate(mine)) for k, p in own.items()}
+        best = min(sorted(away), key=lambda k: away[k])
+        want.append((i, best, round(1 - away[best] / (60 * len(mine)), 9)))
+    assert got == sorted(want)
