@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rarefield.llm import wordhash
+from rarefield.llm.workers import releasing
 from rarefield.scratch import Scratch
 
 SEED = 3
@@ -99,6 +100,7 @@ def passages(docs: DataFrame, items: Items) -> DataFrame:
     """(doc_id, item, start, window, seeds): the words around the hits of one item that lie together."""
     sent = docs.sparkSession.sparkContext.broadcast(items)
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it = sent.value
         length = np.diff(it.first)
@@ -193,6 +195,7 @@ def aligned(found: DataFrame, items: Items, rare: np.ndarray, threshold: float)
     """The passages with a rare seed whose alignment reaches the threshold."""
     sent = found.sparkSession.sparkContext.broadcast((items, rare))
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it, votes = sent.value
         for batch in batches:

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rarefield.llm.workers import releasing
+
 TRAIN_DOCS = 1500  # per language
 PROFILE = 400
 ORDERS = 3  # n-grams of 1 to 3 characters
@@ -105,6 +107,7 @@ def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counts(docs: DataFrame) -> DataFrame:
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -171,6 +174,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc
     """(doc_id, lang_pred, score) of every row of ``docs``."""
     sent = docs.sparkSession.sparkContext.broadcast(profiles)
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Profiles(sent.value)
         for batch in batches:
@@ -185,6 +189,7 @@ def keep_identified(docs: DataFrame, profiles: dict[str, list[int]], text_col: s
     sent = docs.sparkSession.sparkContext.broadcast(profiles)
     at = docs.columns.index(text_col)
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Profiles(sent.value)
         for batch in batches:

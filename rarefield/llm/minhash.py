@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rarefield.llm import linkage, wordhash
+from rarefield.llm.workers import releasing
 from rarefield.scratch import Scratch
 
 PERMUTATIONS = 64
@@ -85,6 +86,7 @@ _SIGNED = "doc_id long, t long, n_shingles long, h1 long, h2 long, bands array<l
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, t, n_shingles, h1, h2, bands) of (doc_id, text, t): h1 and h2 name the set, bands is empty for an empty one."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, sets in shingle_sets(batch.column(1), shingle):
@@ -120,6 +122,7 @@ def _one_by_one(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
 def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs with 100 * intersection >= percent * union of the full shingle sets of ``texts``."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -144,6 +147,7 @@ _PARITY = [f"p{k}" for k in range(8)]
 def slot_counts(texts: DataFrame, shingle: int) -> np.ndarray:
     """How many of ``texts`` have a shingle in each of ``SLOTS`` slots; a table of a fixed size."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(SLOTS, np.int64)
         for batch in batches:
@@ -173,6 +177,7 @@ def difference_keys(pairs: DataFrame, texts: DataFrame, counts: np.ndarray, shin
     """
     sent = pairs.sparkSession.sparkContext.broadcast(counts)
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hubs, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()

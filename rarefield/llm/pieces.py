@@ -24,10 +24,13 @@ import heapq
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rarefield.llm.workers import releasing
+
 MARK = "▁"  # the space mark of the piece vocabulary
 CACHE_SEGMENTS = 150_000  # segments remembered per worker; a bound on memory only
 CACHE_PAIRS = 1_500_000
@@ -259,6 +262,7 @@ def codec(model_file: str) -> PieceCodec:
 def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) of every row of ``docs``, whole texts."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_file)
         for batch in batches:
@@ -271,6 +275,7 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
 def decode_ids(encoded: DataFrame, model_file: str, ids_col: str = "ids") -> DataFrame:
     """(doc_id, text) of rows of :func:`encode_documents`."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_file)
         for batch in batches:
@@ -283,6 +288,7 @@ def decode_ids(encoded: DataFrame, model_file: str, ids_col: str = "ids") -> Dat
 def round_trip_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes and decodes in one pass, so that ids never leave the worker."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_file)
         named = [str(i) for i in range(len(c.piece))].__getitem__
@@ -302,15 +308,19 @@ def round_trip_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id",
 def encode_checked(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids, n_tokens, round_trip): the ids, and whether decoding them gives the text, its space marks read as spaces."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_file)
         for batch in batches:
-            ids, same = [], []
-            for value in batch.column(1):
-                text = value.as_py() or ""
-                ids.append(c.encode(text))
-                same.append(c.decode(ids[-1]) == text.replace(MARK, " "))
-            n = [len(i) for i in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(n, pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_tokens", "round_trip"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids, same = [], []
+                for value in part.column(1):
+                    text = value.as_py() or ""
+                    found = c.encode(text)
+                    same.append(c.decode(found) == text.replace(MARK, " "))
+                    ids.append(np.array(found, np.int32))
+                n = [len(i) for i in ids]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(n, pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_tokens", "round_trip"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, round_trip boolean")

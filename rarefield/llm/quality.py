@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rarefield.llm.workers import releasing
+
 SAMPLE_PER_CLASS = 2000
 DICTIONARY_BYTES = 400_000
 WINDOW = 1024
@@ -149,6 +151,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """(doc_id, score) of every row of ``docs``; the model is two dictionaries of a fixed size and three numbers."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scorer(sent.value)
         for batch in batches:

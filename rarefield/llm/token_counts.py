@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rarefield.llm.workers import releasing
+
 CACHE_CHUNKS = 200_000
 TABLE_SAMPLE_ROWS = 512
 TABLE_ENTRIES = 32_768
@@ -165,6 +167,7 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, limit: int = 1024, id_col
     """(doc_id, n_bytes, n_tokens, over_limit) of every row of ``docs``."""
     table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, tokenizer_file, text_col, id_col=id_col))
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(tokenizer_file)
         if not c.frequent and table.value[1]:

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _ALL = (1 << 64) - 1
 _RNG = np.random.default_rng(20240229)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -111,7 +111,7 @@ def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(total)
 
 
-def text_arrays(column: pa.Array, limit: int = 8 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_arrays(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows of a string column, about ``limit`` bytes each; null is empty."""
     if pa.types.is_large_string(column.type):
         kind = np.int64
