@@ -192,12 +192,13 @@ def mutual_neighbours(spark, sf_dir):
     return neighbors.mutual_knn_edges(grains(spark, sf_dir), 6, ("X", "Y", "Z"))
 
 
-@_query(f"""WITH g AS ({GRAINS_SQL}), t AS (SELECT * FROM g WHERE id % 7 = 0), q AS (SELECT * FROM g WHERE id % 7 = 3),
+@_query(f"""WITH t AS ({GRAINS_SQL}), q AS (SELECT id, X + 7 AS X, Y - 5 AS Y, Z FROM t),
 p AS (SELECT q.id, t.id AS tid, t.GrainRadius AS r, sqrt((q.X - t.X) ** 2 + (q.Y - t.Y) ** 2 + (q.Z - t.Z) ** 2) AS d FROM q, t),
 k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, tid) AS n FROM p) SELECT id, r AS GrainRadius, round(d, 6) AS nearest_distance FROM k WHERE n = 1""")
 def nearest_attribute(spark, sf_dir):
     g = grains(spark, sf_dir)
-    found = neighbors.nearest_attributes(g.where("id % 7 = 3").select("id", "X", "Y", "Z"), g.where("id % 7 = 0"), ["GrainRadius"], ("X", "Y", "Z"))
+    moved = g.select("id", (F.col("X") + 7).alias("X"), (F.col("Y") - 5).alias("Y"), "Z")
+    found = neighbors.nearest_attributes(moved, g, ["GrainRadius"], ("X", "Y", "Z"))
     return found.select("id", "GrainRadius", _r("nearest_distance"))
 
 
@@ -210,11 +211,11 @@ def feature_topk(spark, sf_dir):
     return found.select("query", "target", _r("distance2"), "rank")
 
 
-@_query(f"""WITH s AS (SELECT DISTINCT step, time FROM ({STEPS_SQL})), q AS (SELECT event_id, (epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 86400.0 AS t FROM events WHERE event_id % 50 = 0),
+@_query(f"""WITH s AS (SELECT DISTINCT step, time FROM ({STEPS_SQL})), q AS (SELECT event_id, (epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 86400.0 AS t FROM events),
 k AS (SELECT event_id, step, row_number() OVER (PARTITION BY event_id ORDER BY abs(t - time), step) AS n FROM q, s) SELECT event_id, step::BIGINT AS nearest_step FROM k WHERE n = 1""")
 def nearest_step(spark, sf_dir):
     s = steps(spark, sf_dir).select("step", "time").distinct()
-    e = read_table(spark, sf_dir, "events", ["event_id", "ts"]).where("event_id % 50 = 0")
+    e = read_table(spark, sf_dir, "events", ["event_id", "ts"])
     t = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp"))) / 86400.0
     return neighbors.nearest_times(e.withColumn("t", t), s, "t").select("event_id", "nearest_step")
 
@@ -282,9 +283,9 @@ def cluster_size_ranks(spark, sf_dir):
     return clusters.size_ranks(_labelled(spark, sf_dir).where("qty > 24 * n"), "label")
 
 
-@_query("WITH d AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_partkey % 3 = 0), t AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS number FROM d) SELECT number, count(*) AS n FROM lineitem JOIN t ON l_partkey = k GROUP BY 1")
+@_query("WITH d AS (SELECT DISTINCT l_partkey AS k FROM lineitem), t AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS number FROM d) SELECT number, count(*) AS n FROM lineitem JOIN t ON l_partkey = k GROUP BY 1")
 def relabelled(spark, sf_dir):
-    li = read_table(spark, sf_dir, "lineitem", ["l_partkey"]).where("l_partkey % 3 = 0")
+    li = read_table(spark, sf_dir, "lineitem", ["l_partkey"])
     return clusters.relabel(li, "l_partkey", "number").groupBy("number").agg(F.count("*").alias("n"))
 
 

@@ -1,13 +1,14 @@
 """One-to-one matching of two sides of a candidate edge list.
 
 Maximising the gain of a matching decomposes over the connected components of the
-candidate graph.  Components are found by Spark and solved one by one; only edges
-of positive gain take part, so absent pairs and pairs that cost too much never
-enter a matrix.
+candidate graph.  Components are found by Spark and solved one by one, over their
+edges alone: a component of many rows needs memory for its edges and no matrix.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,68 +19,80 @@ from rarefield.scratch import Scratch
 
 
 def solve(cost: np.ndarray) -> np.ndarray:
-    """The column of each row of a least-cost assignment of a matrix with no more rows than columns.
+    """The column of each row of a least-cost assignment of a matrix with no more rows than columns."""
+    edges = [list(enumerate(map(float, row))) for row in cost]
+    owner = _augmented(edges)
+    out = np.full(len(cost), -1)
+    for column, row in owner.items():
+        out[row] = column
+    return out
+
 
-    Shortest augmenting paths with row and column potentials; costs may be any
-    finite numbers.
+def _augmented(edges: list[list[tuple[int, float]]]) -> dict[int, int]:
+    """The row of each taken column in a least-cost assignment of all rows to columns of their edges (column, cost).
+
+    Shortest augmenting paths with row and column potentials, searched by a heap
+    over the edges that exist; costs may be any finite numbers.
     """
-    n, m = cost.shape
-    row_pot, col_pot = np.zeros(n), np.zeros(m)
-    owner = np.full(m, -1)
-    for start in range(n):
-        reach = cost[start] - row_pot[start] - col_pot
-        via = np.full(m, start)
-        parent = np.full(m, -1)
-        done = np.zeros(m, bool)
-        seen_rows, length = [start], {start: 0.0}
+    owner: dict[int, int] = {}
+    row_pot = [0.0] * len(edges)
+    col_pot: dict[int, float] = {}
+    for start in range(len(edges)):
+        reach: dict[int, float] = {}
+        came: dict[int, tuple[int, int | None]] = {}  # of a column: the row before it, and the column before that
+        settled: set[int] = set()
+        length = {start: 0.0}
+        heap: list[tuple[float, int]] = []
+        row, far, column = start, 0.0, None
         while True:
-            open_ = np.where(done, np.inf, reach)
-            j = int(open_.argmin())
-            d = float(open_[j])
-            done[j] = True
-            i = owner[j]
-            if i < 0:
+            for j, c in edges[row]:
+                if j not in settled:
+                    through = far + c - row_pot[row] - col_pot.get(j, 0.0)
+                    if through < reach.get(j, float("inf")):
+                        reach[j], came[j] = through, (row, column)
+                        heapq.heappush(heap, (through, j))
+            far, column = heapq.heappop(heap)
+            while column in settled:
+                far, column = heapq.heappop(heap)
+            settled.add(column)
+            if column not in owner:
                 break
-            length[int(i)] = d
-            seen_rows.append(int(i))
-            through = d + cost[i] - row_pot[i] - col_pot
-            better = ~done & (through < reach)
-            reach[better], via[better], parent[better] = through[better], i, j
-        for i in seen_rows:
-            row_pot[i] += d - length[i]
-        col_pot[done] -= d - reach[done]
-        while j >= 0:
-            owner[j], j = via[j], parent[j]
-    out = np.full(n, -1)
-    held = np.flatnonzero(owner >= 0)
-    out[owner[held]] = held
-    return out
+            row = owner[column]
+            length[row] = far
+        for r, d in length.items():
+            row_pot[r] += far - d
+        for j in settled:
+            col_pot[j] = col_pot.get(j, 0.0) - (far - reach[j])
+        while column is not None:
+            row, before = came[column]
+            owner[column], column = row, before
+    return owner
 
 
 def best_matching(a: np.ndarray, b: np.ndarray, gain: np.ndarray) -> np.ndarray:
     """Indices of the edges of a matching of greatest total gain; edges without gain stay out."""
     rows, i = np.unique(a, return_inverse=True)
     cols, j = np.unique(b, return_inverse=True)
-    flip = len(rows) > len(cols)
-    if flip:
+    if len(rows) > len(cols):
         i, j, rows, cols = j, i, cols, rows
-    cost = np.zeros((len(rows), len(cols) + len(rows)))  # a column of its own lets each row stay free
-    edge = np.full(cost.shape, -1)
-    order = np.argsort(gain, kind="stable")
-    cost[i[order], j[order]] = -gain[order]
-    edge[i[order], j[order]] = order
-    cols_of = solve(cost)
-    taken = edge[np.arange(len(rows)), cols_of]
-    return np.sort(taken[(taken >= 0)])
+    best: dict[tuple[int, int], int] = {}
+    for k in np.argsort(gain, kind="stable").tolist():
+        best[int(i[k]), int(j[k])] = k
+    # a column of its own lets each row stay free
+    edges = [[(len(cols) + r, 0.0)] for r in range(len(rows))]
+    for (r, c), k in best.items():
+        edges[r].append((c, -float(gain[k])))
+    taken = [best[r, c] for c, r in _augmented(edges).items() if c < len(cols)]
+    return np.sort(np.array(taken, np.int64))
 
 
 def match(edges: DataFrame, gain: str = "gain", a: str = "a", b: str = "b") -> DataFrame:
     """The edges (a, b, gain) of a matching of greatest total gain, of those with a positive gain."""
     scratch = Scratch(edges.sparkSession, "match")
     useful = scratch.save(edges.where(F.col(gain) > 0).groupBy(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).agg(F.max(F.col(gain).cast("double")).alias("gain")), "edges")
-    # both sides share one id space: a even, b odd
-    comps = connected_components(useful.select((F.col("a") * 2).alias("a"), (F.col("b") * 2 + 1).alias("b")), scratch)
-    keyed = useful.join(comps, useful["a"] * 2 == comps["node"]).select("component", "a", "b", "gain")
+    # both sides share one id space: a as it is, b with all bits turned; ids that meet all the same only join components
+    comps = connected_components(useful.select("a", F.bitwise_not("b").alias("b")), scratch)
+    keyed = useful.join(comps, useful["a"] == comps["node"]).select("component", "a", "b", "gain")
 
     def one(t: pa.Table) -> pa.Table:
         t = t.sort_by([("a", "ascending"), ("b", "ascending")])

@@ -1,9 +1,9 @@
 """Nearest-neighbour joins.
 
 Points are binned into cells of a side ``h``; a query looks into its own cell and
-those around it, so the join is an equi-join on cells.  The ring of cells grows
-only for queries whose k-th neighbour is not yet certain: certain means k found
-within ``ring * h``.  Ties go to the smallest id.
+those next to it, so the join is an equi-join on cells.  Queries whose k-th
+neighbour is not yet certain, those with fewer than k points within one side, are
+asked again with cells of twice the side.  Ties go to the smallest id.
 """
 
 from __future__ import annotations
@@ -18,19 +18,23 @@ from rarefield.functions.similarity import array_l2
 from rarefield.scratch import Scratch
 
 
+TIME_PARTS = 64
+
+
 def _cell(axis: str, h: float):
     return F.floor(F.col(axis) / h).cast("long")
 
 
 def cell_size(points: DataFrame, axes: Sequence[str], per_cell: float = 4.0) -> float:
-    """A cell side with about ``per_cell`` points a cell, from the extent and the count."""
-    r = points.agg(F.count("*").alias("n"), *[f(a).alias(f"{p}{a}") for a in axes for p, f in (("lo", F.min), ("hi", F.max))]).first()
-    sides = [r[f"hi{a}"] - r[f"lo{a}"] for a in axes if r["n"] and r[f"hi{a}"] is not None and r[f"hi{a}"] > r[f"lo{a}"]]
+    """A cell side with about ``per_cell`` points a cell, from the count and the middle nine tenths of each axis, so that far points do not widen it."""
+    middle = [F.percentile_approx(F.col(a).cast("double"), [0.05, 0.95], 1000).alias(f"m{k}") for k, a in enumerate(axes)]
+    r = points.agg(F.count("*").alias("n"), *middle).first()
+    sides = [r[f"m{k}"][1] - r[f"m{k}"][0] for k in range(len(axes)) if r["n"] and r[f"m{k}"] and r[f"m{k}"][1] > r[f"m{k}"][0]]
     if not sides:
         return 1.0
     volume = 1.0
     for s in sides:
-        volume *= s
+        volume *= s / 0.9
     return max((volume * per_cell / r["n"]) ** (1 / len(sides)), 1e-12)
 
 
@@ -43,35 +47,36 @@ def knn(queries: DataFrame, targets: DataFrame, k: int, axes: Sequence[str] = ("
     t = targets.select(F.col(target_id).alias("target"), *[F.col(a).cast("double").alias(f"t{n}") for n, a in enumerate(axes)])
     h = h or cell_size(targets, axes)
     dims = range(len(axes))
-    t = t.select("*", *[_cell(f"t{n}", h).alias(f"tc{n}") for n in dims])
-    ends = t.agg(F.count("*").alias("n"), *[f(f"tc{n}").alias(f"{p}{n}") for n in dims for p, f in (("lo", F.min), ("hi", F.max))]).first()
+    ends = t.agg(F.count("*").alias("n"), *[f(f"t{n}").alias(f"{p}{n}") for n in dims for p, f in (("lo", F.min), ("hi", F.max))]).first()
     size = ends["n"]
     if not size:
         return q.select("query", F.lit(None).cast(t.schema["target"].dataType).alias("target"), F.lit(0.0).alias("distance"), F.lit(0).alias("rank")).limit(0)
-    left, done, ring = q, [], 1
+    left, done, side = q, [], h
     most = min(k, size - 1 if exclude_self else size)
     if most < 1:
         return q.select("query", F.col("query").alias("target"), F.lit(0.0).alias("distance"), F.lit(0).alias("rank")).limit(0)
     w = Window.partitionBy("query").orderBy("distance", "target")
+    around = F.array(*[F.array(*[F.lit(v) for v in d]) for d in product((-1, 0, 1), repeat=len(axes))])
     while True:
-        around = F.array(*[F.array(*[F.lit(v) for v in d]) for d in product(range(-ring, ring + 1), repeat=len(axes))])
-        asked = left.select("*", F.explode(around).alias("_d")).select("*", *[(_cell(f"q{n}", h) + F.get("_d", F.lit(n))).alias(f"tc{n}") for n in dims])
-        met = asked.drop("_d").join(t, [f"tc{n}" for n in dims])
+        cells = t.select("*", *[_cell(f"t{n}", side).alias(f"c{n}") for n in dims])
+        asked = left.select("*", F.explode(around).alias("_d")).select("*", *[(_cell(f"q{n}", side) + F.get("_d", F.lit(n))).alias(f"c{n}") for n in dims])
+        met = asked.drop("_d").join(cells, [f"c{n}" for n in dims])
         if exclude_self:
             met = met.where("query != target")
         d2 = sum(((F.col(f"q{n}") - F.col(f"t{n}")) ** 2 for n in dims), F.lit(0.0))
         best = met.select("query", "target", F.sqrt(d2).alias("distance")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
         best = scratch.save(best, "best")
-        sure = best.groupBy("query").agg(F.count("*").alias("n"), F.max("distance").alias("far")).where((F.col("n") >= most) & (F.col("far") <= ring * h)).select("query")
-        # a ring that covers the whole extent leaves nothing outside
+        sure = best.groupBy("query").agg(F.count("*").alias("n"), F.max("distance").alias("far")).where((F.col("n") >= most) & (F.col("far") <= side)).select("query")
+        # cells that cover the whole extent leave nothing outside
         outside = F.lit(False)
         for n in dims:
-            outside = outside | (_cell(f"q{n}", h) - ring > ends[f"lo{n}"]) | (_cell(f"q{n}", h) + ring < ends[f"hi{n}"])
+            own = _cell(f"q{n}", side)
+            outside = outside | ((own - 1) * side > ends[f"lo{n}"]) | ((own + 2) * side <= ends[f"hi{n}"])
         rest = scratch.save(left.join(sure, "query", "left_anti").where(outside), "rest")
         done.append(best.join(rest.select("query"), "query", "left_anti"))
         if rest.isEmpty():
             break
-        left, ring = rest, ring * 2
+        left, side = rest, side * 2
     out = done[0]
     for d in done[1:]:
         out = out.union(d)
@@ -146,21 +151,38 @@ def nearest_time(steps: DataFrame, t: float, time_col: str = "time", order: str
 
 
 def nearest_times(queries: DataFrame, steps: DataFrame, query_time: str, time_col: str = "time", order: str = "step") -> DataFrame:
-    """Each query with the step nearest to its time, the earliest step on ties.
+    """Each query with the step nearest to its time, the least step on ties; a query without a time has none.
 
-    Both tables are sorted by time once; the last step before and the first after
-    a query are the only candidates.
+    The different times of queries and steps are cut into ``TIME_PARTS`` ranges of
+    about as many steps.  Within a range the last step before and the first after a
+    query are found by one sort each way; the ranges' own ends, a few numbers each,
+    serve where a range holds no step on one side.
     """
-    q = queries.withColumn("_q", F.monotonically_increasing_id())
-    both = q.select("_q", F.col(query_time).cast("double").alias("_t"), F.lit(None).cast("struct<t:double,o:bigint>").alias("_s")).union(
-        steps.select(F.lit(None).cast("long"), F.col(time_col).cast("double"), F.struct(F.col(time_col).cast("double").alias("t"), F.col(order).cast("long").alias("o")))
-    )
-    w = Window.orderBy("_t", F.col("_q").isNotNull())
-    before = F.last("_s", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_s", True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    near = both.select("_q", "_t", before.alias("b"), after.alias("a")).where("_q is not null")
-    pick = F.when(F.col("a").isNull(), F.col("b.o")).when(F.col("b").isNull(), F.col("a.o")).when(F.col("_t") - F.col("b.t") <= F.col("a.t") - F.col("_t"), F.col("b.o")).otherwise(F.col("a.o"))
-    return q.join(near.select("_q", pick.alias(f"nearest_{order}")), "_q").drop("_q")
+    at = queries.select(F.col(query_time).cast("double").alias("_t")).where("_t is not null").distinct()
+    known = steps.select(F.col(time_col).cast("double").alias("_t"), F.col(order).cast("long").alias("_o")).where("_t is not null").groupBy("_t").agg(F.min("_o").alias("_o"))
+    cuts = sorted(set(known.approxQuantile("_t", [k / TIME_PARTS for k in range(1, TIME_PARTS)], 0.001)))
+    part = sum(((F.col("_t") >= c).cast("int") for c in cuts), F.lit(0))
+    ends = known.groupBy(part.alias("part")).agg(F.min("_t").alias("t0"), F.min_by("_o", "_t").alias("o0"), F.max("_t").alias("t1"), F.max_by("_o", "_t").alias("o1"))
+    held = {r["part"]: r for r in ends.collect()}  # a row for each range
+    carried, last = {}, None
+    for p in range(len(cuts) + 1):
+        carried[p] = [last, None]
+        last = (held[p]["t1"], held[p]["o1"]) if p in held else last
+    last = None
+    for p in reversed(range(len(cuts) + 1)):
+        carried[p][1] = last
+        last = (held[p]["t0"], held[p]["o0"]) if p in held else last
+    step = "struct<t:double,o:bigint>"
+    ranges = queries.sparkSession.createDataFrame([(p, b, a) for p, (b, a) in carried.items()], f"part int, b0 {step}, a0 {step}")
+    both = at.select("_t", F.lit(None).cast(step).alias("_s")).union(known.select("_t", F.struct(F.col("_t").alias("t"), F.col("_o").alias("o")))).withColumn("part", part)
+    up = Window.partitionBy("part").orderBy("_t", F.col("_s").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("part").orderBy(F.desc("_t"), F.col("_s").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    near = both.select("_t", "_s", "part", F.last("_s", True).over(up).alias("b"), F.last("_s", True).over(down).alias("a")).where("_s is null")
+    near = near.join(F.broadcast(ranges), "part").select("_t", F.coalesce("b", "b0").alias("b"), F.coalesce("a", "a0").alias("a"))
+    to_b, to_a = F.col("_t") - F.col("b.t"), F.col("a.t") - F.col("_t")
+    pick = F.when(F.col("a").isNull() | (to_b < to_a), F.col("b.o")).when(F.col("b").isNull() | (to_a < to_b), F.col("a.o")).otherwise(F.least("b.o", "a.o"))
+    found = near.select("_t", pick.alias(f"nearest_{order}"))
+    return queries.join(found, F.col(query_time).cast("double") == F.col("_t"), "left").drop("_t")
 
 
 def array_topk_distance(u, v):

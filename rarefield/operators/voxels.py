@@ -67,42 +67,51 @@ def remove_small(voxels: DataFrame, min_size: int, segment: str = "segment", con
     Small segments go in the order of their number, and later ones see what earlier
     ones became; the list of small segments is fixed at the start.  Ties go to the
     smallest number; a segment that touches none becomes -1.  The contacts between
-    segments, not the voxels, take part in the ordered loop.
+    segments, not the voxels, take part in the ordered loop, which runs in one task
+    for each group of small segments that touch each other: groups do not see each
+    other, as larger segments stay what they are.
     """
     scratch = Scratch(voxels.sparkSession, "small")
     own = voxels.select(F.col(id_col).alias("id"), F.col(segment).cast("long").alias("s"))
-    small = sorted(r["s"] for r in own.where("s > 0").groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") < min_size).collect())
-    if not small:
-        return voxels
+    sizes = own.where("s > 0").groupBy("s").agg(F.count("*").alias("n"))
+    small = scratch.save(sizes.where(F.col("n") < min_size).select("s"), "small")
     a = own.select("id", F.col("s").alias("sa"))
     b = own.select(F.col("id").alias("nbr"), F.col("s").alias("sb"))
-    contact = neighbours(voxels, connectivity, id_col).join(a, "id").join(b, "nbr").where("sa > 0 and sb > 0 and sa != sb").groupBy("sa", "sb").agg(F.count("*").alias("n"))
-    listed = voxels.sparkSession.createDataFrame([(s,) for s in small], "sa long")
+    touching = neighbours(voxels, connectivity, id_col).join(a, "id").join(b, "nbr").where("sa > 0 and sb > 0 and sa != sb").groupBy("sa", "sb").agg(F.count("*").alias("n"))
+    touching = scratch.save(touching.join(small, F.col("sa") == F.col("s"), "left_semi"), "touching")
+    inner = touching.join(small, F.col("sb") == F.col("s"), "left_semi").select(F.col("sa").alias("a"), F.col("sb").alias("b"))
+    grouped = label_nodes(small, inner, scratch, "s").join(touching, F.col("node") == F.col("sa"), "left").select("component", "node", "sb", "n")
+    table = grouped.groupBy("component").applyInArrow(_merged_in_order, "_s long, _to long")
+    return scratch.save(voxels.join(table, F.col(segment).cast("long") == F.col("_s"), "left").withColumn(segment, F.coalesce("_to", F.col(segment).cast("long"))).drop("_s", "_to"), "result")
+
+
+def _merged_in_order(t: pa.Table) -> pa.Table:
+    """(_s, _to): what each small segment of (node, sb, n) becomes."""
     touching: dict[int, dict[int, int]] = {}
-    for r in contact.join(listed, "sa", "left_semi").collect():  # contacts of small segments only: fewer than 6 or 26 * min_size each
-        touching.setdefault(r["sa"], {})[r["sb"]] = r["n"]
-    became = {s: s for s in small}
+    for s, other, n in zip(t["node"].to_pylist(), t["sb"].to_pylist(), t["n"].to_pylist(), strict=True):
+        mine = touching.setdefault(s, {})
+        if other is not None:
+            mine[other] = n
+    small = sorted(touching)
+    became: dict[int, int] = {}
 
     def final(s: int) -> int:
-        while s in became and became[s] != s:
+        while s in became:
             s = became[s]
         return s
 
-    merged: dict[int, dict[int, int]] = {s: dict(t) for s, t in touching.items()}
     for s in small:
         here: dict[int, int] = {}
-        for t, n in merged.get(s, {}).items():
-            to = final(t)
+        for other, n in touching[s].items():
+            to = final(other)
             if to not in (s, -1):
                 here[to] = here.get(to, 0) + n
-        to = min(here, key=lambda t: (-here[t], t)) if here else -1
+        to = min(here, key=lambda o: (-here[o], o)) if here else -1
         became[s] = to
-        if to in merged:
-            for t, n in here.items():
-                if t != to:
-                    merged[to][t] = merged[to].get(t, 0) + n
-    table = voxels.sparkSession.createDataFrame([(s, final(s)) for s in small], "_s long, _to long")
-    return scratch.save(voxels.join(table, voxels[segment].cast("long") == table["_s"], "left").withColumn(segment, F.coalesce("_to", F.col(segment).cast("long"))).drop("_s", "_to"), "result")
+        for other, n in here.items():
+            if to in touching and other != to:
+                touching[to][other] = touching[to].get(other, 0) + n
+    return pa.table({"_s": pa.array(small, pa.int64()), "_to": pa.array([final(s) for s in small], pa.int64())})
 
 
 QUATERNION_SUMS = [(i, j) for i in range(4) for j in range(i, 4)]
