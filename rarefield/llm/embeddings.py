@@ -8,10 +8,11 @@ bound that both factors give.  A pair whose bound stays below the threshold is
 dropped; every other pair is recomputed exactly, in double precision.
 
 Pairs are sought in cells: ``tables`` cross-polytope hashes, each the largest
-coordinate of another rotation, within equal labels.  Vectors at the threshold
-share a cell of one table with probability ``P_HASH``; the number of tables makes
-the miss probability at the threshold at most ``MISS``, and more hashes per table
-keep cells small as the input grows.  Cells beyond ``BLOCK`` members are compared
+coordinate of another rotation, within equal labels.  How often vectors at the
+threshold share a cell is drawn from the model of the hash for the dimension at
+hand (``hash_rate``); the number of tables makes the miss probability at the
+threshold at most ``MISS``, and more hashes per table keep cells small as the
+input grows: a table has (2 d)**hashes cells.  Cells beyond ``BLOCK`` members are compared
 block by block, every block with every other, so no task holds a whole hot cell.
 
 Equal vectors form one class first.  A block reports, for each member, how many
@@ -27,6 +28,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -40,24 +42,46 @@ from rarefield.scratch import Scratch
 
 BLOCK = 1024
 CELL = 512  # members of a cell to aim at
-P_HASH = 0.52  # measured at cosine 0.93 in 64 dimensions; larger for larger cosines
+DRAWS = 4000  # of pairs, to estimate how often they share a hash
 MISS = 1e-4
 SIGMAS = 4.5
 _SEED = 41
 
 
+@functools.lru_cache(maxsize=64)
 def rotation(d: int, k: int) -> np.ndarray:
     """The ``k``-th random rotation of ``d`` dimensions, the same in every worker."""
     q, r = np.linalg.qr(np.random.default_rng([_SEED, d, k]).normal(size=(d, d)))
     return q * np.sign(np.diag(r))
 
 
-def plan(n: int) -> tuple[int, int]:
-    """(hashes per table, tables) for ``n`` vectors."""
+@functools.lru_cache(maxsize=64)
+def hash_rate(d: int, threshold: float) -> float:
+    """A lower bound of the probability that two vectors at the threshold share a hash, three deviations below its estimate.
+
+    A random rotation maps a pair at cosine c to z and c z + sqrt(1 - c**2) w, up to
+    lengths, with independent normal z and w; vectors that are closer share more.
+    """
+    rng = np.random.default_rng([_SEED, d, 0, 1])
+    same = 0
+    for n in [DRAWS // 8] * 8:
+        z, w = rng.normal(size=(2, n, d))
+        z /= np.linalg.norm(z, axis=1, keepdims=True)
+        w -= (w * z).sum(axis=1, keepdims=True) * z
+        w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-300)
+        other = threshold * z + math.sqrt(1 - threshold**2) * w
+        i, j = np.abs(z).argmax(axis=1), np.abs(other).argmax(axis=1)
+        same += int(((i == j) & (z[np.arange(n), i] * other[np.arange(n), i] > 0)).sum())
+    p = same / DRAWS
+    return min(0.99, max(0.05, p - 3 * math.sqrt(p * (1 - p) / DRAWS)))
+
+
+def plan(n: int, d: int, threshold: float) -> tuple[int, int]:
+    """(hashes per table, tables) for ``n`` vectors of ``d`` dimensions."""
     m = 1
-    while n / 128**m > CELL:
+    while n / (2 * max(d, 2)) ** m > CELL:
         m += 1
-    return m, math.ceil(math.log(MISS) / math.log(1 - P_HASH**m))
+    return m, math.ceil(math.log(MISS) / math.log(1 - hash_rate(d, threshold) ** m))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -85,7 +109,7 @@ def codes(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.packbits(z > 0, axis=1), np.abs(z).sum(axis=1) / math.sqrt(unit.shape[1])
 
 
-_CODED = "vec_id long, label long, copies long, vector array<double>, code binary, factor double, cells array<long>"
+_CODED = "id long, label long, copies long, vector array<double>, code binary, factor double, cells array<long>"
 
 
 def _coded(vectors: DataFrame, hashes: int, tables: int) -> DataFrame:
@@ -111,7 +135,7 @@ def _coded(vectors: DataFrame, hashes: int, tables: int) -> DataFrame:
                         pa.array(factor),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * tables), pa.array(cells.reshape(-1).view(np.int64))),
                     ],
-                    ["vec_id", "label", "copies", "vector", "code", "factor", "cells"],
+                    ["id", "label", "copies", "vector", "code", "factor", "cells"],
                 )
 
     return vectors.mapInArrow(run, _CODED)
@@ -121,7 +145,7 @@ def _links_of_block(t: pa.Table, threshold: float) -> pa.Table:
     """(a, n, b): each linked member, the vectors it links to that count here, and the least member of its group."""
     t = t.combine_chunks()
     n = t.num_rows
-    ids, copies = t["vec_id"].to_numpy(), t["copies"].to_numpy()
+    ids, copies = t["id"].to_numpy(), t["copies"].to_numpy()
     d = len(t["vector"][0])
     vec = t["vector"].combine_chunks().flatten().to_numpy().reshape(n, d)
     cells = t["cells"].combine_chunks().flatten().to_numpy().reshape(n, -1)
@@ -179,25 +203,30 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), v.alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("vector").isNotNull() & finite & F.exists("vector", lambda x: x != 0)
-    named = own.select("vec_id", F.when(F.coalesce(usable, F.lit(False)), F.xxhash64("label", "vector")).alias("h1"), F.xxhash64(F.lit(1), "vector", "label").alias("h2"))
+    h1, h2 = F.xxhash64("label", "vector"), F.xxhash64(F.lit(1), "vector", "label")
+    named = own.select("vec_id", F.when(F.coalesce(usable, F.lit(False)), h1).alias("h1"), h2.alias("h2"), F.size("vector").alias("d"))
     named = scratch.save(named, "named")
-    classes = named.where("h1 is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    classes = scratch.save(classes, "classes")
-    hashes, tables = plan(classes.count())
-    reps = own.where(usable).join(classes.select("rep", "copies"), F.col("vec_id") == F.col("rep")).dropDuplicates(["vec_id"])
-    coded = scratch.save(_coded(reps.select("vec_id", "label", "copies", "vector"), hashes, tables), "coded")
+    grouped = named.where("h1 is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.max("d").alias("d"))
+    # the written table fixes each class's number: an id may repeat with other vectors
+    classes = scratch.save(grouped.withColumn("id", F.monotonically_increasing_id()), "classes")
+    n, d = classes.agg(F.count("*"), F.max("d")).first()
+    hashes, tables = plan(n, d or 1, threshold)
+    hashed = own.where(usable).select("vec_id", "label", "vector", h1.alias("h1"), h2.alias("h2"))
+    leaders = classes.select("id", "copies", "h1", "h2", F.col("least").alias("vec_id"))
+    reps = hashed.join(leaders, ["vec_id", "h1", "h2"]).dropDuplicates(["id"])
+    coded = scratch.save(_coded(reps.select("id", "label", "copies", "vector"), hashes, tables), "coded")
     rows = coded.select("*", F.posexplode("cells").alias("t", "cell"))
     sizes = coded.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("members")).where("members > 1")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     dealt = (
         rows.join(scratch.save(sizes, "sizes"), "cell")
         .withColumn("blocks", blocks)
-        .withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("bi", F.least("block", "other"))
         .withColumn("bj", F.greatest("block", "other"))
     )
-    keyed = dealt.select("cell", "bi", "bj", "block", "t", "vec_id", "label", "copies", "vector", "code", "factor", "cells")
+    keyed = dealt.select("cell", "bi", "bj", "block", "t", "id", "label", "copies", "vector", "code", "factor", "cells")
 
     def links(t: pa.Table) -> pa.Table:
         return _links_of_block(t, threshold)
@@ -205,11 +234,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     found = scratch.save(keyed.groupBy("cell", "bi", "bj").applyInArrow(links, "a long, n long, b long"), "found")
     comps = linkage.connected_components(found.select("a", "b"), scratch)
     counts = found.groupBy("a").agg(F.sum("n").alias("n"))
-    per_class = (
-        classes.join(counts, classes["rep"] == counts["a"], "left")
-        .join(comps, classes["rep"] == comps["node"], "left")
-        .select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    )
+    placed = classes.join(counts, classes["id"] == counts["a"], "left").join(comps, classes["id"] == comps["node"], "left")
+    linked = scratch.save(placed.select("h1", "h2", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("c")), "linked")
+    least = linked.groupBy("c").agg(F.min("least").alias("component_id"))
+    per_class = linked.join(least, "c").select("h1", "h2", "n_links", "component_id")
     joined = named.join(scratch.save(per_class, "per_class"), ["h1", "h2"], "left")
     component = F.coalesce("component_id", "vec_id")
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
