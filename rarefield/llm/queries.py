@@ -61,7 +61,8 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find_secrets(_read(spark, sf_dir, "documents"), secrets.train(secrets.labelled_samples(spark)))
+    docs = _read(spark, sf_dir, "documents")
+    found = secrets.find_secrets(docs, *secrets.calibrated(secrets.labelled_samples(docs)))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -89,19 +90,64 @@ def test_near_duplicates_against_brute_force(spark):
         assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[i]), find(i), find(i) == i)
 
 
-def test_embeddings_against_brute_force(spark):
+def embedding_answers(rows):
+    """(n_links, component_id, kept) of each row (vec_id, vector, label) by comparing all pairs."""
+    def usable(r):
+        return r[0] is not None and r[1] is not None and r[2] is not None and len(r[1]) and all(c is not None and np.isfinite(c) for c in r[1]) and any(r[1])
+
+    root, links = list(range(len(rows))), [0] * len(rows)
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for i, a in enumerate(rows):
+        for j, b in enumerate(rows[:i]):
+            if usable(a) and usable(b) and a[2] == b[2] and len(a[1]) == len(b[1]):
+                x, y = np.array(a[1]), np.array(b[1])
+                if x @ y / (np.linalg.norm(x) * np.linalg.norm(y)) >= 0.93:
+                    links[i] += 1
+                    links[j] += 1
+                    root[find(i)] = find(j)
+    least = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            least[find(i)] = min(least.get(find(i), r[0]), r[0])
+    own = [least.get(find(i)) for i in range(len(rows))]
+    return [(r[0], links[i], own[i], r[0] is None or own[i] == r[0]) for i, r in enumerate(rows)]
+
+
+@pytest.mark.parametrize("d", [1, 16, 256])
+def test_embeddings_against_brute_force(spark, d):
     rng = np.random.default_rng(4)
-    x = rng.normal(size=(60, 16))
-    x[1:12] = x[0] + rng.normal(size=(11, 16)) * 0.15
+    x = rng.normal(size=(70, d))
+    x[1:12] = x[0] + rng.normal(size=(11, d)) * 0.15
     x[20:24] = x[20]
-    rows = [(i, v.tolist(), int(i % 2 == 0 and i < 30)) for i, v in enumerate(x)] + [(60, None, 1), (61, [0.0] * 16, 1), (62, [float("nan")] * 16, 1), (63, x[0].tolist(), None)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    unit = x / np.linalg.norm(x, axis=1)[:, None]
-    label = np.array([r[2] for r in rows[:60]])
-    near = (unit @ unit.T >= 0.93) & (label[:, None] == label[None])
-    np.fill_diagonal(near, False)
-    for r in embeddings.near_duplicates(df).collect():
-        assert r["n_links"] == (near[r["vec_id"]].sum() if r["vec_id"] < 60 else 0)
+    x[40:52] = x[40] * rng.uniform(1, 3, (12, 1)) + rng.normal(size=(12, d)) * 0.1
+    rows = [(i, v.tolist(), int(i % 2 == 0 and i < 30)) for i, v in enumerate(x)] + [(80, None, 1), (81, [0.0] * d, 1), (82, [float("nan")] * d, 1), (83, x[0].tolist(), None), (84, [], 1), (85, [None] * d, 1)]
+    # ids that repeat with other vectors, a null id, and vectors of another length
+    rows += [(5, x[60].tolist(), 0), (5, x[61].tolist(), 0), (86, x[61].tolist(), 0), (None, x[0].tolist(), 1), (87, [*x[0].tolist(), 1e-9], 1), (88, [*x[0].tolist(), 2e-9], 1)]
+    df = spark.createDataFrame([(*r, "clash", 7) for r in rows], "vec_id long, embedding array<double>, label int, kept string, component_id int")
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(df).collect()), key=repr)
+    assert got == sorted(embedding_answers(rows), key=repr)
+
+
+@pytest.mark.parametrize("d", [64, 768])
+def test_embedding_plans_reach_their_recall(d):
+    """Pairs exactly at the threshold share a cell, on either side of the number of hashes."""
+    rng = np.random.default_rng(d)
+    x, w = rng.normal(size=(2, 300, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    w -= (w * x).sum(axis=1, keepdims=True) * x
+    y = 0.93 * x + np.sqrt(1 - 0.93**2) * w / np.linalg.norm(w, axis=1, keepdims=True)
+    label = np.zeros(300, np.int64)
+    step = embeddings.CELL * 2 * d
+    assert [embeddings.plan(n, d, 0.93)[0] for n in (step, step + 1)] == [1, 2]
+    for n in (step, step + 1) if d == 64 else (step,):
+        shape = embeddings.plan(n, d, 0.93)
+        shared = (embeddings.cell_keys(x, label, *shape) == embeddings.cell_keys(y, label, *shape)).any(axis=1)
+        assert shared.mean() >= 0.99
 
 
 def test_contamination(spark):
@@ -131,15 +177,57 @@ def test_template_sandbox():
     assert Template("{{ x.y }}").render(x="text")[0] == ""
 
 
-def test_secrets_against_python(spark):
-    texts = [None, "", 'password = "hunter2hunter2"', "token: secret: abcdefghijk", "AKIA" + "A" * 16 + " " + "f" * 40, "é API_KEY='short' apikey=0123456789"]
-    got = {r["doc_id"]: r for r in secrets.find_secrets(docs(spark, texts), secrets.train(secrets.labelled_samples(spark, 400))).collect()}
-    rules = [re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")]
+RULES = [re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")]
+
+
+def base_spans(text):
+    """(start, kind, end) of the three rules, by Python's own matcher."""
     least = (8, 16, 32)
+    return sorted((m.start(), k, m.end()) for k, rule in enumerate(RULES) for m in rule.finditer(text or "") if len(m[2] if k == 0 else m[0]) >= least[k])
+
+
+def said(spans):
+    return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+
+
+RANDOM = ["q8Zx1Lp0VbT7rK2mN9s", "xK9vQ2mZ7pL4", "qZxWvKjHgFdSaPoIuYtReWq", "Zm9vYmFyMTIzNDU2Nzg5MGFiY2RlZg=="]
+
+
+def test_secrets_against_python(spark):
+    texts = [None, "", 'password = "hunter2hunter2"', "token: secret: abcdefghijk", "AKIA" + "A" * 16 + " " + "f" * 40, "é API_KEY='short' apikey=0123456789", "😀 " + " and ".join(RANDOM), "get_user_name_from_config set-default-handler internationalisation", "x" * 40 + " " + "token = abcdefgh1 " * 30, "TOKEN=a" * 9]
+    model, threshold = secrets.calibrated(secrets.labelled_samples(docs(spark, texts[:6] + texts[7:])))
+    got = {r["doc_id"]: r for r in secrets.find_secrets(docs(spark, texts), model, threshold).collect()}
+    score = lambda t: sum(round(model[t[k : k + 2]], 6) for k in range(len(t) - 1))
     for i, t in enumerate(texts):
-        spans = sorted((m.start(), k, m.end()) for k, rule in enumerate(rules) for m in rule.finditer(t or "") if len(m[2] if k == 0 else m[0]) >= least[k])
-        said = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans)
-        assert got[i]["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        base = base_spans(t)
+        extra = [(m.start(), 3, m.end()) for m in re.finditer(r"[A-Za-z0-9+/_=-]+", t or "") if len(m[0]) >= secrets.LEAST and score(m[0]) >= threshold]
+        assert got[i]["base_sha256"] == hashlib.sha256(said(base).encode()).hexdigest()
+        assert [got[i][f"n_{k}"] for k in secrets.KINDS] == [sum(1 for s in base + extra if s[1] == k) for k in range(4)]
+        assert got[i]["spans"] == said(sorted(base + extra))
+    assert got[6]["n_random"] == len(RANDOM) and got[7]["n_random"] == 0
+    assert secrets.find_secrets(docs(spark, []), model, threshold).count() == 0
+
+
+def test_character_models_of_counted_pairs(spark):
+    """The tables against counts in plain Python."""
+    rows = [("aXb9", 1), ("aX", 1), ("abab", 0), ("a b", 0)]
+    model = secrets.train(spark.createDataFrame(rows, "text string, label int"))
+    k = len(secrets.ALPHABET)
+    for pair in ("aX", "ab", "ba", "zz"):
+        p = []
+        for y in (1, 0):
+            pairs = [t[i : i + 2] for t, label in rows if label == y for i in range(len(t) - 1) if " " not in t[i : i + 2]]
+            p.append((pairs.count(pair) + 0.5) / (sum(x[0] == pair[0] for x in pairs) + 0.5 * k))
+        assert model[pair] == pytest.approx(np.log(p[0] / p[1]))
+
+
+def test_many_secrets_in_one_text(spark):
+    """Eighty thousand spans of one text in bounded time."""
+    text = "".join(f"token={k:08d}x {'ab' * (k % 3)}" for k in range(80_000))
+    began = time.time()
+    r = secrets.find_secrets(docs(spark, [text]), secrets.train(secrets.made_samples(spark, 100)), 1e9).first()
+    assert r["n_assign"] == 80_000 and r["spans"] == said(base_spans(text))
+    assert time.time() - began < 15
 
 
 def test_equal_lines_go_but_for_the_first(spark):
