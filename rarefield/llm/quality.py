@@ -136,13 +136,14 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int =
     """Up to ``per_class`` labelled texts of each label 0 and 1, by a hash of their id, in that order.
 
     Only ids are ordered; the chosen ones, at most twice ``per_class``, are then
-    looked up, so the driver receives that many texts and no more.
+    looked up, so the driver receives that many texts and no more; where an id
+    repeats, the least of its texts is taken.
     """
     rows = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_label"))
     picked = [rows.where(F.col("_label") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for y in (0, 1)]
     both = picked[0].union(picked[1]).dropDuplicates(["_id", "_label"])
     own = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    got = own.join(F.broadcast(both), "_id").select("_id", "_label", "_text").limit(4 * per_class).collect()
+    got = own.join(F.broadcast(both), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text")).collect()
     got.sort(key=lambda r: (r["_label"], r["_id"], r["_text"]))
     return [r["_text"] for r in got], [r["_label"] for r in got]
 

@@ -253,6 +253,32 @@ def test_quality_prefers_good_texts():
     assert 0 <= quality.Scorer(quality.fit([], [])).score("x") <= 1
 
 
+def test_quality_sample_of_rows_that_repeat(spark):
+    rows = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, "c"), (3, None), (4, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0), (4, None), (None, 1)], "doc_id long, quality int")
+    assert quality.sample(rows, labels, "quality") == (["c", "a"], [0, 1])
+    assert quality.sample(rows, labels.where("false"), "quality") == ([], [])
+    scored = quality.score(docs(spark, [None, "", "word " * 300_000]), quality.fit([], [])).collect()
+    assert len(scored) == 3 and all(0 <= r["score"] <= 1 for r in scored)
+
+
+def test_contaminated_share_of_edited_copies(spark):
+    """At a fifth of the words replaced nine of ten copies are found, and no clean document."""
+    rnd = random.Random(17)
+    word = lambda: f"b{rnd.randrange(4000)}"
+    items = [[word() for _ in range(30)] for _ in range(60)]
+    texts = []
+    for item in items:
+        copy = list(item)
+        for k in rnd.sample(range(30), 6):
+            copy[k] = word()
+        texts.append(" ".join([word() for _ in range(100)] + copy + [word() for _ in range(100)]))
+    texts += [" ".join(word() for _ in range(230)) for _ in range(60)]
+    table = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    found = {r["doc_id"] for r in decontaminate.contaminated(docs(spark, texts), table).collect()}
+    assert len([i for i in found if i < 60]) >= 54 and max(found) < 60
+
+
 def word_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
