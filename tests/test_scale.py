@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rarefield.operators import assignment, neighbors, voxels
+from rarefield.operators import assignment, components, neighbors, voxels
 
 
 def test_nearest_times_at_scale(spark):
@@ -106,3 +106,29 @@ def test_small_segments_against_a_voxel_loop(spark):
     got = {(r["ix"], r["iy"], r["iz"]): r["segment"] for r in voxels.remove_small(df, 4).collect()}
     assert got == small_segments_by_hand(field, 4)
     assert voxels.remove_small(df, 1).count() == len(rows)
+
+
+def test_components_extended_by_new_edges(spark):
+    rng = np.random.default_rng(3)
+    old = [(int(a), int(b)) for a, b in rng.integers(0, 120, (50, 2)) if a != b]
+    new = [(int(a), int(b)) for a, b in rng.integers(0, 160, (50, 2))] + old[:5] + [(300, 300)]
+
+    def by_hand(edges):
+        root = {n: n for e in edges if e[0] != e[1] for n in e}
+        for _ in root:
+            for a, b in edges:
+                if a != b:
+                    root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    def frame(edges):
+        return spark.createDataFrame(edges, "a long, b long")
+
+    comps = components.connected_components(frame(old))
+    assert {r["node"]: r["component"] for r in comps.collect()} == by_hand(old)
+    for edges in (new, old, []):
+        rows = components.extend_components(comps, frame(edges)).collect()
+        assert len({r["node"] for r in rows}) == len(rows)
+        assert {r["node"]: r["component"] for r in rows} == by_hand(old + edges)
+    rows = components.extend_components(components.connected_components(frame([])), frame(new)).collect()
+    assert {r["node"]: r["component"] for r in rows} == by_hand(new)
