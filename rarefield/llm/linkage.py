@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rarefield.operators.components import connected_components
+from rarefield.operators.components import connected_components, extend_components
 from rarefield.scratch import Scratch
 
 Verify = Callable[[DataFrame], DataFrame]
@@ -80,8 +80,7 @@ def link_buckets(buckets: DataFrame, prepare: Callable[[DataFrame], Verify], scr
     second = outside.groupBy("key").agg(top).select("key", (-F.col("h.rank.m")).alias("hub"), F.col("h.rank.s").alias("hs"), F.col("h.comp").alias("hc"))
     star = members.join(second, "key").where("comp != hc").where(near_hub).select(*ordered)
     fresh = scratch.save(star.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = scratch.save(links.union(verify(fresh)), "links")
-    comps = connected_components(links, scratch)
+    comps = extend_components(comps, scratch.save(verify(fresh), "links"), scratch)
     tried = tried.union(fresh)
     # the rest: pairs of different components that share a key
     members = open_members()
@@ -105,5 +104,4 @@ def link_buckets(buckets: DataFrame, prepare: Callable[[DataFrame], Verify], scr
     once = (F.col("comp") < F.col("hc")) | ((F.col("hc") == F.col("most")) & (F.col("comp") != F.col("hc")))
     cross = lone.join(other, (lone["key"] == other["key"]) & once & fits).select(*ordered)
     fresh = scratch.save(cross.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = scratch.save(links.union(verify(fresh)), "links")
-    return connected_components(links, scratch)
+    return extend_components(comps, scratch.save(verify(fresh), "links"), scratch)
