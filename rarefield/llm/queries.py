@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rarefield.llm import chat, decontaminate, embeddings, language, lines, minhash, pieces, quality, secrets, token_counts
+from rarefield.llm import chat, decontaminate, embeddings, language, lines, minhash, pieces, quality, repair, secrets, token_counts
 from rarefield.shipping import ensure_shipped
 
 PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.json"
@@ -76,6 +76,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(language.held_out(found), F.lit(True)).alias("held_out"), "lang_pred", "score")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.with_empty(repair.repair(repair.damage(rows)).report, rows.select("conv_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
@@ -88,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": op8_secrets,
         "op9_line_dedup": op9_line_dedup,
         "op10_language": op10_language,
+        "op11_conversation_repair": op11_conversation_repair,
     }
 
 
@@ -111,5 +117,64 @@ FROM turns GROUP BY conv_id
 """
 
 
+# CRC-32 of a text of ASCII characters, bit by bit; 3988292384 is the polynomial.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({s}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: xor(r >> 1, 3988292384 * (r & 1)))), 4294967295)"
+
+
+def _add(x: str, cost: str, edit: str) -> str:
+    """A path, its cost in nine digits and then its edits, with one more edit: least() finds the cheapest and least."""
+    return f"lpad((substr({x}, 1, 9)::BIGINT + {cost})::VARCHAR, 9, '0') || substr({x}, 10) || '{edit}'"
+
+
+_ANY = "least(x0, x1, x3)"  # states from which a user's turn follows
+_OP11 = f"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations
+), slots AS (SELECT *, {_CRC.format(s="s")} % 20 AS slot FROM raw),
+damaged AS (
+  SELECT conv_id, turn, CASE slot WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE slot WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM slots, unnest(CASE slot WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS t(k)
+), placed AS (
+  SELECT *, row_number() OVER w AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS told,
+    lag(substr(role, 1, 1)) OVER w || substr(role, 1, 1) AS pair
+  FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), found AS (
+  SELECT *, substr(role, 1, 1) AS initial, CASE WHEN told = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN right(told, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM placed
+), counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+    count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM found GROUP BY conv_id
+), dp AS (
+  SELECT conv_id, 0::BIGINT AS i, '000000000' AS x0, NULL::VARCHAR AS x1, {_add("'000000000'", "5", "I")} AS x2, {_add("'000000000'", "10", "II")} AS x3 FROM counted
+  UNION ALL
+  SELECT conv_id, i, x0, x1, y2, least(x3, {_add("y2", "5", "I")}) FROM (
+    SELECT *, least(x2, {_add(_ANY, "5", "I")}) AS y2 FROM (
+      SELECT d.conv_id, f.i, {_add("x0", "2", "D")} AS x0,
+        least({_add("x1", "2", "D")}, CASE WHEN may AND initial = 's' THEN {_add("x0", "e", "K")} END) AS x1,
+        least({_add("x2", "2", "D")}, CASE WHEN may AND initial = 'u' THEN {_add(_ANY, "e", "K")} END, CASE WHEN may THEN {_add(_ANY, "(1 + e)", "R")} END) AS x2,
+        least({_add("x3", "2", "D")}, CASE WHEN may AND initial = 'a' THEN {_add("x2", "e", "K")} END, CASE WHEN may THEN {_add("x2", "(1 + e)", "R")} END) AS x3
+      FROM dp AS d JOIN (SELECT *, fault IN (0, 3) AS may, CASE fault WHEN 3 THEN 5 ELSE 0 END AS e FROM found) AS f ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.i = d.i + 1
+    ) AS a
+  ) AS b
+), best AS (
+  SELECT c.*, substr(least(x0, x3), 1, 9)::BIGINT AS cost, substr(least(x0, x3), 10) AS audit FROM counted AS c JOIN dp ON dp.conv_id IS NOT DISTINCT FROM c.conv_id AND dp.i = c.n
+), edits AS (
+  SELECT conv_id, p, substr(audit, p, 1) AS e, length(replace(substr(audit, 1, p), 'I', '')) AS i, length(replace(substr(audit, 1, p), 'D', '')) AS k
+  FROM best, unnest(range(1, length(audit) + 1)) AS t(p)
+), kept AS (
+  SELECT e.conv_id, p, e, k, role, text, max(CASE WHEN e = 'K' AND k = 1 AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS led
+  FROM edits AS e LEFT JOIN found AS f ON e.e <> 'I' AND f.conv_id IS NOT DISTINCT FROM e.conv_id AND f.i = e.i WHERE e <> 'D'
+), mended AS (
+  SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (k - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS told FROM kept GROUP BY conv_id
+)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(told, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS i LEFT JOIN best AS b ON b.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN mended AS m ON m.conv_id IS NOT DISTINCT FROM i.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_format": _OP7}
+    return {"op7_chat_format": _OP7, "op11_conversation_repair": _OP11}
