@@ -44,7 +44,10 @@ class Scratch:
 
     def drop(self, *frames: DataFrame) -> None:
         """Removes tables made by :meth:`save` that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
         for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._rarefield_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self.remove(df._rarefield_path)
+
+    def remove(self, folder: str) -> None:
+        """Removes a folder below the root."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
