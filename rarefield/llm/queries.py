@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rarefield.llm import chat, decontaminate, embeddings, language, lines, minhash, pieces, quality, repair, secrets, token_counts
+from rarefield.llm import chat, decontaminate, embeddings, language, lines, minhash, ngrams, pieces, quality, repair, secrets, token_counts
 from rarefield.shipping import ensure_shipped
 
 PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.json"
@@ -81,6 +81,12 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.with_empty(repair.repair(repair.damage(rows)).report, rows.select("conv_id"))
 
 
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    found = ngrams.score_corpus(docs, ~F.coalesce(language.held_out(docs, folds=10), F.lit(True)))
+    return found.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
@@ -94,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_line_dedup": op9_line_dedup,
         "op10_language": op10_language,
         "op11_conversation_repair": op11_conversation_repair,
+        "op12_lm_scores": op12_lm_scores,
     }
 
 
