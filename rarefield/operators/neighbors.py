@@ -1,30 +1,25 @@
 """Nearest-neighbour joins.
 
-Points are binned into cells of a side ``h``; a query looks into its own cell and
-those next to it, so the join is an equi-join on cells.  Queries whose k-th
-neighbour is not yet certain, those with fewer than k points within one side, are
-asked again with cells of twice the side.  Ties go to the smallest id.
+Targets lie in a tree of cells that follows their density (:mod:`celltree`), so the
+joins are equi-joins on cells of a bounded number of points.  Ties go to the smallest
+id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import product
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rarefield.functions.similarity import array_l2
+from rarefield.operators import celltree
 from rarefield.scratch import Scratch
 
 
 TIME_PARTS = 64
 
 
-def _cell(axis: str, h: float):
-    return F.floor(F.col(axis) / h).cast("long")
-
-
 def cell_size(points: DataFrame, axes: Sequence[str], per_cell: float = 4.0) -> float:
     """A cell side with about ``per_cell`` points a cell, from the count and the middle nine tenths of each axis, so that far points do not widen it."""
     middle = [F.percentile_approx(F.col(a).cast("double"), [0.05, 0.95], 1000).alias(f"m{k}") for k, a in enumerate(axes)]
@@ -38,49 +33,29 @@ def cell_size(points: DataFrame, axes: Sequence[str], per_cell: float = 4.0) ->
     return max((volume * per_cell / r["n"]) ** (1 / len(sides)), 1e-12)
 
 
-def knn(queries: DataFrame, targets: DataFrame, k: int, axes: Sequence[str] = ("x", "y", "z"), query_id: str = "id", target_id: str = "id", exclude_self: bool = False, h: float | None = None) -> DataFrame:
-    """(query, target, distance, rank) of the ``k`` nearest targets of each query, all of them where there are fewer."""
+def knn(queries: DataFrame, targets: DataFrame, k: int, axes: Sequence[str] = ("x", "y", "z"), query_id: str = "id", target_id: str = "id", exclude_self: bool = False, cap: int | None = None) -> DataFrame:
+    """(query, target, distance, rank) of the ``k`` nearest targets of each query, all of them where there are fewer.
+
+    ``cap`` is the most targets that a cell of the tree holds.  Points with a missing or
+    infinite coordinate are left out.
+    """
     if k < 1:
         raise ValueError("k is at least 1")
     scratch = Scratch(queries.sparkSession, "knn")
-    q = queries.select(F.col(query_id).alias("query"), *[F.col(a).cast("double").alias(f"q{n}") for n, a in enumerate(axes)])
-    t = targets.select(F.col(target_id).alias("target"), *[F.col(a).cast("double").alias(f"t{n}") for n, a in enumerate(axes)])
-    h = h or cell_size(targets, axes)
     dims = range(len(axes))
-    ends = t.agg(F.count("*").alias("n"), *[f(f"t{n}").alias(f"{p}{n}") for n in dims for p, f in (("lo", F.min), ("hi", F.max))]).first()
-    size = ends["n"]
-    if not size:
+    finite = lambda df, p: df.where(" and ".join(f"abs({p}{n}) < double('Infinity') and not isnan({p}{n})" for n in dims))
+    q = finite(queries.select(F.col(query_id).alias("query"), *[F.col(a).cast("double").alias(f"q{n}") for n, a in enumerate(axes)]), "q")
+    t = finite(targets.select(F.col(target_id).alias("target"), *[F.col(a).cast("double").alias(f"t{n}") for n, a in enumerate(axes)]), "t")
+    need = k + 1 if exclude_self else k
+    tree = celltree.build(t, len(axes), cap or max(32, 4 * k), need, scratch)
+    if tree is None:
         return q.select("query", F.lit(None).cast(t.schema["target"].dataType).alias("target"), F.lit(0.0).alias("distance"), F.lit(0).alias("rank")).limit(0)
-    left, done, side = q, [], h
-    most = min(k, size - 1 if exclude_self else size)
-    if most < 1:
-        return q.select("query", F.col("query").alias("target"), F.lit(0.0).alias("distance"), F.lit(0).alias("rank")).limit(0)
+    met = celltree.nearest(tree, q, need, scratch)
+    if exclude_self:
+        met = met.where("query != target")
     w = Window.partitionBy("query").orderBy("distance", "target")
-    around = F.array(*[F.array(*[F.lit(v) for v in d]) for d in product((-1, 0, 1), repeat=len(axes))])
-    while True:
-        cells = t.select("*", *[_cell(f"t{n}", side).alias(f"c{n}") for n in dims])
-        asked = left.select("*", F.explode(around).alias("_d")).select("*", *[(_cell(f"q{n}", side) + F.get("_d", F.lit(n))).alias(f"c{n}") for n in dims])
-        met = asked.drop("_d").join(cells, [f"c{n}" for n in dims])
-        if exclude_self:
-            met = met.where("query != target")
-        d2 = sum(((F.col(f"q{n}") - F.col(f"t{n}")) ** 2 for n in dims), F.lit(0.0))
-        best = met.select("query", "target", F.sqrt(d2).alias("distance")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
-        best = scratch.save(best, "best")
-        sure = best.groupBy("query").agg(F.count("*").alias("n"), F.max("distance").alias("far")).where((F.col("n") >= most) & (F.col("far") <= side)).select("query")
-        # cells that cover the whole extent leave nothing outside
-        outside = F.lit(False)
-        for n in dims:
-            own = _cell(f"q{n}", side)
-            outside = outside | ((own - 1) * side > ends[f"lo{n}"]) | ((own + 2) * side <= ends[f"hi{n}"])
-        rest = scratch.save(left.join(sure, "query", "left_anti").where(outside), "rest")
-        done.append(best.join(rest.select("query"), "query", "left_anti"))
-        if rest.isEmpty():
-            break
-        left, side = rest, side * 2
-    out = done[0]
-    for d in done[1:]:
-        out = out.union(d)
-    return out
+    ranked = met.select("query", "target", F.sqrt("d2").alias("distance")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return scratch.save(ranked, "nearest")
 
 
 def mutual_knn_edges(points: DataFrame, k: int, axes: Sequence[str] = ("x", "y", "z"), id_col: str = "id") -> DataFrame:

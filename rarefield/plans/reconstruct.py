@@ -65,7 +65,7 @@ def layers_to_grid(layers: DataFrame, step: float, dz: float, confidence: float
     grid = ids.select("id", (ix * step + e["x0"]).alias("x"), (iy * step + e["y0"]).alias("y"), (iz * dz).alias("z"), iz.alias("layer"))
     grid = scratch.save(grid, "grid")
     q = grid.select("id", F.col("x").alias("X"), F.col("y").alias("Y"), (F.col("layer") * far).alias("L"))
-    near = knn(q, good.select("_pid", "X", "Y", (F.col("layer") * far).alias("L")), 1, ("X", "Y", "L"), "id", "_pid", h=max(step * 2, 1e-9))
+    near = knn(q, good.select("_pid", "X", "Y", (F.col("layer") * far).alias("L")), 1, ("X", "Y", "L"), "id", "_pid")
     near = near.where(F.col("distance") <= step)
     values = good.select("_pid", F.col("PhaseNr").cast("long").alias("phase"), *[F.col(f"Eul{k + 1}").alias(f"Eul{k}") for k in range(3)])
     joined = grid.join(near.select(F.col("query").alias("id"), F.col("target").alias("_pid")), "id", "left").join(values, "_pid", "left")
