@@ -49,8 +49,8 @@ from rarefield.llm import trie
 from rarefield.llm.workers import releasing
 from rarefield.scratch import Scratch
 
-BATCH = 1 << 20
-SHARD_BYTES = 8 << 20  # of text, for each shard of n-grams
+BATCH = 1 << 19
+SHARD_BYTES = 4 << 20  # of text, for each shard of n-grams
 HOT = 1 << 20
 PAIR, TRIPLE = 8.0, 4.0
 PIECE = 4 << 20
@@ -231,14 +231,17 @@ def _look_up(asked: list[bytes]) -> tuple[list[bytes], int]:
     total = np.concatenate([np.repeat(r[4], r[3]) for r in rows])
     u = np.concatenate([r[1] for r in rows]) - 1
     w, n = (np.concatenate([r[k] for r in rows]) for k in (2, 5))
+    del rows
     (lv, iv), (lu, iu), (lw, iw) = (np.unique(x, return_inverse=True) for x in (v, u, w))
     context, n_contexts = iv * np.int64(len(lu)) + iu, len(lv) * len(lu)
     if n_contexts * len(lw) >= 1 << 63:
         context = np.unique(context, return_inverse=True)[1]
     key = context * np.int64(len(lw)) + iw
+    del context, iv, iu, iw
     _, at, back = np.unique(key, return_index=True, return_inverse=True)
     count = np.bincount(back, n, len(at)).astype(np.int64)
     v, u, w, total = v[at], u[at], w[at], total[at]
+    del key, n, at
     seen = count > 0
     known = trie.Trie(trie.build(v[seen], u[seen], w[seen], count[seen], total[seen], PAIR, TRIPLE))
     codes = [c.astype(np.int64)[back] for c in known.look_up(v, u, w)]
