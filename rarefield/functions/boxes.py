@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rarefield.operators.ranking import numbered
+
 Box = Sequence[tuple[float, float]]
 
 
@@ -16,7 +18,7 @@ def shrink_filter(points: DataFrame, box: Box, tolerance_percent: float = 0.0, c
     for c, (lo, hi) in zip(coords, box, strict=False):
         t = (hi - lo) * tolerance_percent / 100
         ok = ok & F.col(c).between(lo + t, hi - t)
-    return points.where(ok).withColumn("row", F.row_number().over(Window.orderBy(order)) - 1)
+    return numbered(points.where(ok), [order], "row")
 
 
 def extend_box(points: DataFrame, box: Box, tolerance: float = 0.0, coords: Sequence[str] = ("X", "Y", "Z"), strict: bool = False) -> list[tuple[float, float]]:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rarefield.functions.similarity import norm, von_mises
+from rarefield.operators.ranking import exact_quantiles, numbered
 
 Selector = Callable[[DataFrame], DataFrame]
 
@@ -96,31 +97,29 @@ def default_rare(quantile: float = 0.05, max_rare: int | None = None, label: str
     q = min(max(quantile, 0.0), 1.0)
 
     def select(c: DataFrame) -> DataFrame:
-        limit = c.agg(F.percentile("n", F.lit(q)).alias("_limit"))
-        small = c.crossJoin(limit).where(F.col("n") <= F.col("_limit")).drop("_limit")  # one row on the right
-        ranked = small.orderBy("n", label)
+        (limit,) = exact_quantiles(c, "n", [q])
+        small = c.where(F.col("n") <= F.lit(limit))
         if max_rare is not None:
-            ranked = ranked.limit(max_rare)
-        return ranked.withColumn("position", F.row_number().over(Window.orderBy("n", label)))
+            small = small.orderBy("n", label).limit(max_rare)
+        return numbered(small, ["n", label], "position", 1)
 
     return select
 
 
 def block_numbers(selected: DataFrame, first: int = 2, label: str = "cluster_label") -> DataFrame:
     """(label, block_id): selected clusters numbered by size, then position in the selection, from ``first``."""
-    w = Window.orderBy("n", "position")
-    return selected.select(label, (F.row_number().over(w) + (first - 1)).cast("long").alias("block_id"))
+    return numbered(selected.select(label, "n", "position"), ["n", "position"], "block_id", first).select(label, "block_id")
 
 
 def size_ranks(points: DataFrame, label: str) -> DataFrame:
     """(rank, label, n) of the clusters, largest first."""
     sizes = points.groupBy(label).agg(F.count("*").alias("n"))
-    return sizes.select(F.row_number().over(Window.orderBy(F.desc("n"), label)).alias("rank"), label, "n")
+    return numbered(sizes, [F.desc("n"), F.col(label)], "rank", 1).select("rank", label, "n")
 
 
 def relabel(rows: DataFrame, label: str, out: str, start: int = 0) -> DataFrame:
     """Labels as consecutive numbers in their order; the distinct labels are numbered, not the rows."""
-    table = rows.select(label).distinct().withColumn(out, (F.row_number().over(Window.orderBy(label)) + (start - 1)).cast("long"))
+    table = numbered(rows.select(label).distinct(), [label], out, start)
     return rows.join(table, label, "left")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from rarefield.operators.components import connected_components
 from rarefield.operators.neighbors import cell_size
+from rarefield.operators.ranking import numbered
 from rarefield.scratch import Scratch
 
 MAX_ROWS = 5000
@@ -45,7 +46,6 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, features: Sequence[s
     their nearest core point, the smallest id on ties.  ``pairs`` (a, b, distance)
     may come from any metric.
     """
-    from pyspark.sql import Window
 
     scratch = Scratch(points.sparkSession, "dbscan")
     near = scratch.save(pairs if pairs is not None else radius_pairs(points, eps, features, id_col), "pairs")
@@ -56,7 +56,7 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, features: Sequence[s
     inner = near.join(core, "a", "left_semi").join(cb, "b", "left_semi")
     comps = connected_components(inner.select("a", "b"), scratch)
     label_of = core.join(comps, core["a"] == comps["node"], "left").select("a", F.coalesce("component", "a").alias("root"))
-    numbers = label_of.select("root").distinct().withColumn("label", F.row_number().over(Window.orderBy("root")).cast("long") - 1)
+    numbers = numbered(label_of.select("root").distinct(), ["root"], "label", 0, scratch)
     labelled = scratch.save(label_of.join(numbers, "root").select("a", "label"), "labels")
     border = (
         near.join(core, "a", "left_anti")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rarefield.functions.similarity import Metric, weight
+from rarefield.operators.ranking import exact_quantiles
 from rarefield.scratch import Scratch
 
 
@@ -35,7 +36,7 @@ def auto_sigma(edges: DataFrame, quantile: float = 0.5, sample: int | None = Non
     from_ = edges
     if sample is not None:
         from_ = edges.orderBy(F.xxhash64(F.lit(seed), "src", "dst")).limit(sample)
-    value = from_.agg(F.percentile("distance", F.lit(quantile))).first()[0]
+    (value,) = exact_quantiles(from_, "distance", [quantile])
     if value is None or not value > 0 or value == float("inf"):
         raise ValueError(f"sigma from quantile {quantile} is {value}")
     return float(value)

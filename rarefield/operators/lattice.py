@@ -9,20 +9,26 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rarefield.operators.ranking import exact_quantiles, running_sum, with_previous
+
 AXES = ("x", "y", "z")
 INDEX = ("ix", "iy", "iz")
 
 
 def levels(points: DataFrame, axis: str, tol: float = 1e-9) -> DataFrame:
     """(level, value) of the distinct coordinates of an axis; values no further than ``tol`` apart are one level."""
-    w = Window.orderBy("value")
+    return _level_of_values(points, axis, "level", tol).groupBy("level").agg(F.min("value").alias("value"))
+
+
+def _level_of_values(points: DataFrame, axis: str, name: str, tol: float) -> DataFrame:
+    """(value, name) of the distinct coordinates of an axis."""
     distinct = points.select(F.col(axis).cast("double").alias("value")).distinct()
-    gap = distinct.withColumn("new", (F.coalesce(F.col("value") - F.lag("value").over(w), F.lit(float("inf"))) > tol).cast("long"))
-    numbered = gap.withColumn("level", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    return numbered.groupBy("level").agg(F.min("value").alias("value"))
+    gap = F.coalesce(F.col("value") - F.col("before"), F.lit(float("inf"))) > tol
+    flagged = with_previous(distinct, "value", "before").select("value", gap.cast("long").alias("new"))
+    return running_sum(flagged, "value", "new", "_n").select("value", (F.col("_n") - 1).alias(name))
 
 
 def spacing(points: DataFrame, axis: str, how: str = "median", tol: float = 1e-9) -> DataFrame:
@@ -30,9 +36,8 @@ def spacing(points: DataFrame, axis: str, how: str = "median", tol: float = 1e-9
 
     ``how`` is median or min; step is null for a single level.
     """
-    w = Window.orderBy("value")
-    steps = levels(points, axis, tol).withColumn("d", F.lead("value").over(w) - F.col("value"))
-    pick = F.median("d") if how == "median" else F.min("d")
+    steps = with_previous(levels(points, axis, tol), "value", "before").select("value", (F.col("value") - F.col("before")).alias("d"))
+    pick = F.lit(exact_quantiles(steps, "d", [0.5])[0]).cast("double") if how == "median" else F.min("d")
     base = steps.agg(F.count("*").alias("n_levels"), F.min("value").alias("low"), pick.alias("step"), F.min("d").alias("dmin"), F.max("d").alias("dmax"))
     return base.select("n_levels", "low", "step", F.greatest(F.col("dmax") - F.col("step"), F.col("step") - F.col("dmin")).alias("deviation"))
 
@@ -85,10 +90,7 @@ def with_nearest_level(points: DataFrame, axis: str, name: str, tol: float = 1e-
     A distinct coordinate within ``tol`` of its neighbours joins their level, so the
     index is a lookup by value.
     """
-    w = Window.orderBy("value")
-    distinct = points.select(F.col(axis).cast("double").alias("value")).distinct()
-    flagged = distinct.withColumn("new", (F.coalesce(F.col("value") - F.lag("value").over(w), F.lit(float("inf"))) > tol).cast("long"))
-    table = flagged.select("value", (F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).alias(name))
+    table = _level_of_values(points, axis, name, tol)
     return points.join(table, points[axis].cast("double") == table["value"], "left").drop("value")
 
 

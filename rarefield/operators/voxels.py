@@ -10,12 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rarefield.functions.orientation import misorientation
 from rarefield.operators.components import label_nodes
 from rarefield.operators.lattice import INDEX, grid_edges, neighbours
+from rarefield.operators.ranking import numbered
 from rarefield.scratch import Scratch
 
 
@@ -34,7 +35,7 @@ def flood(voxels: DataFrame, tolerance: float, min_size: int = 1, connectivity:
     close = joined.where(misorientation("ma", "mb", symmetry) < tolerance).select(F.col("src").alias("a"), F.col("dst").alias("b"))
     comps = scratch.save(label_nodes(nodes, close, scratch, "id"), "components")
     sizes = comps.groupBy("component").agg(F.count("*").alias("n"))
-    kept = sizes.where(F.col("n") >= min_size).select("component", F.row_number().over(Window.orderBy(F.desc("n"), "component")).cast("long").alias("segment"))
+    kept = numbered(sizes.where(F.col("n") >= min_size), [F.desc("n"), F.col("component")], "segment", 1, scratch).select("component", "segment")
     named = comps.join(kept, "component", "left").select("node", F.coalesce("segment", F.lit(-1).cast("long")).alias("segment"))
     return voxels.select(F.col(id_col).alias("id")).join(named, F.col("id") == F.col("node"), "left").select("id", F.coalesce("segment", F.lit(0).cast("long")).alias("segment"))
 

@@ -14,6 +14,7 @@ from rarefield.functions import regions
 from rarefield.functions.similarity import candidate_cost, gates, relative_radius
 from rarefield.operators.assignment import assign
 from rarefield.operators.neighbors import knn
+from rarefield.operators.ranking import exact_quantiles
 from rarefield.scratch import Scratch
 
 ANGLES = ("Eul0", "Eul1", "Eul2")
@@ -133,8 +134,9 @@ def stitch_pair(a: DataFrame, b: DataFrame, zol: float, zoh: float, spec: MatchS
 
 def stitch_slabs(a: DataFrame, b: DataFrame, spec: MatchSpec, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(grains, decisions) of two scans that touch: grains near the common face may be one grain cut in two; every match merges."""
-    edge = a.agg(F.max("Z").alias("z")).crossJoin(b.agg(F.min("Z").alias("w"))).crossJoin(a.select("GrainRadius").union(b.select("GrainRadius")).agg((F.median("GrainRadius") * 2).alias("t"))).first()  # one row each
-    t = float(edge["t"] or 0.0)
+    edge = a.agg(F.max("Z").alias("z")).crossJoin(b.agg(F.min("Z").alias("w"))).first()  # one row each
+    (middle,) = exact_quantiles(a.select("GrainRadius").union(b.select("GrainRadius")), "GrainRadius", [0.5])
+    t = 2 * (middle or 0.0)
     near_a, near_b = scratch.save(a.where(F.col("Z") >= edge["z"] - t), "slab_a"), scratch.save(b.where(F.col("Z") <= edge["w"] + t), "slab_b")
     pairs = scratch.save(assign(candidates(near_a, near_b, spec, pos_scale=t), spec.unmatched), "pairs")
     merged = merge_rows(pairs, a, b, spec)
@@ -183,7 +185,7 @@ def compare_scans(source: DataFrame, target: DataFrame, spec: MatchSpec | None =
     spec = spec or MatchSpec()
     used = MatchSpec(**{**spec.__dict__, "rad_tol": spec.rad_tol if spec.w_rad > 0 else -1.0})
     near = Scratch(source.sparkSession, "compare").save(candidates(source, target, used, id_col=id_col), "candidates")
-    middle = near.agg(F.median("dpos")).first()[0]
+    (middle,) = exact_quantiles(near, "dpos", [0.5])
     rescaled = near.withColumn("cost", candidate_cost([(spec.w_pos, "dpos", spec.pos_tol if spec.pos_tol > 0 else (middle or 1.0)), (spec.w_ori, "dori", spec.ori_tol), (spec.w_rad, "drad", spec.rad_tol)]))
     unmatched = sum(w for w, t in ((spec.w_pos, spec.pos_tol), (spec.w_ori, spec.ori_tol), (spec.w_rad, spec.rad_tol)) if w > 0 and t != -1) + 1e-6
     chosen = assign(rescaled, unmatched).select("a", "b").join(near, ["a", "b"])

@@ -9,9 +9,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rarefield.operators.ranking import numbered, running_sum, with_file_rows
+from rarefield.scratch import Scratch
+
 LAYER_COLUMNS = ("OrientationRowNr", "NrMatches", "RunTime", "X", "Y", "TriEdgeSize", "UpDown", "Eul1", "Eul2", "Eul3", "Confidence", "PhaseNr")
 
 
@@ -36,11 +39,12 @@ def read_layers(spark: SparkSession, path: str, dz: float, pattern: str = r"(\d+
 
 def read_orientations(spark: SparkSession, path: str) -> DataFrame:
     """(row, kind, v) of an orientation file: nine numbers a line are a matrix, three are MRP, others an error."""
-    rows = spark.read.text(path).where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("_o"), F.transform(split_line(), lambda x: x.try_cast("double")).alias("v"))
+    lines = with_file_rows(spark.read.text(path).where(F.trim("value") != ""), "row")
+    rows = lines.select("row", F.transform(split_line(), lambda x: x.try_cast("double")).alias("v"))
     bad = rows.where(~F.size("v").isin(3, 9)).limit(1).collect()
     if bad:
         raise ValueError(f"a line has {len(bad[0]['v'])} numbers; 3 or 9 are expected")
-    return rows.select((F.row_number().over(Window.orderBy("_o")) - 1).alias("row"), F.when(F.size("v") == 9, "matrix").otherwise("mrp").alias("kind"), "v")
+    return rows.select("row", F.when(F.size("v") == 9, "matrix").otherwise("mrp").alias("kind"), "v")
 
 
 def _sections(text: str) -> dict[str, list[list[str]]]:
@@ -153,7 +157,7 @@ def raster_cells(spark: SparkSession, sizes: tuple[int, int, int], voxel: tuple[
 
 def read_raster(spark: SparkSession, path: str) -> tuple[tuple[int, int, int], tuple[float, float, float], DataFrame]:
     """(sizes, voxel sizes, (index, cell)) of an ASCII raster file; the header is read on the driver, the data stay with Spark."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("o"), F.trim("value").alias("v"))
+    lines = with_file_rows(spark.read.text(path), "o").select("o", F.trim("value").alias("v"))
     marks = {r["v"]: r["o"] for r in lines.where(F.col("v").rlike(r"^\*")).collect()}
     at = lambda name: lines.where((F.col("o") > marks[name]) & (F.col("v") != "")).orderBy("o").limit(2).collect()
     general = at("**general")
@@ -165,20 +169,26 @@ def read_raster(spark: SparkSession, path: str) -> tuple[tuple[int, int, int], t
     numbers = data.select("o", F.posexplode(F.split("v", r"\s+")).alias("k", "n")).select("o", "k", F.col("n").try_cast("long").alias("cell")).where("cell is not null")
     # a line's first index is the number of values on the lines before it
     per = data.select("o", F.size(F.split("v", r"\s+")).alias("c"))
-    before = per.select("o", (F.sum("c").over(Window.orderBy("o")) - F.col("c")).alias("first"))
+    before = running_sum(per, "o", "c", "_s").select("o", (F.col("_s") - F.col("c")).alias("first"))
     return sizes, voxel, numbers.join(before, "o").select((F.col("first") + F.col("k")).alias("index"), "cell")
 
 
 def positional_merge(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows of both frames by position, as many as the shorter has."""
-    number = lambda df: df.withColumn("_m", F.monotonically_increasing_id()).withColumn("_row", F.row_number().over(Window.orderBy("_m"))).drop("_m")
+    """Rows of both frames by position, as many as the shorter has; frames that were read from files go by ``_row``, their place in these."""
+
+    def number(df: DataFrame) -> DataFrame:
+        if "_row" in df.columns:
+            return df
+        return numbered(Scratch(df.sparkSession, "merge").save(df.withColumn("_m", F.monotonically_increasing_id())), ["_m"], "_row").drop("_m")
+
     return number(left).join(number(right), "_row").drop("_row")
 
 
 def read_cell_table(spark: SparkSession, cells: str, orientations: str, names: tuple[str, ...] = ("X", "Y", "Z", "Volume"), min_volume: float = 0.0) -> DataFrame:
     """A cell statistics file merged by position with an orientation file; small cells are left out, radii follow from volumes."""
-    stats = spark.read.text(cells).where(F.trim("value") != "").select(*[F.get(split_line(), F.lit(k)).try_cast("double").alias(n) for k, n in enumerate(names)])
-    angles = spark.read.text(orientations).where(F.trim("value") != "").select(*[F.get(split_line(), F.lit(k)).try_cast("double").alias(f"Eul{k}") for k in range(3)])
+    rows = lambda path: with_file_rows(spark.read.text(path).where(F.trim("value") != ""), "_row")
+    stats = rows(cells).select("_row", *[F.get(split_line(), F.lit(k)).try_cast("double").alias(n) for k, n in enumerate(names)])
+    angles = rows(orientations).select("_row", *[F.get(split_line(), F.lit(k)).try_cast("double").alias(f"Eul{k}") for k in range(3)])
     merged = positional_merge(stats, angles)
     if "Volume" in names:
         merged = merged.where(F.col("Volume") >= min_volume).withColumn("GrainRadius", F.cbrt(F.col("Volume") * 3 / (4 * 3.141592653589793)))
