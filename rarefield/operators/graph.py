@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,6 +74,27 @@ def message_passing(nodes: DataFrame, edges: DataFrame, iterations: int, message
     return now.select(F.col("id").alias(id_col), F.col("f").alias(state))
 
 
+def message_passing_vectors(nodes: DataFrame, edges: DataFrame, rounds: Sequence[int], message: Callable[[Column, Column, int], Column], width: int, state: str = "f", id_col: str = "id") -> DataFrame:
+    """As :func:`message_passing` for a state of ``width`` numbers, an array; the message is an array too.
+
+    ``rounds`` are the numbers that the message is told.  Messages are summed element by
+    element where they arise, before they are shuffled, so a node of many neighbours
+    receives one row from each task.
+    """
+    scratch = Scratch(nodes.sparkSession, "messages")
+    both = scratch.save(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "both")
+    now = scratch.save(nodes.select(F.col(id_col).alias("id"), F.col(state).cast("array<double>").alias("f")), "state")
+    for k in rounds:
+        sent = both.join(now.select(F.col("id").alias("src"), F.col("f").alias("fs")), "src").join(now.select(F.col("id").alias("dst"), F.col("f").alias("fd")), "dst")
+        told = sent.select("src", message(F.col("fs"), F.col("fd"), k).alias("m"))
+        total = told.groupBy("src").agg(F.array(*[F.sum(F.get("m", F.lit(n))) for n in range(width)]).alias("m"))
+        new = F.when(F.col("m").isNull(), F.col("f")).otherwise(F.zip_with("f", "m", lambda a, b: a + b))
+        then = scratch.save(now.join(total, now["id"] == total["src"], "left").select("id", new.alias("f")), "state")
+        scratch.drop(now)
+        now = then
+    return now.select(F.col("id").alias(id_col), F.col("f").alias(state))
+
+
 def shared_face_edges(faces: DataFrame, face: str = "face", cell: str = "cell") -> DataFrame:
     """(src, dst) of cells that share a face with exactly two cells."""
     held = faces.groupBy(face).agg(F.min(cell).alias("src"), F.max(cell).alias("dst"), F.count_distinct(cell).alias("n"))

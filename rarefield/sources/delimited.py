@@ -73,15 +73,76 @@ def read_numbered(spark: SparkSession, folder: str, suffix: str = ".csv") -> Dat
     return df.withColumn("level", name.try_cast("double")).where("level is not null")
 
 
-def read_steps(spark: SparkSession, folder: str, pattern: str = r"_(\d+)\.csv$", n_steps: int | None = None) -> DataFrame:
-    """Step files of a folder with ``step`` from their names; raises where a step is missing or beyond ``n_steps``."""
-    df = read_csv(spark, folder)
-    df = df.withColumn("step", F.regexp_extract(F.col("_metadata.file_name"), pattern, 1).try_cast("int")).where("step is not null")
-    if n_steps is not None:
-        got = {r[0] for r in df.select("step").distinct().collect()}
-        if got != set(range(n_steps)):
-            raise ValueError(f"steps {sorted(set(range(n_steps)) ^ got)} are missing or out of range")
-    return df
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, name, length) of the files of a folder, by Spark's own listing; nothing in them is read."""
+    files = spark.read.format("binaryFile").load(folder).select("path", "length")
+    return files.select("path", F.substring_index("path", "/", -1).alias("name"), "length")
+
+
+def list_steps(spark: SparkSession, folder: str, pattern: str = r"_(\d+)\.csv$", n_steps: int | None = None) -> DataFrame:
+    """(step, path) of a folder's step files; other names are left out.
+
+    Raises where there are none, where a step is not below ``n_steps`` and where two
+    files name the same step.
+    """
+    named = list_files(spark, folder).select(F.regexp_extract("name", pattern, 1).try_cast("int").alias("step"), "path").where("step is not null")
+    r = named.agg(F.count("*").alias("n"), F.count_distinct("step").alias("steps"), F.min("step").alias("low"), F.max("step").alias("high")).first()
+    if not r["n"]:
+        raise ValueError(f"no file of {folder} has a name like {pattern}")
+    if n_steps is not None and (r["low"] < 0 or r["high"] >= n_steps):
+        raise ValueError(f"step {r['high']} is out of range, there are {n_steps}")
+    if r["n"] != r["steps"]:
+        twice = named.groupBy("step").count().where("count > 1").orderBy("step").first()["step"]
+        raise ValueError(f"step {twice} has several files")
+    return named
+
+
+def read_steps(spark: SparkSession, folder: str, pattern: str = r"_(\d+)\.csv$", n_steps: int | None = None, steps: Sequence[int] | None = None, schema: str | None = None) -> DataFrame:
+    """Step files of a folder with ``step`` from their names, or just the files of some ``steps``.
+
+    Files are chosen by their listing, so no other file is opened, not for the schema
+    either; that is inferred from the first file chosen, unless it is given.  Raises
+    where a wanted step has no file: any below ``n_steps``, or one of ``steps``.
+    """
+    listed = list_steps(spark, folder, pattern, n_steps)
+    wanted = listed if steps is None else listed.where(F.col("step").isin([int(s) for s in steps]))
+    files = {r["step"]: r["path"] for r in wanted.collect()}  # a path for each step that is read
+    missing = sorted(set(range(n_steps) if steps is None and n_steps is not None else steps or ()) - set(files))
+    if missing:
+        raise ValueError(f"no file of the steps {missing}")
+    ordered = [files[s] for s in sorted(files)]
+    kind = schema or read_csv(spark, ordered[0]).schema
+    rows = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).schema(kind).csv(ordered)
+    return rows.withColumn("step", F.regexp_extract(F.col("_metadata.file_name"), pattern, 1).cast("int"))
+
+
+def read_step(spark: SparkSession, folder: str, step: int, pattern: str = r"_(\d+)\.csv$", schema: str | None = None) -> DataFrame:
+    """The rows of one step; its file is the only one opened."""
+    return read_steps(spark, folder, pattern, steps=[step], schema=schema)
+
+
+def columns_of(spark: SparkSession, path: str) -> list[str]:
+    """The column names of a delimited file with a header, from its first line alone."""
+    first = spark.read.text(path).limit(1).first()
+    return [] if first is None else [c.strip().strip('"').strip() for c in first["value"].split(",")]
+
+
+def probe(spark: SparkSession, files: dict[str, str], needed: Sequence[str]) -> None:
+    """Raises if a file (label: path) lacks a needed column; reads headers only."""
+    for label, path in files.items():
+        lacking = sorted(set(needed) - set(columns_of(spark, path)))
+        if lacking:
+            raise ValueError(f"{label} lacks the columns {', '.join(lacking)}")
+
+
+SCAN_COLUMNS = ("X", "Y", "Z", "GrainRadius", *ANGLES)
+
+
+def read_scans(spark: SparkSession, files: Sequence[str], dims: int = 3, degrees_in: bool = True, microstrain: bool = False) -> list[DataFrame]:
+    """The scans of several grain files, with ``ScanID`` by the files' order and the file's ``scan`` name, their columns checked first."""
+    probe(spark, {f"scan {f}": f for f in files}, SCAN_COLUMNS)
+    name = lambda f: f.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
+    return [read_grains(spark, f, dims, degrees_in, microstrain).withColumns({"ScanID": F.lit(k), "scan": F.lit(name(f))}) for k, f in enumerate(files)]
 
 
 def read_experiment_steps(spark: SparkSession, files: Sequence[str]) -> DataFrame:
