@@ -13,8 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rarefield.operators.components import connected_components
-from rarefield.operators.neighbors import cell_size
+from rarefield.operators.components import connected_components, label_nodes
+from rarefield.operators.lattice import offsets
+from rarefield.operators.neighbors import cell_size, knn
 from rarefield.operators.ranking import numbered
 from rarefield.scratch import Scratch
 
@@ -38,15 +39,102 @@ def radius_pairs(points: DataFrame, eps: float, features: Sequence[str], id_col:
     return met.where(F.col("distance") <= eps)
 
 
+def _by_cells(points: DataFrame, eps: float, min_samples: int, features: Sequence[str], id_col: str) -> DataFrame:
+    """DBSCAN over cells whose diagonal is ``eps``, after Gan and Tao, 2015; exact.
+
+    Points of one cell are within eps of each other.  So all points of a cell of
+    ``min_samples`` or more are core points; others ask for their neighbours one by one
+    (a nearest-neighbour join over a tree, so a crowded cell next door costs no more than
+    its ``min_samples`` nearest).  Core points of one cell are one node of the graph.
+    Two cells are linked if the farthest corners of their boxes, or two of their
+    outermost points, are within eps; pairs that this leaves open, and that are not
+    connected by others, are decided by the points that lie near the other's box.
+    """
+    spark, dims = points.sparkSession, range(len(features))
+    scratch = Scratch(spark, "dbscan")
+    side = eps / len(features) ** 0.5 * (1 - 1e-9)
+    x = [f"x{n}" for n in dims]
+    c = [f"c{n}" for n in dims]
+    own = points.select(F.col(id_col).alias("id"), *[F.col(f).cast("double").alias(x[n]) for n, f in enumerate(features)])
+    # without a radius only equal points meet
+    place = [(F.floor(F.col(a) / side) if eps > 0 else F.xxhash64(a)).cast("long").alias(c[n]) for n, a in enumerate(x)]
+    own = scratch.save(own.select("id", *x, *place), "points")
+    crowded = own.groupBy(*c).agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select(*c)
+    inner = own.join(crowded, c, "left_semi")
+    lone = scratch.save(own.join(crowded, c, "left_anti"), "lone")
+    core = inner
+    if min_samples > 1 and eps > 0 and not lone.isEmpty():
+        reach = knn(lone, own, min_samples - 1, x, "id", "id", exclude_self=True)
+        enough = reach.where((F.col("rank") == min_samples - 1) & (F.col("distance") <= eps)).select(F.col("query").alias("id"))
+        core = inner.unionByName(lone.join(enough, "id", "left_semi"))
+    core = scratch.save(core, "core")
+    ends = [f(F.struct(*x), a).alias(f"{p}{n}") for n, a in enumerate(x) for p, f in (("low", F.min_by), ("high", F.max_by))]
+    boxes = [f(a).alias(f"{p}{n}") for n, a in enumerate(x) for p, f in (("lo", F.min), ("hi", F.max))]
+    extremes = F.array(*[f"{p}{n}" for n in dims for p in ("low", "high")]).alias("ends")
+    sums = core.groupBy(*c).agg(F.min("id").alias("cell"), *boxes, *ends)
+    cells = scratch.save(sums.select(*c, "cell", *[f"{p}{n}" for n in dims for p in ("lo", "hi")], extremes), "cells")
+    links = spark.createDataFrame([], "a long, b long")
+    if eps > 0:
+        links = _cell_links(core, cells, eps, c, x, scratch)
+    comps = label_nodes(cells, links, scratch, "cell").select(F.col("node").alias("cell"), F.col("component").alias("root"))
+    numbers = numbered(comps.select("root").distinct(), ["root"], "label", 0, scratch)
+    of_cell = cells.select(*c, "cell").join(comps.join(numbers, "root"), "cell").select(*c, "label")
+    labelled = scratch.save(core.join(of_cell, c).select("id", "label"), "labels")
+    rest = own.join(labelled, "id", "left_anti")
+    border = spark.createDataFrame([], "id long, label long")
+    if eps > 0 and not labelled.isEmpty():
+        near = knn(rest, core, 1, x, "id", "id").where(F.col("distance") <= eps)
+        border = near.join(labelled.withColumnRenamed("id", "target"), "target").select(F.col("query").alias("id"), "label")
+    found = labelled.unionByName(border)
+    return points.select(F.col(id_col).alias("id")).join(found, "id", "left").select(F.col("id").alias(id_col), F.coalesce("label", F.lit(-1).cast("long")).alias("label"))
+
+
+def _cell_links(core: DataFrame, cells: DataFrame, eps: float, c: list[str], x: list[str], scratch: Scratch) -> DataFrame:
+    """(a, b) of cells that hold core points within ``eps`` of each other, or are connected by others that do."""
+    dims, e2 = range(len(c)), eps * eps
+    around = F.array(*[F.array(*[F.lit(v) for v in d]) for d in offsets(2, True, "chebyshev", len(c))])
+    shifted = cells.select("*", F.explode(around).alias("_d"))
+    names = [f"{p}{n}" for n in dims for p in ("lo", "hi")]
+    asked = shifted.select(F.col("cell").alias("a"), F.col("ends").alias("ea"), *[F.col(n).alias(f"a{n}") for n in names], *[(F.col(c[n]) + F.get("_d", F.lit(n))).alias(c[n]) for n in dims])
+    met = asked.join(cells.select(F.col("cell").alias("b"), F.col("ends").alias("eb"), *c, *names), c)
+    gap = [F.greatest(F.col(f"alo{n}") - F.col(f"hi{n}"), F.col(f"lo{n}") - F.col(f"ahi{n}"), F.lit(0.0)) for n in dims]
+    span = [F.greatest(F.col(f"ahi{n}") - F.col(f"lo{n}"), F.col(f"hi{n}") - F.col(f"alo{n}")) for n in dims]
+    square = lambda parts: sum((p * p for p in parts), F.lit(0.0))
+    apart = lambda p, q: square([p[k] - q[k] for k in x])
+    close = F.exists("ea", lambda p: F.exists("eb", lambda q: apart(p, q) <= e2))
+    tested = scratch.save(met.where(square(gap) <= e2).select("a", "b", (square(span) <= e2).alias("all"), close.alias("some")), "tested")
+    sure = tested.where("all or some").select("a", "b")
+    comps = scratch.save(label_nodes(cells, sure, scratch, "cell"), "sure")
+    of = lambda side: comps.select(F.col("node").alias(side), F.col("component").alias(f"g{side}"))
+    open_ = scratch.save(tested.where("not all and not some").select("a", "b").join(of("a"), "a").join(of("b"), "b").where("ga != gb").select("a", "b"), "open")
+    if open_.isEmpty():
+        return sure
+    # of each cell the points near the other's box
+    owned = core.join(cells.select(*c, "cell"), c).select("cell", *x)
+    box = cells.select("cell", *names)
+
+    def near(side: str, other: str) -> DataFrame:
+        wanted = open_.join(box.withColumnRenamed("cell", other), other)
+        out = owned.withColumnRenamed("cell", side).join(wanted, side)
+        away = [F.greatest(F.col(f"lo{n}") - F.col(x[n]), F.col(x[n]) - F.col(f"hi{n}"), F.lit(0.0)) for n in dims]
+        return out.where(square(away) <= e2).select("a", "b", *[F.col(v).alias(f"{side}{v}") for v in x])
+
+    pairs = near("a", "b").join(near("b", "a"), ["a", "b"])
+    met_points = pairs.where(square([F.col(f"a{v}") - F.col(f"b{v}") for v in x]) <= e2)
+    return scratch.save(sure.union(met_points.select("a", "b").distinct()), "links")
+
+
 def dbscan(points: DataFrame, eps: float, min_samples: int, features: Sequence[str], id_col: str = "id", pairs: DataFrame | None = None) -> DataFrame:
     """(id, label): clusters numbered by their smallest core point, -1 for noise.
 
     A core point has ``min_samples`` points within eps, itself counted.  Core points
     within eps of each other are one cluster; other points join the cluster of
     their nearest core point, the smallest id on ties.  ``pairs`` (a, b, distance)
-    may come from any metric.
+    may come from any metric; without them, up to three features go by cells
+    (:func:`_by_cells`), so crowded places cost no pairs.
     """
-
+    if pairs is None and len(features) <= 3:
+        return _by_cells(points, eps, min_samples, features, id_col)
     scratch = Scratch(points.sparkSession, "dbscan")
     near = scratch.save(pairs if pairs is not None else radius_pairs(points, eps, features, id_col), "pairs")
     degree = near.groupBy("a").agg(F.count("*").alias("n"))
