@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
 
@@ -131,3 +132,21 @@ def distance_norm(predicted: str, measured: str) -> Column:
     """The L2 norm of the difference of two curves, as an aggregate."""
     d = F.col(predicted) - F.col(measured)
     return F.sqrt(F.sum(d * d))
+
+
+def with_random_strains(grains: DataFrame, deviation: float, seed: int = 0, id_col: str = "id") -> DataFrame:
+    """``grains`` with a symmetric elastic strain eKen11 .. eKen33, each component normal around 0.
+
+    The values follow from the grain's id and the seed alone, however the table is dealt
+    out.
+    """
+
+    def uniform(k: int) -> Column:
+        return (F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(seed), F.lit(k)), 11).cast("double") + 0.5) / float(1 << 53)
+
+    def normal(k: int) -> Column:
+        return F.sqrt(-2 * F.log(uniform(2 * k))) * F.cos(2 * math.pi * uniform(2 * k + 1)) * deviation
+
+    parts = {"11": 0, "22": 1, "33": 2, "12": 3, "23": 4, "13": 5}
+    drawn = {c: normal(k) for c, k in parts.items()}
+    return grains.withColumns({f"eKen{i}{j}": drawn[min(i + j, j + i)] for i in "123" for j in "123"})

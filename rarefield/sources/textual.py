@@ -6,6 +6,7 @@ row, parsed inside the task that read it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from rarefield.operators.ranking import numbered, running_sum, with_file_rows
 from rarefield.scratch import Scratch
+from rarefield.sources.delimited import list_files
 
 LAYER_COLUMNS = ("OrientationRowNr", "NrMatches", "RunTime", "X", "Y", "TriEdgeSize", "UpDown", "Eul1", "Eul2", "Eul3", "Confidence", "PhaseNr")
 
@@ -22,19 +24,42 @@ def split_line(line="value"):
     return F.split(F.trim(F.col(line) if isinstance(line, str) else line), r"[,\s]+")
 
 
-def read_layers(spark: SparkSession, path: str, dz: float, pattern: str = r"(\d+)\D*$") -> DataFrame:
-    """The layers of a near-field scan: comment lines dropped, the layer number from the file name, Z = dz times its rank.
+def read_layers(spark: SparkSession, folder: str, dz: float, token: str = "layer") -> DataFrame:
+    """The rows of a near-field scan's layer files, with ``layer`` and Z = dz times it.
 
-    Raises where layer numbers are not contiguous.
+    Files are the ``.mic`` files of the folder, or its ``.csv`` files where there are
+    none.  A layer's number follows ``token`` in the file's name, in any case; a name
+    without one and a gap in the numbers are errors.  The first line that names X and Y
+    is the header and gives each file's columns; without one the columns of the format
+    are taken in their order.  Lines before the header, comments and blank lines are no
+    rows.  A short line and what is no number are nulls, not missing rows.
     """
-    raw = spark.read.text(path).select("value", F.regexp_extract(F.col("_metadata.file_name"), pattern, 1).try_cast("int").alias("number"))
-    rows = raw.where(~F.trim("value").rlike("^[%#]") & (F.trim("value") != "")).select("number", split_line().alias("v")).where(F.size("v") >= len(LAYER_COLUMNS))
-    out = rows.select("number", *[F.get("v", F.lit(k)).try_cast("double").alias(c) for k, c in enumerate(LAYER_COLUMNS)]).where("X is not null")
-    numbers = sorted(r[0] for r in out.select("number").distinct().collect() if r[0] is not None)
-    if numbers and numbers != list(range(numbers[0], numbers[0] + len(numbers))):
+    files = list_files(spark, folder)
+    kind = next((k for k in (".mic", ".csv") if not files.where(F.endswith("name", F.lit(k))).isEmpty()), None)
+    if kind is None:
+        raise ValueError(f"{folder} holds no .mic and no .csv files")
+    number = F.regexp_extract("name", rf"(?i){re.escape(token)}[\s_\-]*([0-9]+)", 1).try_cast("int")
+    named = files.where(F.endswith("name", F.lit(kind))).select("path", "name", number.alias("number")).orderBy("number").collect()  # a row for each layer
+    nameless = [r["name"] for r in named if r["number"] is None]
+    if nameless:
+        raise ValueError(f"no number follows {token!r} in {nameless[0]}")
+    numbers = [r["number"] for r in named]
+    if numbers != list(range(numbers[0], numbers[0] + len(numbers))):
         raise ValueError(f"layer numbers {numbers} are not contiguous")
-    first = numbers[0] if numbers else 0
-    return out.withColumn("layer", F.col("number") - first).withColumn("Z", F.col("layer") * dz).drop("number")
+    place = F.create_map(*[F.lit(v) for r in named for v in (r["name"], r["number"] - numbers[0])])
+    file = F.col("_metadata.file_name")  # with %20 for a space
+    raw = spark.read.text([r["path"] for r in named]).withColumn("layer", F.coalesce(F.try_element_at(place, file), F.try_element_at(place, F.url_decode(file))))
+    lines = Scratch(spark, "layers").save(with_file_rows(raw, "_n"), "lines")
+    names = F.split(F.trim(F.regexp_replace("value", "^\\s*[%#]", "")), r"[,\s]+")
+    heads = lines.where(F.array_contains(names, "X") & F.array_contains(names, "Y")).groupBy("layer").agg(F.min(F.struct("_n", names.alias("names"))).alias("h"))
+    found = {r["layer"]: r["h"]["names"] for r in heads.collect()}  # a header for each layer
+    columns = list(dict.fromkeys([*LAYER_COLUMNS, *[n for h in found.values() for n in h]]))
+    told = lines.join(heads.select("layer", F.col("h._n").alias("_h"), F.col("h.names").alias("names")), "layer", "left")
+    rows = told.where(~F.trim("value").rlike("^[%#]") & (F.trim("value") != "") & F.coalesce(F.col("_n") > F.col("_h"), F.lit(True)))
+    own = F.coalesce("names", F.array(*[F.lit(c) for c in LAYER_COLUMNS]))
+    cut = rows.select("layer", split_line().alias("v"), own.alias("names"))
+    value = lambda c: F.get("v", F.nullif(F.array_position("names", c), F.lit(0)) - 1).try_cast("double").alias(c)
+    return cut.select(*[value(c) for c in columns], "layer").withColumn("Z", F.col("layer") * float(dz))
 
 
 def read_orientations(spark: SparkSession, path: str) -> DataFrame:
@@ -184,6 +209,13 @@ def positional_merge(left: DataFrame, right: DataFrame) -> DataFrame:
     return number(left).join(number(right), "_row").drop("_row")
 
 
+def cells_and_seeds(cells: DataFrame, seeds: DataFrame, id_col: str = "id") -> DataFrame:
+    """Every cell and every seed, side by side where the ids are equal; columns end in ``_cell`` and ``_seed``."""
+    left = cells.select(*[F.col(c).alias(f"{c}_cell") for c in cells.columns])
+    right = seeds.select(*[F.col(c).alias(f"{c}_seed") for c in seeds.columns])
+    return left.join(right, left[f"{id_col}_cell"] == right[f"{id_col}_seed"], "full")
+
+
 def read_cell_table(spark: SparkSession, cells: str, orientations: str, names: tuple[str, ...] = ("X", "Y", "Z", "Volume"), min_volume: float = 0.0) -> DataFrame:
     """A cell statistics file merged by position with an orientation file; small cells are left out, radii follow from volumes."""
     rows = lambda path: with_file_rows(spark.read.text(path).where(F.trim("value") != ""), "_row")

@@ -46,11 +46,48 @@ def test_layers(spark, tmp_path):
     row = "1 2 3 {x} 5 6 7 8 9 10 0.5 1\n"
     for k in (3, 4):
         put(tmp_path, f"layer{k}.mic", "% a comment\n" + row.format(x=k))
+    put(tmp_path, "layer9.csv", "not read, as there are .mic files\n")
     got = sorted((r["layer"], r["X"], r["Z"]) for r in textual.read_layers(spark, str(tmp_path), 2.0).collect())
     assert got == [(0, 3.0, 0.0), (1, 4.0, 2.0)]
     put(tmp_path, "layer6.mic", row.format(x=6))
     with pytest.raises(ValueError, match="contiguous"):
-        textual.read_layers(spark, str(tmp_path), 2.0).collect()
+        textual.read_layers(spark, str(tmp_path), 2.0)
+
+
+def test_layers_by_their_headers(spark, tmp_path):
+    put(tmp_path, "scan_Layer-01_v2.csv", "%TriEdgeSize 1\nsecond line\nthird 4 5\n%OrientationRowNr X Y Confidence Own\n1 10 20 0.5 7\n2 11 x 0.25\n\n3 12 22 1 8\n")
+    put(tmp_path, "scan_layer 2 v1.csv", "a\nb\nc\nY X Confidence\n30 40 0.75\n")
+    got = sorted(((r["layer"], r["X"], r["Y"], r["Confidence"], r["Own"], r["Z"]) for r in textual.read_layers(spark, str(tmp_path), 0.5).collect()), key=str)
+    assert got == [(0, 10.0, 20.0, 0.5, 7.0, 0.0), (0, 11.0, None, 0.25, None, 0.0), (0, 12.0, 22.0, 1.0, 8.0, 0.0), (1, 40.0, 30.0, 0.75, None, 0.5)]
+    put(tmp_path, "other7.csv", "X Y\n1 2\n")
+    with pytest.raises(ValueError, match="other7"):
+        textual.read_layers(spark, str(tmp_path), 0.5)
+    (tmp_path / "none").mkdir()
+    put(tmp_path, "none/readme.txt", "x")
+    with pytest.raises(ValueError, match="holds no"):
+        textual.read_layers(spark, str(tmp_path / "none"), 0.5)
+
+
+def test_cells_and_seeds_side_by_side(spark):
+    cells = spark.createDataFrame([(1, 0.5), (2, 0.25)], "id long, vol double")
+    seeds = spark.createDataFrame([(2, 9.0), (3, 8.0)], "id long, x double")
+    got = sorted((tuple(r) for r in textual.cells_and_seeds(cells, seeds).collect()), key=str)
+    assert got == [(1, 0.5, None, None), (2, 0.25, 2, 9.0), (None, None, 3, 8.0)]
+
+
+def test_random_strains(spark):
+    from pyspark.sql import functions as F
+
+    from rarefield.functions import tensors
+
+    grains = spark.range(4000)
+    out = tensors.with_random_strains(grains, 50.0, 3)
+    assert out.columns[1:] == [f"eKen{i}{j}" for i in "123" for j in "123"]
+    assert out.where("eKen12 != eKen21 or eKen13 != eKen31 or eKen23 != eKen32").isEmpty()
+    r = out.agg(*[F.avg(c).alias(f"m{c}") for c in out.columns[1:]], *[F.stddev(c).alias(f"s{c}") for c in out.columns[1:]], F.corr("eKen11", "eKen12").alias("r")).first()
+    assert all(abs(r[f"m{c}"]) < 4 and 47 < r[f"s{c}"] < 53 for c in out.columns[1:]) and abs(r["r"]) < 0.06
+    again = tensors.with_random_strains(grains.repartition(7), 50.0, 3)
+    assert out.exceptAll(again).isEmpty() and not out.exceptAll(tensors.with_random_strains(grains, 50.0, 4)).isEmpty()
 
 
 def test_orientation_files(spark, tmp_path):
