@@ -92,8 +92,7 @@ def build(targets: DataFrame, dims: int, cap: int, keep: int, scratch: Scratch)
     of = [at_level(F.col(f"d{n}"), F.col("level"), depth).alias(f"c{n}") for n in range(dims)]
     key = ["level", *[f"c{n}" for n in range(dims)]]
     every = deep.select("*", levels).select("*", *of)
-    boxes = [f(a).alias(f"{p}{n}") for n, a in enumerate(axes) for p, f in (("lo", F.min), ("hi", F.max))]
-    sizes = scratch.save(every.groupBy(*key).agg(F.count("*").alias("n"), *boxes), "sizes")
+    sizes = scratch.save(every.groupBy(*key).agg(F.count("*").alias("n")), "sizes")
     fits = every.select("target", *key).join(sizes.where((F.col("n") <= cap) | (F.col("level") == depth)), key)
     leaf = scratch.save(fits.groupBy("target").agg(F.min("level").alias("leaf")), "leaf")
     boxes = [f(a).alias(f"{p}{n}") for n, a in enumerate(axes) for p, f in (("lo", F.min), ("hi", F.max))]
