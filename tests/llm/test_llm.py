@@ -390,6 +390,14 @@ def test_simhash_bits(spark):
         assert r["s"] == sum(1 << b for b in range(lines.SKETCH) if 2 * sum(x >> b & 1 for x in r["x"]) > len(r["x"]))
 
 
+def test_lines_that_share_their_first_hash_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(lines, "line_hashes", lambda norm: [F.xxhash64(F.left(norm, F.lit(1))).alias("h"), F.xxhash64(norm).alias("h2")])
+    one, two, three = "a first line of eight words in all", "a second line that has other words entirely", "b third line, which no other line resembles"
+    texts = [f"{one}\n{two}\n{three}", f"{two}\n{one}\n{two}", three, f"{one} too"]
+    got = {r["doc_id"]: r["dropped_lines"] for r in lines.dedup_lines(docs(spark, texts)).collect()}
+    assert got == {0: None, 1: [0, 1, 2], 2: [0], 3: None}
+
+
 def test_short_and_unspaced_lines(spark):
     pairs = [("a bc de fg", "a bc de xy fg"), ("i am at an inn", "i am at an elm"), (" ".join(["of", "to", "in", "on", "at", "by"] * 6), " ".join(["of", "to", "in", "on", "at", "by"] * 5 + ["of", "to", "in", "on", "at", "up"])), ("山川草木花鳥風月春夏秋冬", "山川草木花鳥風月春夏秋雪")]
     apart = ["one two three", "one two four", "ab cd ef gh ij", "ab cd xx gh yy"]
