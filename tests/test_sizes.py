@@ -3,6 +3,8 @@
 import os
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +76,39 @@ def test_shares_of_an_empty_region(spark, tmp_path, quantity, tax):
     spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/lineitem.parquet")
     mine, want = against_sql(spark, "region_overlap_metrics", tmp_path)
     assert mine == want
+
+
+def test_nearest_vectors_hold_few_distances_at_once(spark):
+    """The distances that a task holds don't grow with its batches; ties and far vectors as brute force has them."""
+    rng = np.random.default_rng(4)
+    v = np.round(rng.normal(0, 1, (900, 3)), 1) + 1000.0
+    v[:300] = v[0]
+    rows = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, v array<double>").repartition(2)
+    queries = rows.where("id % 20 = 0")
+    want = {}
+    for k in range(0, 900, 20):
+        d = ((v - v[k]) ** 2).sum(axis=1)
+        want[k] = [(int(j), d[j]) for j in np.lexsort((np.arange(900), d))[:5]]
+    for pairs in (200, 1 << 20):
+        got = {}
+        for r in neighbors.feature_topk(queries, rows, 5, "v", pairs=pairs).orderBy("query", "rank").collect():
+            got.setdefault(r["query"], []).append((r["target"], r["distance2"]))
+        assert got == want
+    parts = [len(t) for _, t in neighbors._slices([pa.record_batch([pa.array(range(50)), pa.array([[1.0, 2.0]] * 50)], ["id", "v"])], 8)]
+    assert parts == [8] * 6 + [2]
+
+
+def test_small_components_are_dealt_by_their_edges(spark):
+    """One task solved all small components, as their rows are few bytes."""
+    n = 400
+    rows = [(4 * k + i, 4 * k + j, float(1 + (7 * k + 3 * i + 5 * j) % 11)) for k in range(n) for i in (0, 1) for j in (0, 1)]
+    edges = spark.createDataFrame(rows, "a long, b long, gain double")
+    one = {tuple(r) for r in assignment.match(edges).collect()}
+    many = assignment.match(edges, share=100)
+    assert many.rdd.getNumPartitions() == 4 * n // 100 + 1
+    assert {tuple(r) for r in many.collect()} == one
+    gain = {(a, b): g for a, b, g in rows}
+    for k in range(n):
+        mine = sum(g for a, _, g in one if a // 4 == k)
+        straight, crossed = ([gain[4 * k + i, 4 * k + (i ^ x)] for i in (0, 1)] for x in (0, 1))
+        assert mine == max(sum(straight), sum(crossed))
