@@ -64,7 +64,8 @@ def matrix(spec: MatchSpec, prefix: str = "") -> Column:
 
 def candidates(a: DataFrame, b: DataFrame, spec: MatchSpec, pos_scale: float | None = None, id_col: str = "_gid") -> DataFrame:
     """(a, b, dpos, dori, drad, cost) of the nearest pairs within the gates: for each row of ``a`` its nearest of ``b``."""
-    near = knn(a, b, spec.neighbours, XYZ, id_col, id_col).select(F.col("query").alias("a"), F.col("target").alias("b"), F.col("distance").alias("dpos"))
+    within = None if spec.pos_tol == -1 else spec.pos_tol  # the gate drops what is farther
+    near = knn(a, b, spec.neighbours, XYZ, id_col, id_col, within=within).select(F.col("query").alias("a"), F.col("target").alias("b"), F.col("distance").alias("dpos"))
     pa = a.select(F.col(id_col).alias("a"), matrix(spec).alias("ma"), F.col("GrainRadius").alias("ra"))
     pb = b.select(F.col(id_col).alias("b"), matrix(spec).alias("mb"), F.col("GrainRadius").alias("rb"))
     pairs = near.join(pa, "a").join(pb, "b").select("a", "b", "dpos", rot.misorientation("ma", "mb", spec.symmetry).alias("dori"), relative_radius("ra", "rb").alias("drad"))

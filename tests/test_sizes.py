@@ -112,3 +112,13 @@ def test_small_components_are_dealt_by_their_edges(spark):
         mine = sum(g for a, _, g in one if a // 4 == k)
         straight, crossed = ([gain[4 * k + i, 4 * k + (i ^ x)] for i in (0, 1)] for x in (0, 1))
         assert mine == max(sum(straight), sum(crossed))
+
+
+def test_targets_beyond_a_distance_spare_their_balls(spark):
+    """The nearest within a distance are as those of the whole join, and a far query meets no cell."""
+    p, far = points(spark, 60), points(spark, 40).withColumn("x", F.col("x") + 90)
+    whole = neighbors.knn(far, p, 4).where("distance <= 30")
+    near = neighbors.knn(far, p, 4, within=30.0).where("distance <= 30")
+    rows = sorted(map(tuple, near.collect()))
+    assert rows and rows == sorted(map(tuple, whole.collect()))
+    assert neighbors.knn(far.withColumn("x", F.col("x") + 900), p, 4, within=30.0).count() == 0
