@@ -16,10 +16,12 @@ breaks the blocks it lies in and no others, so lines within few edits have a
 whole block in common (pigeonhole).  Blocks of the SimHash's own bits would be too
 short to join on at these distances: the README has the figures.
 
-Lines meet at equal blocks.  The two lines of a bucket of two are a pair.  No larger
-bucket is compared pair by pair: every member is compared with four members of its
-bucket, the ends of two orders that all buckets have in common.  That is linear in
-the bucket and made of aggregations and equi-joins, so hot blocks can be split.
+Lines meet at equal blocks.  The two lines of a bucket of two are a pair.  In a larger
+bucket every member is first compared with four members, the ends of two orders that
+all buckets have in common.  Where a bucket is not one group by then, all pairs of
+different groups follow that share one of their rarest words of the bucket, which,
+but for the SimHash, leaves out no pair that could be linked.  All of it is aggregations and equi-joins,
+so hot blocks can be split.
 Candidates are verified by the built-in edit distance over lines that are spelt
 with one character a word, a hash of 2**19 values, and what passes once more by
 another such hash.  Each connected group keeps its first occurrence (the least
@@ -44,7 +46,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rarefield.operators.components import connected_components
+from rarefield.operators.components import connected_components, extend_components
 from rarefield.scratch import Scratch
 
 MIN_CHARS = 10
@@ -179,8 +181,8 @@ def _likely(rows: DataFrame, wanted: DataFrame, col: str = "h") -> DataFrame:
     return rows.join(F.broadcast(bits), slot == F.col("slot")).where(F.col("bits").bitwiseAND(one) != 0).select(*rows.columns)
 
 
-def _candidates(distinct: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
-    """Distinct (a, b), a < b, of lines that meet at a block."""
+def _candidates(distinct: DataFrame, scratch: Scratch, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Distinct (a, b), a < b, of lines that meet at a block, and (key, h, n) of the buckets of which not all pairs are among these."""
     keyed = distinct.select("h", "n", F.explode(F.array(*[f"k{k}" for k in range(BLOCKS)])).alias("key")).where("key is not null")
     ends = [F.min("h").alias("a"), F.max("h").alias("b"), F.min("n").alias("low"), F.max("n").alias("high")]
     buckets = scratch.save(keyed.groupBy("key").agg(F.count("*").alias("members"), *ends).where("a < b"), "buckets")
@@ -188,35 +190,82 @@ def _candidates(distinct: DataFrame, scratch: Scratch, similarity: float) -> Dat
     crowded = buckets.where("members > 2").select("key")
     members = scratch.save(_likely(keyed, crowded, "key").join(crowded, "key", "left_semi"), "members")
     pairs = scratch.save(two.union(_pairs(members, _hubs(members), similarity)).distinct(), "pairs")
-    scratch.drop(buckets, members)
-    return pairs
+    scratch.drop(buckets)
+    return pairs, members
 
 
-def _links(docs: DataFrame, pairs: DataFrame, scratch: Scratch, min_chars: int, similarity: float) -> DataFrame:
-    """The ``pairs`` of lines that are duplicates; lines that share h with others get no text, and so no link."""
-    wanted = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "wanted")
+def _texts(docs: DataFrame, wanted: DataFrame, scratch: Scratch, min_chars: int) -> DataFrame:
+    """(h, s, line0, line32) of the lines ``wanted`` (h); lines that share h with others have none, and so no link."""
     found = _likely(_norms(docs, min_chars).select("h", "h2", "norm"), wanted).join(wanted, "h")
     one = found.groupBy("h").agg(F.min("h2").alias("low"), F.max("h2").alias("high"), F.first("norm").alias("norm")).where("low = high")
     spellings = [spelt(F.col("w"), turn).alias(f"line{turn}") for turn in (0, 32)]
-    texts = scratch.save(with_simhash(one.select("h", words(F.col("norm")).alias("w"))).select("h", "s", *spellings), "texts")
+    return scratch.save(with_simhash(one.select("h", words(F.col("norm")).alias("w"))).select("h", "s", *spellings), "texts")
+
+
+def _near(one: str, other: str) -> Column:
+    """Whether the SimHashes in two columns are close enough to verify their lines."""
+    return F.coalesce(F.bit_count(F.col(one).bitwiseXOR(F.col(other))) <= FAR, F.lit(True))
+
+
+def _links(pairs: DataFrame, texts: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
+    """The ``pairs`` of lines that are duplicates."""
     # first the SimHashes, then the edit distances
     sa, sb = (texts.select(F.col("h").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
-    apart = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb")))
-    close = pairs.join(sa, "a").join(sb, "b").where(F.coalesce(apart <= FAR, F.lit(True))).select("a", "b")
+    close = pairs.join(sa, "a").join(sb, "b").where(_near("sa", "sb")).select("a", "b")
     ta, tb = (texts.select(F.col("h").alias(x), F.col("line0").alias(f"t{x}"), F.col("line32").alias(f"u{x}")) for x in "ab")
     most = most_edits(F.greatest(F.length("ta"), F.length("tb")), similarity)
     within = _within(F.col("ta"), F.col("tb"), most) & _within(F.col("ua"), F.col("ub"), most)
-    links = scratch.save(close.join(ta, "a").join(tb, "b").where(within).select("a", "b"), "links")
-    scratch.drop(wanted, texts)
-    return links
+    return scratch.save(close.join(ta, "a").join(tb, "b").where(within).select("a", "b"), "links")
+
+
+def _rest(members: DataFrame, texts: DataFrame, comps: DataFrame, tried: DataFrame, scratch: Scratch, similarity: float) -> DataFrame | None:
+    """Distinct (a, b), a < b, of all members of one bucket that may be linked, are not in one component and were not ``tried``; None where every bucket is one component.
+
+    Of two lines within the allowed edits, either has no more words than its own
+    length allows that the other lacks.  So whatever order the words of a bucket are
+    put in, the first word that both lines hold is among the first of each, one more
+    than these.  Lines meet at such words, the rarest of the bucket first; words that
+    all its lines share come last and bring nobody together.
+    """
+    own = comps.select(F.col("node").alias("h"), "component")
+    known = members.join(own, "h", "left").select("key", "h", "n", F.coalesce("component", "h").alias("comp"))
+    several = known.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
+    apart = scratch.save(known.join(several, "key", "left_semi"), "apart")
+    if apart.isEmpty():
+        return None
+    chars = texts.select("h", "s", F.array_distinct(F.split("line0", "")).alias("c"))
+    spread = scratch.save(apart.join(chars, "h").select("key", "h", "n", "s", "comp", F.explode("c").alias("c")), "spread")
+    counts = spread.groupBy("key", "c").agg(F.count("*").alias("held"), (F.min("comp") < F.max("comp")).alias("joins"))
+    ordered = F.sort_array(F.collect_list(F.struct("held", "c", "joins")))
+    first = spread.join(counts, ["key", "c"]).groupBy("key", "h", "n", "s", "comp").agg(ordered.alias("w"))
+    heads = first.select("key", "h", "n", "s", "comp", F.explode(F.slice("w", F.lit(1), most_edits(F.col("n"), similarity) + 1)).alias("w"))
+    heads = scratch.save(heads.where("w.joins").select("key", "h", "n", "s", "comp", F.col("w.c").alias("c")), "heads")
+    other = heads.select("key", "c", F.col("h").alias("hub"), F.col("n").alias("hn"), F.col("s").alias("hs"), F.col("comp").alias("hc"))
+    fits = F.abs(F.col("n") - F.col("hn")) <= most_edits(F.greatest("n", "hn"), similarity)
+    met = heads.join(other, ["key", "c"]).where((F.col("comp") < F.col("hc")) & fits & _near("s", "hs"))
+    found = met.select(F.least("h", "hub").alias("a"), F.greatest("h", "hub").alias("b")).distinct()
+    pairs = scratch.save(found.join(tried, ["a", "b"], "left_anti"), "rest")
+    scratch.drop(apart, spread, heads)
+    return pairs
+
+
+def _components(docs: DataFrame, distinct: DataFrame, scratch: Scratch, min_chars: int, similarity: float) -> DataFrame:
+    """(node, component) of the lines that a duplicate is linked to: links with a bucket's hubs first, then all others that could join components."""
+    pairs, members = _candidates(distinct, scratch, similarity)
+    wanted = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("h")).union(members.select("h")).distinct(), "wanted")
+    texts = _texts(docs, wanted, scratch, min_chars)
+    comps = scratch.save(connected_components(_links(pairs, texts, scratch, similarity), scratch), "components")
+    rest = _rest(members, texts, comps, pairs, scratch, similarity)
+    if rest is not None:
+        comps = extend_components(comps, _links(rest, texts, scratch, similarity), scratch)
+    scratch.drop(pairs, members, wanted, texts)
+    return comps
 
 
 def duplicate_lines(docs: DataFrame, scratch: Scratch, min_chars: int, similarity: float) -> DataFrame:
     """(doc_id, dropped): for each document that loses lines, (t, pos) of these; ``docs`` has doc_id and text."""
     distinct = scratch.save(distinct_lines(line_table(docs, min_chars, similarity)), "distinct")
-    pairs = _candidates(distinct, scratch, similarity)
-    comps = connected_components(_links(docs, pairs, scratch, min_chars, similarity), scratch)
-    scratch.drop(pairs)
+    comps = _components(docs, distinct, scratch, min_chars, similarity)
 
     # a line is in a group, or alone and then repeated only where it has copies
     nodes = scratch.save(comps.select(F.col("node").alias("h"), F.col("component").alias("g")), "nodes")

@@ -377,6 +377,19 @@ def test_fuzzy_pairs_of_one_length(spark, n):
     assert recall(got, want) >= 0.97
 
 
+def test_lines_that_share_common_blocks_alone(spark, monkeypatch):
+    """Pairs that meet at no block but those of eight words which all lines begin with; hubs alone lost most of them."""
+    met, rest = [], lines._rest
+    monkeypatch.setattr(lines, "_rest", lambda *args: met.append(rest(*args)) or met[-1])
+    common = [f"common{k}" for k in range(8)]
+    made = [" ".join([*common, f"a{k}{side}", f"b{k}", f"c{k}", f"d{k}{side}"]) for k in range(60) for side in "xy"]
+    got = {r["doc_id"]: r["dropped_lines"] for r in lines.dedup_lines(docs(spark, made)).collect()}
+    assert got == {i: [0] if i % 2 else None for i in range(120)}
+    assert {i: x for i, x in got.items() if x} == {i: x for i, x in dropped_by_brute_force(made).items() if x}
+    # each pair meets once, and no line meets one of another pair
+    assert len(met) == 1
+
+
 def test_rows_that_repeat_an_id_keep_their_own_lines(spark):
     same, own = "a line that two texts have in common", "nobody else has these words at all"
     rows = [(1, same, "x", 1), (5, f"{same}\n{own}", "x", 1), (5, f"{own} but one\n{same}", "x", 1), (5, f"{same}\n{own}", "x", 1), (None, same, "x", 1)]
