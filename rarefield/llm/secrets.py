@@ -3,11 +3,11 @@
 Three rules give the base spans.  The method adds spans: tokens of ``LEAST``
 characters and more that two first-order character models, one of random strings
 and one of ordinary identifiers, tell apart by their log-likelihood ratio.  Both
-are trained from labelled samples: what the rules find in the corpus and digests
-(random), other tokens of the corpus and made identifiers (ordinary).  From the
-corpus come at most ``SAMPLES`` different tokens of each kind, chosen by hash, the
-ordinary ones out of about ``SAMPLE_DOCS`` whole texts.  Half of the samples, by
-hash, set the threshold: all but one in a thousand ordinary ones stay below it.
+are trained from labelled strings: what the rules find in the corpus and digests
+(random), other tokens of the corpus and made identifiers (ordinary).  All
+different tokens of all texts count, each once and whole.  Half of them, by hash,
+train the models and the others set the threshold, an exact quantile: all but one in a
+thousand ordinary ones stay below it.
 The models' tables have one entry for each pair of characters of a fixed
 alphabet, so what reaches the driver is bounded.
 
@@ -30,6 +30,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rarefield.operators.ranking import exact_quantiles
+from rarefield.scratch import Scratch
+
 KINDS = ("assign", "access", "hex", "random")
 # The rules of the base spans.  Runs that are too short are dropped
 # by the length test of ``assign``; for the others a minimum length in the
@@ -39,28 +42,26 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"
 LEAST = 12  # characters of a token; fewer tell too little
 CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}" % LEAST
+TOKEN = r"[A-Za-z0-9+/_=-]{6,}"  # of a text, to learn from
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-SAMPLES, SAMPLE_DOCS = 4000, 2000
+MADE = 1000  # strings of each kind, besides the corpus
+PIECE = 256  # characters of a token that are counted at a time
 LEAST_RATIO = math.log(1000)  # nats; the threshold is never lower
 
 
 def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text, label): different random strings (1) and ordinary tokens (0), of the corpus and made ones."""
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(id_col, text_col).alias("slot"), F.col(text_col).alias("text"))
+    """(text, label): different random strings (1) and ordinary tokens (0), all of the corpus and made ones."""
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
     values = F.concat(F.regexp_extract_all("text", F.lit(ASSIGN), 1), F.regexp_extract_all("text", F.lit(ACCESS), 0), F.regexp_extract_all("text", F.lit(HEX), 0))
     shown = rows.where(F.col("text").rlike(f"{ASSIGN}|{ACCESS}|{HEX}")).select(F.explode(values).alias("text"))
-    secret = _some(shown.where(F.length("text") >= LEAST))
-    n = docs.count()
-    most = min((SAMPLE_DOCS << 64) // max(n, 1), 1 << 64) - (1 << 63) - 1
-    tokens = rows.where(F.col("slot") <= most).select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/_=-]{6,}"), 0)).alias("text"))
-    usual = _some(tokens.where(~F.col("text").rlike(f"{ACCESS}|{HEX}")).join(secret, "text", "left_anti"))
-    return made_samples(docs.sparkSession, SAMPLES // 4).union(secret.select("text", F.lit(1))).union(usual.select("text", F.lit(0)))
-
-
-def _some(tokens: DataFrame) -> DataFrame:
-    """``SAMPLES`` different tokens, those least by hash; long ones are the same as their first 256 characters."""
-    return tokens.select(F.substring("text", 1, 256).alias("text")).distinct().orderBy(F.xxhash64("text"), "text").limit(SAMPLES)
+    tokens = rows.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TOKEN), 0))).alias("text"))
+    both = shown.where(F.length("text") >= LEAST).select("text", F.lit(1).alias("label")).union(tokens.select("text", F.lit(0)))
+    # a token that a rule finds anywhere is a secret
+    known = both.groupBy("text").agg(F.max("label").alias("label"))
+    usual = ~F.col("text").rlike(f"{ACCESS}|{HEX}")
+    scratch = Scratch(docs.sparkSession, "secrets")
+    return scratch.save(made_samples(docs.sparkSession, MADE).union(known.where((F.col("label") == 1) | usual)), "samples")
 
 
 def made_samples(spark: SparkSession, n: int) -> DataFrame:
@@ -83,10 +84,14 @@ def made_samples(spark: SparkSession, n: int) -> DataFrame:
 
 def train(samples: DataFrame, text_col: str = "text", label_col: str = "label") -> dict[str, float]:
     """Log-likelihood ratio (random against identifier) of each pair of characters, with add-one smoothing."""
-    char = F.substring(F.col(text_col), F.col("i"), F.lit(2))
+    char = F.substring(F.col("piece"), F.col("i"), F.lit(2))
+    # a long string in pieces that share a character, so that each of its pairs is in one
+    begins = F.sequence(F.lit(1), F.length(text_col) - 1, F.lit(PIECE - 1))
     pairs = (
         samples.where(F.length(text_col) > 1)
-        .select(F.col(label_col).alias("label"), text_col, F.explode(F.sequence(F.lit(1), F.length(text_col) - 1)).alias("i"))
+        .select(F.col(label_col).alias("label"), text_col, F.explode(begins).alias("at"))
+        .select("label", F.substring(F.col(text_col), F.col("at"), F.lit(PIECE)).alias("piece"))
+        .select("label", "piece", F.explode(F.sequence(F.lit(1), F.length("piece") - 1)).alias("i"))
         .select("label", char.alias("pair"))
         .where(F.col("pair").rlike("^[A-Za-z0-9+/_=-]{2}$"))
         .groupBy("label", "pair")
@@ -127,7 +132,7 @@ def calibrated(samples: DataFrame) -> tuple[dict[str, float], float]:
     half = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(2)) == 0
     model = train(samples.where(half))
     other = samples.where(~half & (F.col("label") == 0) & (F.length("text") >= LEAST))
-    reached = other.agg(F.percentile(ratio(F.col("text"), model), 0.999)).first()[0]
+    (reached,) = exact_quantiles(other, ratio(F.col("text"), model), [0.999])
     return model, max(LEAST_RATIO, reached or 0.0)
 
 

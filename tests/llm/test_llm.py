@@ -222,6 +222,19 @@ def test_character_models_of_counted_pairs(spark):
         assert model[pair] == pytest.approx(np.log(p[0] / p[1]))
 
 
+def test_secret_models_learn_from_all_tokens(spark):
+    """All different tokens of each kind, not some thousands, and long ones to their end."""
+    words = [f"plainword{k:05d}" for k in range(5000)]
+    values = [hashlib.sha256(str(k).encode()).hexdigest() for k in range(4500)]
+    texts = [" ".join(words[k : k + 50]) for k in range(0, 5000, 50)] + [" ".join(values[k : k + 50]) for k in range(0, 4500, 50)]
+    samples = secrets.labelled_samples(docs(spark, texts + texts[:3]))
+    got = [(r["text"], r["label"]) for r in samples.collect()]
+    assert len(got) == 5000 + 4500 + 2000 and {(w, 0) for w in words} | {(v, 1) for v in values} <= set(got)
+    long = "".join("abAB09"[k * k % 6] for k in range(1000)) + "zzz"
+    counted, plain = (secrets.train(spark.createDataFrame([(t, 1) for t in rows], "text string, label int")) for rows in ([long], [long[k : k + 2] for k in range(len(long) - 1)]))
+    assert counted == plain
+
+
 def test_many_secrets_in_one_text(spark):
     """Eighty thousand spans of one text in bounded time."""
     text = "".join(f"token={k:08d}x {'ab' * (k % 3)}" for k in range(80_000))
