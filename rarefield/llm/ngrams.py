@@ -232,13 +232,20 @@ def _look_up(asked: list[bytes]) -> tuple[list[bytes], int]:
     u = np.concatenate([r[1] for r in rows]) - 1
     w, n = (np.concatenate([r[k] for r in rows]) for k in (2, 5))
     del rows
-    (lv, iv), (lu, iu), (lw, iw) = (np.unique(x, return_inverse=True) for x in (v, u, w))
+    (lv, iv), (lu, iu), (lw, iw) = map(trie.distinct, (v, u, w))
     context, n_contexts = iv * np.int64(len(lu)) + iu, len(lv) * len(lu)
     if n_contexts * len(lw) >= 1 << 63:
         context = np.unique(context, return_inverse=True)[1]
     key = context * np.int64(len(lw)) + iw
     del context, iv, iu, iw
-    _, at, back = np.unique(key, return_index=True, return_inverse=True)
+    # a row of each different n-gram, and of which each row is; equal ones agree in all but their counts
+    order = np.argsort(key)
+    key = key[order]
+    first = np.concatenate(([True], key[1:] != key[:-1]))
+    at = order[first]
+    back = np.empty(len(order), np.int64)
+    back[order] = np.cumsum(first) - 1
+    del order, first
     count = np.bincount(back, n, len(at)).astype(np.int64)
     v, u, w, total = v[at], u[at], w[at], total[at]
     del key, n, at
@@ -286,17 +293,19 @@ class _Asked:
         salt = np.where(salts > 1, _mixed(np.where(u < 0, w, u)) % salts, 0)
         shard = (_mixed(v) + salt) % shards
         self.triples = len(keys)
-        self.order = np.lexsort((v, shard))
-        self.columns = [x[self.order] for x in (v, u + 1, w, times, vc)]
-        self.shard = shard[self.order]
+        # by shard, then v; short numbers are sorted by their digits
+        by_v = np.argsort(v, kind="stable")
+        self.order = by_v[np.argsort(shard[by_v].astype(np.uint16 if shards <= 1 << 16 else np.int64), kind="stable")]
+        self.columns, self.shard = (v, u + 1, w, times, vc), shard
 
     def requests(self) -> Iterator[tuple[int, bytes]]:
         """Each shard's n-grams, by v: the different v, the rest of each n-gram, how many each v has, its count, and the training counts."""
-        cuts = np.flatnonzero(np.diff(self.shard)) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(self.shard)], strict=True):
-            v, u, w, times, vc = (x[a:b] for x in self.columns)
+        shard, *columns = (x[self.order] for x in (self.shard, *self.columns))
+        cuts = np.flatnonzero(np.diff(shard)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(shard)], strict=True):
+            v, u, w, times, vc = (x[a:b] for x in columns)
             first = np.flatnonzero(np.concatenate(([True], np.diff(v) > 0)))
-            yield int(self.shard[a]), pack(np.diff(v[first], prepend=0), u, w, np.diff(np.append(first, b - a)), vc[first], times)
+            yield int(shard[a]), pack(np.diff(v[first], prepend=0), u, w, np.diff(np.append(first, b - a)), vc[first], times)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:

@@ -3,7 +3,8 @@
 An increasing sequence is kept in the Elias-Fano form: the low bits of its values in
 whole bytes, the high bits in unary, two bits a value or so.  A value is found by
 successor search: a selection of zeros in the unary part gives the few values with
-its high bits, whose low bits are searched.
+its high bits, whose low bits are searched.  Where a good part of the sequence is
+asked for, all of it is decoded at once instead.
 
 Levels: the words that stand last in a context (v); their successors (v, w); the
 contexts (v, u), that is ``u v``; and the successors of these.  The last level
@@ -30,6 +31,22 @@ for _b in range(256):
     _ZERO[_b, : len(_zeros)] = _zeros
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different whole numbers of ``x``, in order, and the place of each among them, as ``np.unique`` has them; sorted or dense ones without a sort."""
+    if not len(x):
+        return x, np.empty(0, np.int64)
+    new = np.concatenate(([True], x[1:] != x[:-1]))
+    if (x[1:] >= x[:-1]).all():
+        return x[new], np.cumsum(new) - 1
+    low = x.min()
+    span = int(x.max()) - int(low) + 1
+    if span > 2 * len(x):
+        return np.unique(x, return_inverse=True)
+    held = np.zeros(span, bool)
+    held[x - low] = True
+    return np.flatnonzero(held) + low, (np.cumsum(held) - 1)[x - low]
+
+
 def quantised(p: np.ndarray) -> np.ndarray:
     """A byte for each probability: steps of the 24th root of ten, 254 at most."""
     return np.clip(np.rint(-STEPS * np.log10(p)), 0, NONE - 1).astype(np.uint8)
@@ -88,6 +105,10 @@ class Sequence:
         out = np.full(len(values), -1, np.int64)
         if not self.n or not len(values):
             return out
+        if 4 * len(values) >= self.n:  # as good as all are asked: the sequence is decoded once
+            every = self.values()
+            at = np.searchsorted(every, values)
+            return np.where(every[np.minimum(at, self.n - 1)] == values, at, -1)
         h = values >> np.int64(8 * self.width)
         a, b = self._before(h), self._before(h + 1)
         want = values & np.int64((1 << (8 * self.width)) - 1)
@@ -129,17 +150,19 @@ def build(v: np.ndarray, u: np.ndarray, w: np.ndarray, n: np.ndarray, total: np.
     ``total`` is how often v occurs.  A successor's probability is its count over the
     context's count and a mass that the lower order shares out (Dirichlet smoothing).
     """
-    words, place = np.unique(np.concatenate([np.where(u < 0, w, u), w]), return_inverse=True)
+    words, place = distinct(np.concatenate([np.where(u < 0, w, u), w]))
     pu, pw = place[: len(u)], place[len(u) :]
-    last, first, iv = np.unique(v, return_index=True, return_inverse=True)
+    last, iv = distinct(v)
+    first = np.empty(len(last), np.int64)
+    first[iv] = np.arange(len(v))  # any row of v will do
     size = np.int64(len(words))
-    pairs, ip = np.unique(iv * size + pw, return_inverse=True)
+    pairs, ip = distinct(iv * size + pw)
     real = u >= 0
     alone = np.bincount(iv, ~real, minlength=len(last)) > 0  # v whose pairs are counted apart from the triples
     count = np.bincount(ip, np.where(real & alone[iv], 0, n), minlength=len(pairs))
     owner = pairs // size
     keep = count > 0
-    contexts, ic = np.unique((iv * size + pu)[real], return_inverse=True)
+    contexts, ic = distinct((iv * size + pu)[real])
     seen = np.bincount(ic, n[real], minlength=len(contexts))
     begins = _starts(owner, len(last))
     lengths = np.diff(begins)
@@ -186,17 +209,17 @@ class Trie:
     def look_up(self, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Codes of each n-gram: of ``u v w``, of the mass that ``u v`` leaves to the lower order, and of ``v w``; ``NONE`` for what was not seen."""
         size = np.int64(self.words.n)
-        iv, pu, pw = (s.find(x)[back] for s, (x, back) in ((s, np.unique(x, return_inverse=True)) for s, x in ((self.last, v), (self.words, u), (self.words, w))))
+        iv, pu, pw = (s.find(x)[back] for s, (x, back) in ((s, distinct(x)) for s, x in ((self.last, v), (self.words, u), (self.words, w))))
         triple, mass, pair = (np.full(len(v), NONE, np.uint8) for _ in range(3))
         ip = np.full(len(v), -1, np.int64)
         known = np.flatnonzero((iv >= 0) & (pw >= 0))
-        asked, back = np.unique(iv[known] * size + pw[known], return_inverse=True)
+        asked, back = distinct(iv[known] * size + pw[known])
         ip[known] = self.pairs.find(asked)[back]
         hit = ip >= 0
         pair[hit] = self.pair_code[ip[hit]]
         ic = np.full(len(v), -1, np.int64)
         known = np.flatnonzero((iv >= 0) & (pu >= 0) & (u >= 0))
-        asked, back = np.unique(iv[known] * size + pu[known], return_inverse=True)
+        asked, back = distinct(iv[known] * size + pu[known])
         ic[known] = self.contexts.find(asked)[back]
         known = ic >= 0
         mass[known] = self.mass_code[ic[known]]

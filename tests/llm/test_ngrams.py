@@ -153,3 +153,21 @@ def test_trie_against_a_dictionary():
     # a few bytes for each n-gram
     big = np.unique(rng.integers(0, 3000, (60_000, 3)), axis=0)
     assert len(trie.build(*big.T, np.ones(len(big), np.int64), np.full(len(big), 20), 8.0, 4.0)) < 9 * len(big)
+
+
+@pytest.mark.parametrize("x", [[], [5], [3, 3, 4, 9], [-1, 4, 2, -1, 4], [7, 1 << 50, 7, 0], [9, 3, 3, 9, 1]])
+def test_distinct_numbers(x):
+    """As ``np.unique``, by whichever way."""
+    x = np.array(x, np.int64)
+    for mine, want in zip(trie.distinct(x), np.unique(x, return_inverse=True), strict=True):
+        assert mine.tolist() == want.tolist()
+
+
+def test_few_and_many_numbers_of_a_sequence():
+    """A sequence that is searched and one that is decoded give the same places."""
+    values = np.cumsum(np.random.default_rng(8).integers(1, 1 << 20, 5000))
+    s, _ = trie.Sequence.read(memoryview(trie.Sequence.encode(values)), 0)
+    asked = np.sort(np.concatenate([values[::7], values[::5] + 1, [0, 1 << 60]]))
+    few = np.concatenate([s.find(asked[k : k + 100]) for k in range(0, len(asked), 100)])
+    place = {int(v): k for k, v in enumerate(values)}
+    assert s.find(asked).tolist() == few.tolist() == [place.get(int(x), -1) for x in asked]
