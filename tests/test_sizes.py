@@ -58,6 +58,13 @@ def test_queries_keep_the_threshold_for_measured_sides(spark, thresholds, name):
     assert (spark.conf.get(PLANNED), spark.conf.get(MEASURED)) == ("-1", "256k")
 
 
+def test_nearest_attribute_keeps_the_threshold_for_measured_sides(spark, thresholds):
+    """Its grains are a few MB of files at 60 times sf0.1, which filled the driver as hash tables."""
+    demo.queries()["nearest_attribute"](spark, "/root/testdata/sf0.001")
+    assert spark.conf.get(PLANNED) == "-1"
+    assert not planned_broadcasts(spark)
+
+
 def against_sql(spark, name, folder):
     sql = duckdb.connect()
     for f in os.listdir(folder):
