@@ -399,8 +399,7 @@ def test_lines_that_share_common_blocks_alone(spark, monkeypatch):
     got = {r["doc_id"]: r["dropped_lines"] for r in lines.dedup_lines(docs(spark, made)).collect()}
     assert got == {i: [0] if i % 2 else None for i in range(120)}
     assert {i: x for i, x in got.items() if x} == {i: x for i, x in dropped_by_brute_force(made).items() if x}
-    # each pair meets once, and no line meets one of another pair
-    assert len(met) == 1
+    assert len(met) == 1 and met[0] is not None  # the hubs had not linked them all
 
 
 def test_rows_that_repeat_an_id_keep_their_own_lines(spark):
