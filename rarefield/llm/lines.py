@@ -19,9 +19,11 @@ short to join on at these distances: the README has the figures.
 Lines meet at equal blocks.  The two lines of a bucket of two are a pair.  In a larger
 bucket every member is first compared with four members, the ends of two orders that
 all buckets have in common.  Where a bucket is not one group by then, all pairs of
-different groups follow that share one of their rarest words of the bucket, which,
-but for the SimHash, leaves out no pair that could be linked.  All of it is aggregations and equi-joins,
-so hot blocks can be split.
+different groups follow, in buckets of more than ``CROWD`` members those that share one
+of their rarest words of the bucket, which leaves out no pair that could be linked.
+Both are told apart by narrow sketches before any words are fetched: the SimHash, and
+the parities of 256 classes of words, of which an edit changes two at most, so that
+they leave out nothing.  All of it is aggregations and equi-joins, so hot blocks can be split.
 Candidates are verified by the built-in edit distance over lines that are spelt
 with one character a word, a hash of 2**19 values, and what passes once more by
 another such hash.  Each connected group keeps its first occurrence (the least
@@ -53,6 +55,8 @@ MIN_CHARS = 10
 SIMILARITY = 0.8
 BLOCKS, RUN = 8, 4
 SKETCH, FAR = 63, 24  # bits of a SimHash, and the most that verified lines differ in
+PARITIES = 4  # longs of a line's parities of classes of words
+CROWD = 4096  # members of a bucket of which all pairs of sketches are compared
 SLOTS = 1 << 17  # of 64 bits, to leave out lines before they are shuffled
 #: Thai, Lao, Myanmar, Khmer, kana and Han, whose words have no spaces between them.
 UNSPACED = r"([฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\x{20000}-\x{3FFFF}])"
@@ -202,24 +206,76 @@ def _texts(docs: DataFrame, wanted: DataFrame, scratch: Scratch, min_chars: int)
     return scratch.save(with_simhash(one.select("h", words(F.col("norm")).alias("w"))).select("h", "s", *spellings), "texts")
 
 
-def _near(one: str, other: str) -> Column:
-    """Whether the SimHashes in two columns are close enough to verify their lines."""
-    return F.coalesce(F.bit_count(F.col(one).bitwiseXOR(F.col(other))) <= FAR, F.lit(True))
+def _sketches(texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(h, m, s, p0, p1, ...) of ``texts``: their words' number, SimHash and parities.
 
+    A class of words has a bit, set where the line holds an odd number of its words.
+    """
+    chars = texts.select("h", F.length("line0").alias("m"), "s", F.explode(F.split("line0", "")).alias("c"))
+    coded = chars.select("h", "m", "s", F.xxhash64("c").alias("x"))
+    lane, bit = F.pmod("x", F.lit(PARITIES)), F.shiftright("x", 32).bitwiseAND(F.lit(63)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    odd = [F.bit_xor(F.when(lane == k, one).otherwise(F.lit(0).cast("long"))).alias(f"p{k}") for k in range(PARITIES)]
+    return scratch.save(coded.groupBy("h").agg(F.first("m").alias("m"), F.first("s").alias("s"), *odd), "sketches")
+
+
+def _renamed(sketches: DataFrame, start: str) -> list[Column]:
+    """The sketches' columns but h, their names begun with ``start``."""
+    return [F.col(c).alias(f"{start}{c}") for c in sketches.columns if c != "h"]
+
+
+def _near(one: str, other: str, similarity: float) -> Column:
+    """Whether two sketches, in columns whose names begin with ``one`` and ``other``, are close enough to verify their lines.
 
-def _links(pairs: DataFrame, texts: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
+    An edit that changes the length changes one parity, any other two at most.
+    """
+    m, n = F.col(f"{one}m"), F.col(f"{other}m")
+    bits = lambda c: F.bit_count(F.col(f"{one}{c}").bitwiseXOR(F.col(f"{other}{c}")))
+    most = most_edits(F.greatest(m, n), similarity)
+    odd = sum((bits(f"p{k}") for k in range(1, PARITIES)), bits("p0"))
+    return (F.abs(m - n) <= most) & (odd <= 2 * most - F.abs(m - n)) & F.coalesce(bits("s") <= FAR, F.lit(True))
+
+
+def _links(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
     """The ``pairs`` of lines that are duplicates."""
-    # first the SimHashes, then the edit distances
-    sa, sb = (texts.select(F.col("h").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
-    close = pairs.join(sa, "a").join(sb, "b").where(_near("sa", "sb")).select("a", "b")
+    # first the sketches, then the edit distances
+    sa, sb = (sketches.select(F.col("h").alias(x), *_renamed(sketches, x)) for x in "ab")
+    close = pairs.join(sa, "a").join(sb, "b").where(_near("a", "b", similarity)).select("a", "b")
     ta, tb = (texts.select(F.col("h").alias(x), F.col("line0").alias(f"t{x}"), F.col("line32").alias(f"u{x}")) for x in "ab")
     most = most_edits(F.greatest(F.length("ta"), F.length("tb")), similarity)
     within = _within(F.col("ta"), F.col("tb"), most) & _within(F.col("ua"), F.col("ub"), most)
     return scratch.save(close.join(ta, "a").join(tb, "b").where(within).select("a", "b"), "links")
 
 
-def _rest(members: DataFrame, texts: DataFrame, comps: DataFrame, tried: DataFrame, scratch: Scratch, similarity: float) -> DataFrame | None:
-    """Distinct (a, b), a < b, of all members of one bucket that may be linked, are not in one component and were not ``tried``; None where every bucket is one component.
+def _rest(members: DataFrame, texts: DataFrame, sketches: DataFrame, comps: DataFrame, tried: DataFrame, scratch: Scratch, similarity: float) -> DataFrame | None:
+    """Distinct (a, b), a < b, of all members of one bucket that may be linked, are not in one component and were not ``tried``; None where every bucket is one component."""
+    own = comps.select(F.col("node").alias("h"), "component")
+    known = scratch.save(members.join(own, "h", "left").select("key", "h", F.coalesce("component", "h").alias("comp")), "known")
+    groups = known.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("held"))
+    apart = scratch.save(known.join(groups.where("c0 < c1").select("key", "held"), "key").join(sketches, "h"), "apart")
+    scratch.drop(known)
+    if apart.isEmpty():
+        return None
+    few = apart.where(F.col("held") <= CROWD).drop("held")
+    found = _met(few, ["key"], similarity)
+    many = apart.where(F.col("held") > CROWD).drop("held")
+    if not many.isEmpty():
+        found = found.union(_met(_rarest(many, texts, scratch, similarity), ["key", "c"], similarity)).distinct()
+    pairs = scratch.save(found.join(tried, ["a", "b"], "left_anti"), "rest")
+    scratch.drop(apart)
+    return pairs
+
+
+def _met(rows: DataFrame, keys: list[str], similarity: float) -> DataFrame:
+    """Distinct (a, b), a < b, of rows of equal ``keys`` and different components that may be linked."""
+    names = [c for c in rows.columns if c not in keys]
+    one, other = (rows.select(*keys, *[F.col(c).alias(f"{x}_{c}") for c in names]) for x in "ab")
+    met = one.join(other, keys).where((F.col("a_comp") < F.col("b_comp")) & _near("a_", "b_", similarity))
+    return met.select(F.least("a_h", "b_h").alias("a"), F.greatest("a_h", "b_h").alias("b")).distinct()
+
+
+def _rarest(rows: DataFrame, texts: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
+    """``rows`` (key, h, m, comp and more) once for each of their words ``c`` at which they can meet those of another component.
 
     Of two lines within the allowed edits, either has no more words than its own
     length allows that the other lacks.  So whatever order the words of a bucket are
@@ -227,26 +283,15 @@ def _rest(members: DataFrame, texts: DataFrame, comps: DataFrame, tried: DataFra
     than these.  Lines meet at such words, the rarest of the bucket first; words that
     all its lines share come last and bring nobody together.
     """
-    own = comps.select(F.col("node").alias("h"), "component")
-    known = members.join(own, "h", "left").select("key", "h", "n", F.coalesce("component", "h").alias("comp"))
-    several = known.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
-    apart = scratch.save(known.join(several, "key", "left_semi"), "apart")
-    if apart.isEmpty():
-        return None
-    chars = texts.select("h", "s", F.array_distinct(F.split("line0", "")).alias("c"))
-    spread = scratch.save(apart.join(chars, "h").select("key", "h", "n", "s", "comp", F.explode("c").alias("c")), "spread")
+    chars = texts.select("h", F.array_distinct(F.split("line0", "")).alias("c"))
+    spread = scratch.save(rows.select("key", "h", "m", "comp").join(chars, "h").select("key", "h", "m", "comp", F.explode("c").alias("c")), "spread")
     counts = spread.groupBy("key", "c").agg(F.count("*").alias("held"), (F.min("comp") < F.max("comp")).alias("joins"))
     ordered = F.sort_array(F.collect_list(F.struct("held", "c", "joins")))
-    first = spread.join(counts, ["key", "c"]).groupBy("key", "h", "n", "s", "comp").agg(ordered.alias("w"))
-    heads = first.select("key", "h", "n", "s", "comp", F.explode(F.slice("w", F.lit(1), most_edits(F.col("n"), similarity) + 1)).alias("w"))
-    heads = scratch.save(heads.where("w.joins").select("key", "h", "n", "s", "comp", F.col("w.c").alias("c")), "heads")
-    other = heads.select("key", "c", F.col("h").alias("hub"), F.col("n").alias("hn"), F.col("s").alias("hs"), F.col("comp").alias("hc"))
-    fits = F.abs(F.col("n") - F.col("hn")) <= most_edits(F.greatest("n", "hn"), similarity)
-    met = heads.join(other, ["key", "c"]).where((F.col("comp") < F.col("hc")) & fits & _near("s", "hs"))
-    found = met.select(F.least("h", "hub").alias("a"), F.greatest("h", "hub").alias("b")).distinct()
-    pairs = scratch.save(found.join(tried, ["a", "b"], "left_anti"), "rest")
-    scratch.drop(apart, spread, heads)
-    return pairs
+    first = spread.join(counts, ["key", "c"]).groupBy("key", "h", "m").agg(ordered.alias("w"))
+    heads = first.select("key", "h", F.explode(F.slice("w", F.lit(1), most_edits(F.col("m"), similarity) + 1)).alias("w"))
+    found = scratch.save(heads.where("w.joins").select("key", "h", F.col("w.c").alias("c")).join(rows, ["key", "h"]), "heads")
+    scratch.drop(spread)
+    return found
 
 
 def _components(docs: DataFrame, distinct: DataFrame, scratch: Scratch, min_chars: int, similarity: float) -> DataFrame:
@@ -254,11 +299,12 @@ def _components(docs: DataFrame, distinct: DataFrame, scratch: Scratch, min_char
     pairs, members = _candidates(distinct, scratch, similarity)
     wanted = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("h")).union(members.select("h")).distinct(), "wanted")
     texts = _texts(docs, wanted, scratch, min_chars)
-    comps = scratch.save(connected_components(_links(pairs, texts, scratch, similarity), scratch), "components")
-    rest = _rest(members, texts, comps, pairs, scratch, similarity)
+    sketches = _sketches(texts, scratch)
+    comps = scratch.save(connected_components(_links(pairs, texts, sketches, scratch, similarity), scratch), "components")
+    rest = _rest(members, texts, sketches, comps, pairs, scratch, similarity)
     if rest is not None:
-        comps = extend_components(comps, _links(rest, texts, scratch, similarity), scratch)
-    scratch.drop(pairs, members, wanted, texts)
+        comps = extend_components(comps, _links(rest, texts, sketches, scratch, similarity), scratch)
+    scratch.drop(pairs, members, wanted, texts, sketches)
     return comps
 
 

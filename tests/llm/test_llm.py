@@ -402,6 +402,46 @@ def test_lines_that_share_common_blocks_alone(spark, monkeypatch):
     assert len(met) == 1 and met[0] is not None  # the hubs had not linked them all
 
 
+@pytest.mark.parametrize("crowd", [4096, 8])
+def test_crowded_buckets_are_told_apart_by_sketches(spark, monkeypatch, crowd):
+    """The fault: each word of each member of a bucket became a row on disk.  Beyond ``CROWD`` members that still is so, with the same result."""
+    rows, save = {}, lines.Scratch.save
+
+    def saved(self, df, name="t"):
+        out = save(self, df, name)
+        rows[name] = rows.get(name, 0) + (out.count() if name in ("spread", "apart", "rest") else 0)
+        return out
+
+    monkeypatch.setattr(lines.Scratch, "save", saved)
+    monkeypatch.setattr(lines, "CROWD", crowd, raising=False)
+    rnd = random.Random(3)
+    common = [f"common{k}" for k in range(8)]
+    made = [[*common, *[f"v{rnd.randrange(3000)}" for _ in range(20)]] for _ in range(60)]
+    made += [[x if rnd.random() < 0.9 else f"u{rnd.randrange(3000)}" for x in w] for w in made]
+    made = [" ".join(w) for w in made]
+    got = {r["doc_id"]: r["dropped_lines"] for r in lines.dedup_lines(docs(spark, made)).collect()}
+    want = dropped_by_brute_force(made)
+    assert len(want) > 40 and recall(got, want) == 1
+    assert rows["apart"] > 100 and rows["rest"] < 60 and ("spread" in rows) == (crowd < 100)
+
+
+def test_sketches_leave_out_no_line_within_the_edits(spark):
+    rnd = random.Random(5)
+    made = []
+    for n in [4, 5, 9, 10, 30, 60, 200] * 20:
+        w = [[f"w{rnd.randrange(300)}"] for _ in range(n)]
+        base = [x for y in w for x in y]
+        for at in rnd.sample(range(n), n // 5):
+            w[at] = rnd.choice([[f"x{rnd.randrange(300)}"], [], [*w[at], "y"]])
+        made.append((base, [x for y in w for x in y]))
+    pairs = [(k, a, b) for k, (a, b) in enumerate(made) if word_distance(a, b) * 5 <= max(len(a), len(b))]
+    words = spark.createDataFrame([(2 * k + side, w) for k, *two in pairs for side, w in enumerate(two)], "h long, w array<string>")
+    sketches = lines._sketches(words.select("h", F.lit(None).cast("long").alias("s"), lines.spelt(F.col("w")).alias("line0")), lines.Scratch(spark, "sketches"))
+    one, other = (sketches.where(F.col("h") % 2 == side).select(F.floor(F.col("h") / 2).alias("k"), *lines._renamed(sketches, x)) for side, x in enumerate("ab"))
+    assert len(pairs) > 100 and one.join(other, "k").where(lines._near("a", "b", 0.8)).count() == len(pairs)
+    assert one.join(other.withColumn("k", F.col("k") + 7), "k").where(lines._near("a", "b", 0.8)).count() < len(pairs) / 10
+
+
 def test_rows_that_repeat_an_id_keep_their_own_lines(spark):
     same, own = "a line that two texts have in common", "nobody else has these words at all"
     rows = [(1, same, "x", 1), (5, f"{same}\n{own}", "x", 1), (5, f"{own} but one\n{same}", "x", 1), (5, f"{same}\n{own}", "x", 1), (None, same, "x", 1)]
