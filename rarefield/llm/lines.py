@@ -267,10 +267,19 @@ def _rest(members: DataFrame, texts: DataFrame, sketches: DataFrame, comps: Data
 
 
 def _met(rows: DataFrame, keys: list[str], similarity: float) -> DataFrame:
-    """Distinct (a, b), a < b, of rows of equal ``keys`` and different components that may be linked."""
+    """Distinct (a, b), a < b, of rows of equal ``keys`` and different components that may be linked.
+
+    Lines that may be linked lie in one band of lengths or in neighbouring ones, so the
+    shorter is met with the longer in its own band and the next.
+    """
+    width = max(1.001 * -math.log(similarity), 1e-9)  # a little more than the lengths' ratio allows, for rounding
+    band = F.floor(F.log(F.greatest("m", F.lit(1)).cast("double")) / width).cast("int")
     names = [c for c in rows.columns if c not in keys]
-    one, other = (rows.select(*keys, *[F.col(c).alias(f"{x}_{c}") for c in names]) for x in "ab")
-    met = one.join(other, keys).where((F.col("a_comp") < F.col("b_comp")) & _near("a_", "b_", similarity))
+    one = rows.select(*keys, band.alias("band"), *[F.col(c).alias(f"a_{c}") for c in names])
+    other = rows.select(*keys, F.explode(F.array(band, band - 1)).alias("band"), *[F.col(c).alias(f"b_{c}") for c in names])
+    longer = (F.col("a_m") < F.col("b_m")) | ((F.col("a_m") == F.col("b_m")) & (F.col("a_h") < F.col("b_h")))
+    # sorted, a bucket's rows lie together
+    met = one.join(other.hint("merge"), [*keys, "band"]).where((F.col("a_comp") != F.col("b_comp")) & longer & _near("a_", "b_", similarity))
     return met.select(F.least("a_h", "b_h").alias("a"), F.greatest("a_h", "b_h").alias("b")).distinct()
 
 
