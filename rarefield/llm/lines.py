@@ -272,8 +272,8 @@ def _met(rows: DataFrame, keys: list[str], similarity: float) -> DataFrame:
     Lines that may be linked lie in one band of lengths or in neighbouring ones, so the
     shorter is met with the longer in its own band and the next.
     """
-    width = max(1.001 * -math.log(similarity), 1e-9)  # a little more than the lengths' ratio allows, for rounding
-    band = F.floor(F.log(F.greatest("m", F.lit(1)).cast("double")) / width).cast("int")
+    width = max(1.001 * -math.log(max(similarity, 1e-9)), 1e-9)  # a little more than the lengths' ratio allows, for rounding
+    band = F.floor(F.log(F.greatest("m", F.lit(1)).cast("double")) / width)
     names = [c for c in rows.columns if c not in keys]
     one = rows.select(*keys, band.alias("band"), *[F.col(c).alias(f"a_{c}") for c in names])
     other = rows.select(*keys, F.explode(F.array(band, band - 1)).alias("band"), *[F.col(c).alias(f"b_{c}") for c in names])
