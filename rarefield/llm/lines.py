@@ -7,7 +7,7 @@ words is ``SIMILARITY`` or more: one less the share of words to insert, delete o
 replace.  A word is what stands between spaces; in lines of more than one and a
 half bytes a character, each character of a script without spaces is one.
 
-A line has two sketches.  One is the SimHash of its words, ``SKETCH`` bits; lines
+A line has two sketches.  One, of lines of more than ``LONG`` words, is the SimHash of its words, ``SKETCH`` bits; those
 more than ``FAR`` bits apart are not verified (at a fifth of the words replaced
 the mean is 13 and the deviation 3).  The other is for the join: ``BLOCKS``
 blocks, each the hash of ``RUN`` neighbouring words (the line's end continues at
@@ -21,9 +21,9 @@ bucket every member is first compared with four members, the ends of two orders
 all buckets have in common.  Where a bucket is not one group by then, all pairs of
 different groups follow, in buckets of more than ``CROWD`` members those that share one
 of their rarest words of the bucket, which leaves out no pair that could be linked.
-Both are told apart by narrow sketches before any words are fetched: the SimHash, and
-the parities of 256 classes of words, of which an edit changes two at most, so that
-they leave out nothing.  All of it is aggregations and equi-joins, so hot blocks can be split.
+Both are told apart by narrow sketches before any words are fetched:
+the parities of 512 classes of words, of which an edit changes two at most, so that
+they leave out nothing, and between lines of more than ``LONG`` words the SimHash.  All of it is aggregations and equi-joins, so hot blocks can be split.
 Candidates are verified by the built-in edit distance over lines that are spelt
 with one character a word, a hash of 2**19 values, and what passes once more by
 another such hash.  Each connected group keeps its first occurrence (the least
@@ -44,6 +44,8 @@ an empty table; texts and lines are read whole; other columns pass through.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,7 +57,8 @@ MIN_CHARS = 10
 SIMILARITY = 0.8
 BLOCKS, RUN = 8, 4
 SKETCH, FAR = 63, 24  # bits of a SimHash, and the most that verified lines differ in
-PARITIES = 4  # longs of a line's parities of classes of words
+PARITIES = 8  # longs of a line's parities of classes of words
+LONG = 512  # words of a line up to which the parities tell lines apart; only longer ones have a SimHash
 CROWD = 4096  # members of a bucket of which all pairs of sketches are compared
 SLOTS = 1 << 17  # of 64 bits, to leave out lines before they are shuffled
 #: Thai, Lao, Myanmar, Khmer, kana and Han, whose words have no spaces between them.
@@ -64,7 +67,9 @@ _PLACE = (1 << 24) - 1  # low bits that hold a word's place
 
 
 def trimmed(line: Column) -> Column:
-    return F.btrim(line, F.lit(" \t\r"))
+    # btrim walks through the whole line, even where nothing is to go
+    ends = [f(c) for c in " \t\r" for f in (line.startswith, line.endswith)]
+    return F.when(reduce(or_, ends), F.btrim(line, F.lit(" \t\r"))).otherwise(line)
 
 
 def normalised(line: Column) -> Column:
@@ -102,15 +107,15 @@ def _norms(docs: DataFrame, min_chars: int) -> DataFrame:
 
 def line_table(docs: DataFrame, min_chars: int, similarity: float) -> DataFrame:
     """(doc_id, h, h2, n, k0, k1, ...) of every line: its words' number and, where it may be edited, its blocks."""
-    hashes = F.transform(words(F.col("norm")), lambda x: F.xxhash64(x))
-    kept = _norms(docs, min_chars).select("doc_id", "h", "h2", hashes.alias("w"))
-    first = F.sort_array(F.transform("w", lambda x, i: x.bitwiseAND(F.lit(~_PLACE)).bitwiseOR(i)))
+    kept = _norms(docs, min_chars).select("doc_id", "h", "h2", words(F.col("norm")).alias("w"))
+    first = F.sort_array(F.transform("w", lambda x, i: F.xxhash64(x).bitwiseAND(F.lit(~_PLACE)).bitwiseOR(i)))
     # the first words again at the end, so that every block has its length
     around = F.concat("w", F.slice("w", 1, RUN - 1)).alias("around")
     n = F.size("w")
     begun = kept.select("doc_id", "h", "h2", n.alias("n"), F.when(n >= least_words(similarity), first).alias("at"), around)
     begins = [F.get("at", F.lit(k)).bitwiseAND(F.lit(_PLACE)).cast("int") for k in range(BLOCKS)]
-    keys = [F.when(p.isNotNull(), F.xxhash64(*[F.get("around", p + r) for r in range(RUN)])).alias(f"k{k}") for k, p in enumerate(begins)]
+    # one slice a key: with its words one by one the generated method was too large to be compiled
+    keys = [F.when(p.isNotNull(), F.xxhash64(F.slice("around", p + 1, F.lit(RUN)))).alias(f"k{k}") for k, p in enumerate(begins)]
     return begun.select("doc_id", "h", "h2", "n", *keys)
 
 
@@ -125,14 +130,14 @@ def spelt(w: Column, turn: int = 0) -> Column:
     return F.unhex(F.array_join(F.transform(w, code), "")).cast("string")
 
 
-def with_simhash(lines: DataFrame) -> DataFrame:
-    """``lines`` with s, the bits that more than half of the hashes of the words ``w`` have; null beyond a million words.
+def with_simhash(lines: DataFrame, least: int = 0) -> DataFrame:
+    """``lines`` with s, the bits that more than half of the hashes of the words ``w`` have; null up to ``least`` words and beyond a million.
 
     Counters lie side by side in longs, 7 of 9 bits or, for lines of more than 255
     words, 3 of 21 bits, so that one addition counts several bits.
     """
     n = F.size("w")
-    counted = lines.select("*", F.when(n <= 255, _bit_counts(F.col("w"), 9)).alias("c9"), F.when((n > 255) & (n < 1 << 20), _bit_counts(F.col("w"), 21)).alias("c21"))
+    counted = lines.select("*", F.when((n > least) & (n <= 255), _bit_counts(F.col("w"), 9)).alias("c9"), F.when((n > max(least, 255)) & (n < 1 << 20), _bit_counts(F.col("w"), 21)).alias("c21"))
     return counted.select(*lines.columns, F.coalesce(_majority("c9", n, 9), _majority("c21", n, 21)).alias("s"))
 
 
@@ -187,7 +192,9 @@ def _likely(rows: DataFrame, wanted: DataFrame, col: str = "h") -> DataFrame:
 
 def _candidates(distinct: DataFrame, scratch: Scratch, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Distinct (a, b), a < b, of lines that meet at a block, and (key, h, n) of the buckets of which not all pairs are among these."""
-    keyed = distinct.select("h", "n", F.explode(F.array(*[f"k{k}" for k in range(BLOCKS)])).alias("key")).where("key is not null")
+    # a line that repeats its words has equal blocks, and is one member of their bucket
+    blocks = F.array_distinct(F.array(*[f"k{k}" for k in range(BLOCKS)]))
+    keyed = distinct.select("h", "n", F.explode(blocks).alias("key")).where("key is not null")
     ends = [F.min("h").alias("a"), F.max("h").alias("b"), F.min("n").alias("low"), F.max("n").alias("high")]
     buckets = scratch.save(keyed.groupBy("key").agg(F.count("*").alias("members"), *ends).where("a < b"), "buckets")
     two = buckets.where("members = 2").where(F.col("high") - F.col("low") <= most_edits(F.col("high"), similarity)).select("a", "b")
@@ -203,7 +210,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, scratch: Scratch, min_chars: int)
     found = _likely(_norms(docs, min_chars).select("h", "h2", "norm"), wanted).join(wanted, "h")
     one = found.groupBy("h").agg(F.min("h2").alias("low"), F.max("h2").alias("high"), F.first("norm").alias("norm")).where("low = high")
     spellings = [spelt(F.col("w"), turn).alias(f"line{turn}") for turn in (0, 32)]
-    return scratch.save(with_simhash(one.select("h", words(F.col("norm")).alias("w"))).select("h", "s", *spellings), "texts")
+    return scratch.save(with_simhash(one.select("h", words(F.col("norm")).alias("w")), LONG).select("h", "s", *spellings), "texts")
 
 
 def _sketches(texts: DataFrame, scratch: Scratch) -> DataFrame:
@@ -242,8 +249,9 @@ def _links(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, scratch: Scr
     sa, sb = (sketches.select(F.col("h").alias(x), *_renamed(sketches, x)) for x in "ab")
     close = pairs.join(sa, "a").join(sb, "b").where(_near("a", "b", similarity)).select("a", "b")
     ta, tb = (texts.select(F.col("h").alias(x), F.col("line0").alias(f"t{x}"), F.col("line32").alias(f"u{x}")) for x in "ab")
-    most = most_edits(F.greatest(F.length("ta"), F.length("tb")), similarity)
-    within = _within(F.col("ta"), F.col("tb"), most) & _within(F.col("ua"), F.col("ub"), most)
+    # in a lambda, as its many thresholds would make a generated method too large to be compiled
+    most = lambda p: most_edits(F.greatest(F.length(p["ta"]), F.length(p["tb"])), similarity)
+    within = F.exists(F.array(F.struct("ta", "tb", "ua", "ub")), lambda p: _within([(p["ta"], p["tb"]), (p["ua"], p["ub"])], most(p)))
     return scratch.save(close.join(ta, "a").join(tb, "b").where(within).select("a", "b"), "links")
 
 
@@ -252,13 +260,16 @@ def _rest(members: DataFrame, texts: DataFrame, sketches: DataFrame, comps: Data
     own = comps.select(F.col("node").alias("h"), "component")
     known = scratch.save(members.join(own, "h", "left").select("key", "h", F.coalesce("component", "h").alias("comp")), "known")
     groups = known.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("held"))
-    apart = scratch.save(known.join(groups.where("c0 < c1").select("key", "held"), "key").join(sketches, "h"), "apart")
+    open_ = groups.where("c0 < c1").select("key", (F.col("held") > CROWD).alias("crowded"))
+    held = known.join(open_, "key").groupBy("h").agg(F.min("comp").alias("comp"), F.collect_list(F.struct("crowded", "key")).alias("at"))
+    each = held.join(sketches, "h").select("*", F.explode("at").alias("e"))
+    under = F.filter("at", lambda x: (x["crowded"] == F.col("e.crowded")) & (x["key"] < F.col("e.key")))["key"].alias("under_key")
+    apart = scratch.save(each.select("e.crowded", "e.key", under, "comp", *sketches.columns), "apart")
     scratch.drop(known)
     if apart.isEmpty():
         return None
-    few = apart.where(F.col("held") <= CROWD).drop("held")
-    found = _met(few, ["key"], similarity)
-    many = apart.where(F.col("held") > CROWD).drop("held")
+    found = _met(apart.where("not crowded").drop("crowded"), ["key"], similarity)
+    many = apart.where("crowded").drop("crowded")
     if not many.isEmpty():
         found = found.union(_met(_rarest(many, texts, scratch, similarity), ["key", "c"], similarity)).distinct()
     pairs = scratch.save(found.join(tried, ["a", "b"], "left_anti"), "rest")
@@ -269,6 +280,9 @@ def _rest(members: DataFrame, texts: DataFrame, sketches: DataFrame, comps: Data
 def _met(rows: DataFrame, keys: list[str], similarity: float) -> DataFrame:
     """Distinct (a, b), a < b, of rows of equal ``keys`` and different components that may be linked.
 
+    Each key k has a column ``under_k``, the lesser keys that the line has beside it.  Lines
+    that share several meet at the least only, so a pair is made once however many
+    buckets near copies have in common.
     Lines that may be linked lie in one band of lengths or in neighbouring ones, so the
     shorter is met with the longer in its own band and the next.
     """
@@ -278,8 +292,9 @@ def _met(rows: DataFrame, keys: list[str], similarity: float) -> DataFrame:
     one = rows.select(*keys, band.alias("band"), *[F.col(c).alias(f"a_{c}") for c in names])
     other = rows.select(*keys, F.explode(F.array(band, band - 1)).alias("band"), *[F.col(c).alias(f"b_{c}") for c in names])
     longer = (F.col("a_m") < F.col("b_m")) | ((F.col("a_m") == F.col("b_m")) & (F.col("a_h") < F.col("b_h")))
+    once = reduce(and_, [~F.arrays_overlap(f"a_under_{k}", f"b_under_{k}") for k in keys])
     # sorted, a bucket's rows lie together
-    met = one.join(other.hint("merge"), [*keys, "band"]).where((F.col("a_comp") != F.col("b_comp")) & longer & _near("a_", "b_", similarity))
+    met = one.join(other.hint("merge"), [*keys, "band"]).where((F.col("a_comp") != F.col("b_comp")) & longer & _near("a_", "b_", similarity) & once)
     return met.select(F.least("a_h", "b_h").alias("a"), F.greatest("a_h", "b_h").alias("b")).distinct()
 
 
@@ -293,12 +308,15 @@ def _rarest(rows: DataFrame, texts: DataFrame, scratch: Scratch, similarity: flo
     all its lines share come last and bring nobody together.
     """
     chars = texts.select("h", F.array_distinct(F.split("line0", "")).alias("c"))
-    spread = scratch.save(rows.select("key", "h", "m", "comp").join(chars, "h").select("key", "h", "m", "comp", F.explode("c").alias("c")), "spread")
+    spread = rows.select("key", "h", "m", "comp").join(chars, "h").select("key", "h", "m", "comp", F.explode("c").alias("c"))
+    spread = scratch.save(spread.withColumn("c", F.xxhash64("c")), "spread")
     counts = spread.groupBy("key", "c").agg(F.count("*").alias("held"), (F.min("comp") < F.max("comp")).alias("joins"))
     ordered = F.sort_array(F.collect_list(F.struct("held", "c", "joins")))
     first = spread.join(counts, ["key", "c"]).groupBy("key", "h", "m").agg(ordered.alias("w"))
-    heads = first.select("key", "h", F.explode(F.slice("w", F.lit(1), most_edits(F.col("m"), similarity) + 1)).alias("w"))
-    found = scratch.save(heads.where("w.joins").select("key", "h", F.col("w.c").alias("c")).join(rows, ["key", "h"]), "heads")
+    heads = F.filter(F.slice("w", F.lit(1), most_edits(F.col("m"), similarity) + 1), lambda x: x["joins"])["c"]
+    each = first.select("key", "h", heads.alias("cs")).select("key", "h", "cs", F.explode("cs").alias("c"))
+    under = F.filter("cs", lambda x: x < F.col("c")).alias("under_c")
+    found = scratch.save(each.select("key", "h", "c", under).join(rows, ["key", "h"]), "heads")
     scratch.drop(spread)
     return found
 
@@ -340,16 +358,16 @@ def duplicate_lines(docs: DataFrame, scratch: Scratch, min_chars: int, similarit
     return by_doc.select("doc_id", dropped.alias("dropped")).where(F.size("dropped") > 0)
 
 
-def _within(a: Column, b: Column, most: Column) -> Column:
-    """Whether the edit distance of two strings is at most ``most``.
+def _within(spellings: list[tuple[Column, Column]], most: Column) -> Column:
+    """Whether the edit distance of two lines is at most ``most`` in each of their spellings.
 
     ``levenshtein`` takes a literal threshold, which bounds its work, and gives -1
     beyond it; a row of bounds, each twice the one before, makes classes of lengths.
     """
-    out = F.levenshtein(a, b) <= most
+    out = reduce(and_, [F.levenshtein(a, b) <= most for a, b in spellings])
     for k in range(16, -1, -1):
-        distance = F.pmod(F.levenshtein(a, b, 1 << k), F.lit(1 << 30))
-        out = F.when(most <= 1 << k, distance <= most).otherwise(out)
+        distances = [F.pmod(F.levenshtein(a, b, 1 << k), F.lit(1 << 30)) for a, b in spellings]
+        out = F.when(most <= 1 << k, reduce(and_, [d <= most for d in distances])).otherwise(out)
     return out
 
 

@@ -425,6 +425,14 @@ def test_crowded_buckets_are_told_apart_by_sketches(spark, monkeypatch, crowd):
     assert rows["apart"] > 100 and rows["rest"] < 60 and ("spread" in rows) == (crowd < 100)
 
 
+def test_a_line_of_repeated_words_is_in_a_bucket_once(spark):
+    """The fault: it was there once for each of its equal blocks, and two such lines met up to 64 times."""
+    made = [" ".join(["same"] * 14 + [f"v{k}"] * 6) for k in range(5)]
+    distinct = lines.distinct_lines(lines.line_table(docs(spark, made), lines.MIN_CHARS, lines.SIMILARITY))
+    _, members = lines._candidates(distinct, lines.Scratch(spark, "members"), lines.SIMILARITY)
+    assert members.count() == members.select("key", "h").distinct().count() > 0
+
+
 def test_sketches_leave_out_no_line_within_the_edits(spark):
     rnd = random.Random(5)
     made = []
