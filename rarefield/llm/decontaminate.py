@@ -10,7 +10,9 @@ and added words.  The score is the best local alignment over the item's length.
 
 Items are searched in blocks of at most ``BLOCK_WORDS`` words, so what reaches
 the workers has a fixed size; a larger test set takes more scans, not more
-memory.  Document texts are never shuffled.
+memory.  A worker holds ``_PAIRS`` hits of seeds with their items at a time, passages of
+``_WORDS_OUT`` words, and alignments of ``_BATCH_CELLS`` words, or one pair's.  Document
+texts are never shuffled.
 
 Defined cases: a null text, an item with fewer than ``SEED`` words or a null id
 takes no part; items of equal text are reported each; a document that holds an
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,7 @@ FREQUENT_SHARE, FREQUENT_DOCS = 1e-3, 256
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 _BATCH_CELLS = 1 << 16
+_PAIRS, _WORDS_OUT = 1 << 18, 1 << 18
 
 
 @dataclass
@@ -96,56 +100,101 @@ def _hits(grams: np.ndarray, items: Items) -> np.ndarray:
 _PASSAGES = "doc_id long, item int, start long, window array<long>, seeds array<long>"
 
 
-def passages(docs: DataFrame, items: Items) -> DataFrame:
-    """(doc_id, item, start, window, seeds): the words around the hits of one item that lie together."""
-    sent = docs.sparkSession.sparkContext.broadcast(items)
+def _document_runs(doc: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of hits of whole documents, of ``_PAIRS`` pairs with items at most or of one document."""
+    total = np.cumsum(n)
+    s = 0
+    while s < len(doc):
+        e = int(np.searchsorted(total, (total[s - 1] if s else 0) + _PAIRS, "right"))
+        if e < len(doc):
+            e = int(np.searchsorted(doc, doc[e]))
+        if e <= s:
+            e = int(np.searchsorted(doc, doc[s], "right"))
+        yield s, e
+        s = e
+
+
+def _met(low: np.ndarray, n: np.ndarray, items: Items, part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hit, place among the seeds) of each hit with each item that has its seed, for the items of one part of ``parts``."""
+    total = np.cumsum(n)
+    found = []
+    s = 0
+    while s < len(n):
+        e = max(s + 1, int(np.searchsorted(total, (total[s - 1] if s else 0) + _PAIRS, "right")))
+        m = n[s:e]
+        hit = np.repeat(np.arange(s, e), m)
+        k = np.arange(len(hit)) - np.repeat(np.cumsum(m) - m, m) + low[hit]
+        if parts > 1:
+            mine = items.item[k] % parts == part
+            hit, k = hit[mine], k[mine]
+        found.append((hit, k))
+        s = e
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _passage_rows(out: list[tuple[int, int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([o[0] for o in out], pa.int64()),
+            pa.array([o[1] for o in out], pa.int32()),
+            pa.array([o[2] for o in out], pa.int64()),
+            pa.array([o[3].view(np.int64) for o in out], pa.list_(pa.int64())),
+            pa.array([o[4].view(np.int64) for o in out], pa.list_(pa.int64())),
+        ],
+        ["doc_id", "item", "start", "window", "seeds"],
+    )
 
-    @releasing
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        it = sent.value
-        length = np.diff(it.first)
-        for batch in batches:
-            out: list[tuple[int, int, int, np.ndarray, np.ndarray]] = []
-            ids = batch.column(0).to_pylist()
-            for row, to, data, offsets in wordhash.text_arrays(batch.column(1)):
-                h, first, _, _ = wordhash.words(data, offsets)
-                if len(h) < SEED or not len(it.seed):
-                    continue
-                grams = wordhash.ngrams(h, SEED)
-                on = _hits(grams, it)
-                if not len(on):
-                    continue
-                doc = np.searchsorted(first, on, "right") - 1
-                inside = on + SEED <= first[doc + 1]
-                on, doc = on[inside], doc[inside]
-                low, high = np.searchsorted(it.seed, grams[on]), np.searchsorted(it.seed, grams[on], "right")
-                n = high - low
-                rep = np.repeat(np.arange(len(on)), n)
-                k = np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n) + low[rep]
-                pos, d, item = on[rep], doc[rep], it.item[k]
+
+def search_batch(batch: pa.RecordBatch, it: Items) -> Iterator[pa.RecordBatch]:
+    """The passages of a batch of (id, text), a few at a time."""
+    length = np.diff(it.first)
+    out: list[tuple[int, int, int, np.ndarray, np.ndarray]] = []
+    held = 0
+    ids = batch.column(0).to_pylist()
+    for row, _, data, offsets in wordhash.text_arrays(batch.column(1)):
+        h, first, _, _ = wordhash.words(data, offsets)
+        if len(h) < SEED or not len(it.seed):
+            continue
+        grams = wordhash.ngrams(h, SEED)
+        on = _hits(grams, it)
+        doc = np.searchsorted(first, on, "right") - 1
+        inside = on + SEED <= first[doc + 1]
+        on, doc = on[inside], doc[inside]
+        low, high = np.searchsorted(it.seed, grams[on]), np.searchsorted(it.seed, grams[on], "right")
+        for s, e in _document_runs(doc, high - low):
+            n = high[s:e] - low[s:e]
+            parts = -(-int(n.sum()) // _PAIRS)
+            for part in range(parts):
+                hit, k = _met(low[s:e], n, it, part, parts)
+                pos, d, item = on[s + hit], doc[s + hit], it.item[k]
                 begin = pos - it.at[k]
                 order = np.lexsort((begin, item, d))
                 pos, d, item, begin = pos[order], d[order], item[order], begin[order]
                 slack = length[item] // 2 + 8
                 new = np.ones(len(pos), bool)
                 new[1:] = (d[1:] != d[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > slack[1:])
-                starts = np.flatnonzero(new)
-                for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(pos)], strict=True):
+                for a, b in pairwise([*np.flatnonzero(new).tolist(), len(pos)]):  # none where no hit is left
                     if ids[row + int(d[a])] is None:
                         continue
                     lo = max(int(first[d[a]]), int(begin[a]) - int(slack[a]))
                     hi = min(int(first[d[a] + 1]), int(begin[b - 1]) + int(length[item[a]]) + int(slack[a]))
                     out.append((ids[row + int(d[a])], int(item[a]), lo - int(first[d[a]]), h[lo:hi], np.unique(grams[pos[a:b]])))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([o[0] for o in out], pa.int64()),
-                    pa.array([o[1] for o in out], pa.int32()),
-                    pa.array([o[2] for o in out], pa.int64()),
-                    pa.array([o[3].view(np.int64) for o in out], pa.list_(pa.int64())),
-                    pa.array([o[4].view(np.int64) for o in out], pa.list_(pa.int64())),
-                ],
-                ["doc_id", "item", "start", "window", "seeds"],
-            )
+                    held += hi - lo
+                    if held >= _WORDS_OUT:
+                        yield _passage_rows(out)
+                        out, held = [], 0
+    if out:
+        yield _passage_rows(out)
+
+
+def passages(docs: DataFrame, items: Items) -> DataFrame:
+    """(doc_id, item, start, window, seeds): the words around the hits of one item that lie together."""
+    sent = docs.sparkSession.sparkContext.broadcast(items)
+
+    @releasing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from search_batch(batch, sent.value)
 
     return docs.mapInArrow(run, _PASSAGES)
 
@@ -157,11 +206,14 @@ def align(windows: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarra
     order = sorted(range(n), key=lambda k: (len(windows[k]), len(items[k])))
     at = 0
     while at < n:
-        wide = max(1, len(windows[order[at]]))
-        to = min(n, at + max(1, _BATCH_CELLS // wide))
+        w = m = 1
+        to = at
+        while to < n:  # as many pairs as fit in the table of the widest of them
+            wide, tall = max(w, len(windows[order[to]])), max(m, len(items[order[to]]))
+            if to > at and (to + 1 - at) * max(wide, tall) > _BATCH_CELLS:
+                break
+            w, m, to = wide, tall, to + 1
         part = order[at:to]
-        w = max(len(windows[k]) for k in part)
-        m = max(len(items[k]) for k in part)
         win, it = np.zeros((len(part), w), np.uint64), np.ones((len(part), m), np.uint64)
         for r, k in enumerate(part):
             win[r, : len(windows[k])] = windows[k]

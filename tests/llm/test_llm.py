@@ -2,8 +2,10 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,6 +163,50 @@ def test_contamination(spark):
     assert (got[1]["start_word"], got[1]["end_word"]) == (200, 230)
 
 
+def test_seeds_across_documents_alone(spark):
+    """The fault: where the only seed of a run of texts began in one document and ended in the next, the search raised."""
+    table = spark.createDataFrame([(7, "a b c d e")], "item_id long, text string")
+    apart = docs(spark, ["x y a b", "c z z", "a", "b", "c d"]).coalesce(1)
+    assert decontaminate.contaminated(apart, table).count() == 0
+    assert [r["doc_id"] for r in decontaminate.contaminated(apart.union(docs(spark, ["z", "a b c d e"])).coalesce(1), table).collect()] == [1]
+
+
+def peak(work):
+    """What ``work`` returns, and the most MB it held."""
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_long_passage_among_short_ones():
+    """A passage as long as a document was aligned in one table with a thousand short ones."""
+    rnd = np.random.default_rng(3)
+    item = rnd.integers(1, 1 << 60, 40).astype(np.uint64)
+    windows = [np.concatenate([x, item[: 10 + k % 30], x]) for k in range(1000) if len(x := rnd.integers(1, 1 << 60, 12).astype(np.uint64))] + [np.tile(item, 250)]
+    (best, end), mb = peak(lambda: decontaminate.align(windows, [item] * len(windows)))
+    alone = [decontaminate.align([w], [item]) for w in windows]
+    assert best.tolist() == [float(a[0][0]) for a in alone] and end.tolist() == [int(a[1][0]) for a in alone]
+    assert best[:30].tolist() == list(range(10, 40)) and best[-1] == 40 and mb < 40
+
+
+def test_seeds_that_many_items_share(monkeypatch):
+    """A phrase that all items hold is met a few items at a time: the same passages, and memory that doesn't grow with hits times items."""
+    texts = [" ".join(f"w{k}_{i}" for i in range(20)) + " one phrase that all items hold" for k in range(1500)]
+    items = decontaminate.items_block(list(range(1500)), texts)
+    body = " ".join(f"t{i}" + (" one phrase that all items hold" if i % 100 == 0 else "") for i in range(2000))
+    batch = pa.record_batch([pa.array([1, 2, None, 4, 5]), pa.array([body, "one phrase that", body, "", body + " " + texts[3]])], ["doc_id", "text"])
+    rows = lambda: sorted((r["doc_id"], r["item"], r["start"], tuple(r["window"]), tuple(r["seeds"])) for b in decontaminate.search_batch(batch, items) for r in b.to_pylist())
+    want = rows()
+    assert {r[0] for r in want} == {1, 2, 5} and len(want) == 1500 * 42
+    monkeypatch.setattr(decontaminate, "_PAIRS", 5000)
+    monkeypatch.setattr(decontaminate, "_WORDS_OUT", 3000)
+    assert rows() == want
+    most, mb = peak(lambda: max(len(b.column(3).flatten()) for b in decontaminate.search_batch(batch, items)))
+    assert most < 3100 and mb < 12
+
+
 def test_chat_round_trip(spark):
     both = "</s>[INST] ok [/INST]"
     rows = [(1, 0, "user", both), (1, 1, "assistant", "\\" + both), (1, 2, "tool", "<<SYS>>"), (2, 0, None, None), (None, 0, "user", "x")]
