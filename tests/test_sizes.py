@@ -105,6 +105,38 @@ def test_nearest_vectors_hold_few_distances_at_once(spark):
     assert parts == [8] * 6 + [2]
 
 
+@pytest.mark.parametrize("dims", [1, 3, 4])
+def test_short_vectors_are_searched_in_a_tree(spark, monkeypatch, dims):
+    """The nearest of short vectors took all pairs; the tree has the same rows, distances and ties, crowds and gaps included."""
+    rng = np.random.default_rng(dims)
+    v = np.concatenate([np.round(rng.normal(0, 3, (500, dims)), 1), rng.normal(50, 1e-4, (300, dims)), rng.uniform(-500, 900, (200, dims))])
+    v[100:160] = v[100]
+    lists = [*v.tolist(), [float("nan")] * dims, [None] * dims]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(lists)], "id long, v array<double>").repartition(3)
+    queries = rows.where("id % 5 = 0 or id > 998")
+    want = sorted(map(tuple, neighbors.feature_topk(queries, rows, 7, "v").collect()))
+
+    def all_pairs(*_):
+        raise AssertionError("all pairs")
+
+    monkeypatch.setattr(neighbors, "_slices", all_pairs)
+    monkeypatch.setattr(type(rows), "mapInArrow", all_pairs)
+    got = sorted(map(tuple, neighbors.feature_topk(queries, rows, 7, "v", tree_pairs=0).collect()))
+    assert got == want and len(got) == 7 * 201
+    few = rows.where("id < 4")
+    assert neighbors.feature_topk(few, few, 7, "v", tree_pairs=0).count() == 16
+    assert neighbors.feature_topk(few.limit(0), few, 7, "v", tree_pairs=0).count() == 0
+
+
+def test_vectors_that_a_tree_cannot_hold(spark):
+    """Ids that repeat, infinite numbers, long vectors and vectors of different lengths."""
+    rows = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(9)], "query long, v array<double>")
+    fits = lambda more, kind="array<double>": neighbors._tree_dims(rows, rows.union(spark.createDataFrame(more, f"query long, v {kind}")).withColumnRenamed("query", "target"))
+    assert fits([(9, [2.0, None]), (10, [float("nan"), 1.0])]) == 2
+    assert fits([(8, [2.0, 1.0])]) is None and fits([(9, [float("inf"), 1.0])]) is None and fits([(9, [1.0])]) is None and fits([(9, None)]) is None
+    assert neighbors._tree_dims(rows.select("query", F.array_repeat(F.lit(1.0), 5).alias("v")), rows.select(F.col("query").alias("target"), F.array_repeat(F.lit(1.0), 5).alias("v"))) is None
+
+
 def test_small_components_are_dealt_by_their_edges(spark):
     """One task solved all small components, as their rows are few bytes."""
     n = 400
